@@ -1,0 +1 @@
+"""No streaming operator exists in the covered feature set, so this package is empty on purpose."""
