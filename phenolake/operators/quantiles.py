@@ -1,62 +1,74 @@
 """Exact order statistics and quantiles of groups of any size.
 
 ``percentile`` keeps every distinct value of a group in one buffer. That is fine for calendar-bounded groups, but a
-whole-table or per-category quantile must not do it. Here values are pre-counted, a mergeable sketch cuts each group
-into ranges, and only the ranges that hold a wanted rank are ordered, each in its own partition.
+whole-table or per-category quantile must not do it. Here a mergeable sketch brackets each wanted rank, rows outside
+the brackets are only counted, and the few distinct values inside are ordered. The answer is exact: a rank is read
+from counts, never from the sketch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CUTS = 128  # ranges per group; the sketch result and the range table have this fixed bound
-
+ACCURACY = 100_000        # the sketch's rank error is at most n / ACCURACY
+MARGIN = 10 / ACCURACY    # brackets are ten times as wide
+SMALL = 100_000           # groups up to this size are ordered whole
+CUTS = 128                # ranges of a whole-table running count
 
-def ranked_values(df: DataFrame, keys, value: str, ranks) -> DataFrame:
-    """Values at the ranks that ``ranks(n)`` (an array column of 1-based positions) asks for.
 
-    Returns keys, ``n``, ``_rank`` and ``_v``.
-    """
+def order_statistics(df: DataFrame, keys, value: str,
+                     wants: dict[str, tuple[float, Callable[[Column], Column]]]) -> DataFrame:
+    """Values at exact 1-based ranks per group; ``wants`` maps names to (share of n near the rank, rank of n)."""
     key = keys or ["_all"]
-    base = df if keys else df.withColumn("_all", F.lit(1))
-    vc = (base.filter(F.col(value).isNotNull()).groupBy(*key, F.col(value).alias("_v"))
-          .agg(F.count("*").alias("_c")))
-    probs = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
-    cuts = vc.groupBy(*key).agg(F.percentile_approx("_v", probs, F.lit(CUTS * 16)).alias("_cuts"))
-    binned = vc.join(cuts, key).withColumn("_bin", F.size(F.filter("_cuts", lambda s: s < F.col("_v")))).drop("_cuts")
-    bins = binned.groupBy(*key, "_bin").agg(F.sum("_c").alias("_n"))
+    base = (df if keys else df.withColumn("_all", F.lit(1))).filter(F.col(value).isNotNull())
+    base = base.select(*key, F.col(value).alias("_v"))
+    probs = sorted({p for p, _ in wants.values()})
+    ends = [max(0.0, p - MARGIN) for p in probs] + [min(1.0, p + MARGIN) for p in probs]
+    sketch = base.groupBy(*key).agg(F.count("*").alias("n"), F.percentile_approx(
+        "_v", F.array(*[F.lit(e) for e in ends]), F.lit(ACCURACY)).alias("_q"))
+    big = F.col("n") > SMALL
+    for i in range(len(probs)):
+        sketch = sketch.withColumns({f"_lo{i}": F.when(big, F.col("_q")[i]),
+                                     f"_hi{i}": F.when(big, F.col("_q")[i + len(probs)])})
+    sketch = sketch.drop("_q")
+    joined = base.join(sketch if keys else F.broadcast(sketch), key)  # one row when there are no keys
+    inside = [F.col(f"_lo{i}").isNull() | F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
+              for i in range(len(probs))]
+    kept = inside[0]
+    for c in inside[1:]:
+        kept = kept | c
+    edges = [c for i in range(len(probs)) for c in (f"_lo{i}", f"_hi{i}")]
+    counts = joined.withColumn("_in", F.when(kept, F.col("_v"))).groupBy(*key, F.col("_in")).agg(
+        F.count("*").alias("_c"), F.max("n").alias("n"), *[F.max(c).alias(c) for c in edges],
+        *[F.count(F.when(F.col("_v") < F.col(f"_lo{i}"), 1)).alias(f"_b{i}") for i in range(len(probs))])
+    counts = counts.withColumnRenamed("_in", "_v")
+    hits = {f"_h{i}": F.when(inside[i] & F.col("_v").isNotNull(), F.col("_c")) for i in range(len(probs))}
     w = Window.partitionBy(*key)
-    bins = (bins.withColumns({"_upto": F.sum("_n").over(w.orderBy("_bin")), "n": F.sum("_n").over(w)})
-            .withColumn("_want", F.filter(F.array_distinct(ranks(F.col("n"))),
-                                          lambda r: (r > F.col("_upto") - F.col("_n")) & (r <= F.col("_upto"))))
-            .filter(F.size("_want") > 0))
-    inside = Window.partitionBy(*key, "_bin").orderBy("_v")
-    got = (binned.join(bins, [*key, "_bin"])
-           .withColumn("_hi", F.col("_upto") - F.col("_n") + F.sum("_c").over(inside))
-           .withColumn("_rank", F.explode(F.filter("_want", lambda r: (r > F.col("_hi") - F.col("_c"))
-                                                   & (r <= F.col("_hi"))))))
-    return got.select(*keys, "n", "_rank", "_v")
+    counts = counts.withColumns(hits).withColumns(  # one ordered and one plain window for all ranks together
+        {f"_s{i}": F.sum(f"_h{i}").over(w.orderBy("_v")) for i in range(len(probs))}).withColumns(
+        {f"_t{i}": F.sum(f"_b{i}").over(w) for i in range(len(probs))}).withColumns(
+        {f"_upto{i}": F.when(F.col(f"_h{i}").isNotNull(), F.col(f"_s{i}") + F.col(f"_t{i}"))
+         for i in range(len(probs))})
+    aggs = []
+    for name, (p, rank) in wants.items():
+        top, r = F.col(f"_upto{probs.index(p)}"), rank(F.col("n"))
+        aggs.append(F.max(F.when((r > top - F.col("_c")) & (r <= top), F.col("_v"))).alias(name))
+    return counts.groupBy(*keys, "n").agg(*aggs)
 
 
 def exact_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolation quantiles per group; ``probs`` maps output columns to probabilities."""
-    def ranks(n: Column) -> Column:
-        out = []
-        for p in probs.values():
-            pos = (n - 1) * F.lit(float(p))
-            out += [F.floor(pos).cast("bigint") + 1, F.ceil(pos).cast("bigint") + 1]
-        return F.array(*out)
-
-    aggs = []
-    pos_of = lambda p: (F.col("n") - 1) * F.lit(float(p))
+    wants, out = {}, []
     for name, p in probs.items():
-        lo = F.max(F.when(F.col("_rank") == F.floor(pos_of(p)) + 1, F.col("_v")))
-        hi = F.max(F.when(F.col("_rank") == F.ceil(pos_of(p)) + 1, F.col("_v")))
-        frac = F.max(pos_of(p) - F.floor(pos_of(p)))
-        aggs.append((lo + (hi - lo) * frac).alias(name))
-    r = ranked_values(df, keys, value, ranks)
-    return r.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
+        at = lambda n, p=p: (n - 1) * F.lit(float(p))
+        wants[f"_{name}_lo"] = (p, lambda n, at=at: F.floor(at(n)) + 1)
+        wants[f"_{name}_hi"] = (p, lambda n, at=at: F.ceil(at(n)) + 1)
+        lo, hi, pos = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), at(F.col("n"))
+        out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
+    return order_statistics(df, keys, value, wants).select(*keys, "n", *out)
 
 
 def exact_median(df: DataFrame, keys, value: str, name: str = "median") -> DataFrame:
@@ -73,8 +85,9 @@ def ks_statistic(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
             .unionByName(b.select(F.col(value).alias("_v"), F.lit(0).alias("_a"), F.lit(1).alias("_b")))
             .filter("_v IS NOT NULL").groupBy("_v").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b")))
     probs = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
-    cuts = both.agg(F.percentile_approx("_v", probs, F.lit(CUTS * 16))).scalar()
-    binned = both.withColumn("_bin", F.size(F.filter(cuts, lambda s: s < F.col("_v"))))
+    cuts = both.agg(F.percentile_approx("_v", probs, F.lit(CUTS * 16)).alias("_cuts")).withColumn("_all", F.lit(1))
+    binned = (both.withColumn("_all", F.lit(1)).join(F.broadcast(cuts), "_all")  # one row
+              .withColumn("_bin", F.size(F.filter("_cuts", lambda s: s < F.col("_v")))).drop("_all", "_cuts"))
     w = Window.orderBy("_bin")
     bins = (binned.groupBy("_bin").agg(F.sum("_a").alias("_na"), F.sum("_b").alias("_nb"))
             .select("_bin", (F.sum("_na").over(w) - F.col("_na")).alias("_oa"),

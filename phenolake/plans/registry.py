@@ -20,8 +20,8 @@ def sql_columns(spec: str) -> str:
     cols = []
     for item in spec.split():
         name, kind = item.split(":")
-        cols.append(f"round(CAST({name} AS DOUBLE) + {TIE_SHIFT}, {kind[1:] or 6}) + 0.0 AS {name}" if kind[0] == "f"
-                    else f"CAST({name} AS {_SQL_TYPES[kind]}) AS {name}")
+        cols.append(f'round(CAST("{name}" AS DOUBLE) + {TIE_SHIFT}, {kind[1:] or 6}) + 0.0 AS "{name}"' if kind[0] == "f"
+                    else f'CAST("{name}" AS {_SQL_TYPES[kind]}) AS "{name}"')
     return ", ".join(cols)
 
 
