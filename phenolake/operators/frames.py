@@ -151,10 +151,19 @@ def rolling(c: str, how, lo: int, hi: int, least: int, keys, day: str = "day") -
     return F.when(F.count(c).over(w) >= least, how(c).over(w))
 
 
-def cumulative_strict(c: str, keys, day: str = "day") -> Column:
-    """Running sum over a daily grid that stays NULL after the first missing day."""
+def strict_sum(c: Column, days: int, keys, day: str = "day") -> Column:
+    """Sum over the last ``days`` calendar days, NULL if any of them is missing."""
+    w = Window.partitionBy(*keys).orderBy(day).rangeBetween(-(days - 1), 0)
+    return F.when(F.count(c).over(w) == days, F.sum(c).over(w))
+
+
+def cumulative_strict(c: Column, start: Column, keys, day: str = "day") -> Column:
+    """Running sum from day ``start`` that stays NULL from the first missing day on.
+
+    A day without a row counts as missing too: the sum holds only while the known values fill every day since start.
+    """
     w = Window.partitionBy(*keys).orderBy(day).rowsBetween(UNBOUNDED, 0)
-    return F.when(F.count(F.when(F.col(c).isNull(), 1)).over(w) == 0, F.sum(c).over(w))
+    return F.when(F.count(c).over(w) == F.col(day) - start + 1, F.sum(c).over(w))
 
 
 def longest_run(df: DataFrame, keys, flag: Column, day: str = "day") -> DataFrame:
@@ -162,3 +171,13 @@ def longest_run(df: DataFrame, keys, flag: Column, day: str = "day") -> DataFram
     r = runs(df.filter(F.coalesce(flag, F.lit(False))), keys, day)
     best = F.max_by(F.struct("n", "start", "end"), F.struct("n", (-F.col("start")).alias("s")))
     return r.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.n", "b.start", "b.end")
+
+
+def thin(df: DataFrame, keys, order, limit: int) -> DataFrame:
+    """At most ``limit`` evenly spaced rows per key, always with the first and the last."""
+    w = Window.partitionBy(*keys)
+    d = df.withColumns({"_j": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count("*").over(w)})
+    i = F.floor((F.col("_j") * limit + F.col("_n") - 1) / F.col("_n"))
+    keep = ((F.col("_n") <= limit) | (F.col("_j") == F.col("_n") - 1)
+            | ((i < limit - 1) & (F.floor(i * F.col("_n") / limit) == F.col("_j"))))
+    return d.filter(keep).drop("_j", "_n")
