@@ -59,23 +59,19 @@ def scatter(df: DataFrame, reach: float, keep, skeleton: Column | None = None) -
 
 
 def loo_fit(df: DataFrame, keys, value: str, bw: float, min_points: float = 0.0) -> DataFrame:
-    """Leave-one-out fit at every row: ``fit``, ``fit_slope``, ``fit_weight``; one row per (keys, day)."""
-    w = frames.around(keys, floor(C.KERNEL_CUTOFF * bw))
-    day = F.col("day")
-
-    def add(acc: Column, p: Column) -> Column:
-        d = p["day"] - day
-        k = F.exp(-0.5 * F.pow(d / bw, 2))
-        return F.struct((acc["s0"] + k).alias("s0"), (acc["s1"] + k * d).alias("s1"), (acc["s2"] + k * d * d).alias("s2"),
-                        (acc["t0"] + k * p["y"]).alias("t0"), (acc["t1"] + k * d * p["y"]).alias("t1"))
+    """Leave-one-out fit at every row: ``fit``, ``fit_slope``, ``fit_weight``; one row per (keys, day).
 
-    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("s0", "s1", "s2", "t0", "t1")])
+    Grouping by the row's own columns keeps the sums in a hash aggregate and needs no join back.
+    """
+    w = frames.around(keys, floor(C.KERNEL_CUTOFF * bw))
     # collect_list drops NULL, so rows without a value give nothing to their neighbours
-    point = F.when(F.col(value).isNotNull(), F.struct("day", F.col(value).alias("y")))
-    d = df.withColumn("_near", F.collect_list(point).over(w)).withColumn("_k", F.aggregate("_near", zero, add)).drop("_near")
-    d = d.withColumns({f"k_{n}": F.col(f"_k.{n}") for n in ("s0", "s1", "s2", "t0", "t1")}).drop("_k")
+    point = F.when(F.col(value).isNotNull(), F.struct(F.col("day").alias("pday"), F.col(value).alias("y")))
+    pairs = df.select("*", F.collect_list(point).over(w).alias("_near")).select(
+        *df.columns, F.explode_outer("_near").alias("_p")).select(
+        *df.columns, (F.col("_p.pday") - F.col("day")).alias("_d"), F.col("_p.y").alias("_y"))
+    g = pairs.groupBy(*df.columns).agg(*sums(F.col("_d"), F.col("_y"), None, bw, "k"))
     fit, slope, weight = solve("k", min_points, own=F.col(value))
-    return d.withColumns({"fit": fit, "fit_slope": slope, "fit_weight": weight}).drop(*[f"k_{n}" for n in ("s0", "s1", "s2", "t0", "t1")])
+    return g.select(*df.columns, fit.alias("fit"), slope.alias("fit_slope"), weight.alias("fit_weight"))
 
 
 def fit_at_targets(df: DataFrame, keys, is_target: Column, fits: dict[str, tuple[Column, Column | None, float]],

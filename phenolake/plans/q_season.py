@@ -101,7 +101,7 @@ LEFT JOIN {curves} b ON a.pid = b.pid AND a.doy = b.doy AND a.year <> b.year AND
 
 @query("curve_norm", "pid:i date:d norm_n:i norm_mean:f5 norm_std:f5", "SELECT pid, date, norm_n, norm_mean, norm_std FROM {own_norm}")
 def _(t):
-    return plan(t).own_norm
+    return S.curve_norm(plan(t).curves)
 
 
 cte("cats", "SELECT s_suppkey AS pid, s_nationkey AS category FROM supplier")
@@ -138,8 +138,8 @@ LEFT JOIN {cats} USING (pid) LEFT JOIN {cat_norm} USING (category, doy)) GROUP B
 def _(t):
     """Entities with one season only: the category norm takes over where it exists."""
     p = plan(t)
-    own = S.curve_norm(p.curves.filter("year = 1998"))
-    d = S.choose_norm(own, S.category_norm(p.curves, t.categories), t.categories)
+    own = S.curve_norm(p.saved_curves.filter("year = 1998"))
+    d = S.choose_norm(own, S.category_norm(p.saved_curves, t.categories), t.categories)
     return d.groupBy("norm_source").agg(F.count_distinct("pid", "year").alias("n_seasons"), F.count("*").alias("n_days"),
                                         F.avg("norm_mean").alias("mean"))
 
@@ -226,5 +226,5 @@ def _(t):
 
 
 def deviation(t, p=None):
-    z = (p or plan(t)).z
+    z = (p or plan(t)).saved_z
     return S.phenology_deviation(S.phenology(z), S.phenology(z, "norm_mean", F.col("norm_mean").isNotNull()))

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from phenolake.operators import season as S
+from phenolake.sources.io import cut_lineage
 
 
 class SeasonPlan:
@@ -21,20 +22,37 @@ class SeasonPlan:
 
     @cached_property
     def curves(self) -> DataFrame:
-        return S.daily_curve(self.series, self.as_of)
+        return S.daily_curve(self.saved_series, self.as_of)
 
     @cached_property
-    def own_norm(self) -> DataFrame:
-        return S.curve_norm(self.curves)
+    def saved_curves(self) -> DataFrame:
+        """Curves feed the own norm and the category norm, so they are computed once and written."""
+        return cut_lineage(self.curves)
+
+    @cached_property
+    def saved_category_norm(self) -> DataFrame:
+        """Written, so that the join below knows its real size: broadcast while small, shuffled when not."""
+        return cut_lineage(S.category_norm(self.saved_curves, self.categories))
 
     @cached_property
     def normed(self) -> DataFrame:
-        return S.choose_norm(self.own_norm, S.category_norm(self.curves, self.categories), self.categories)
+        """One shuffle by entity serves the windows by (entity, day of year) and by (entity, year)."""
+        own = S.curve_norm(self.saved_curves.repartition("pid"))
+        return S.choose_norm(own, self.saved_category_norm, self.categories)
 
     @cached_property
     def z(self) -> DataFrame:
         return S.z_series(self.normed)
 
+    @cached_property
+    def saved_z(self) -> DataFrame:
+        """Daily z of all entities: the barrier before episodes, phenology and regional context."""
+        return cut_lineage(self.z)
+
+    @cached_property
+    def saved_series(self) -> DataFrame:
+        return cut_lineage(self.series)
+
     @cached_property
     def episodes(self) -> DataFrame:
-        return S.find_episodes(self.z, self.series, self.strict)
+        return S.find_episodes(self.z, self.saved_series, self.strict)
