@@ -106,7 +106,7 @@ def window_days(ep: DataFrame, before: int = C.BEFORE_DAYS) -> DataFrame:
 def shifted_day(day: Column, year: Column) -> Column:
     """Day number of the same month and day in another year; NULL for 29 February of a common year."""
     d = F.date_add(F.lit(C.EPOCH).cast("date"), day)
-    return day_num(F.try_to_date(F.format_string("%04d-%02d-%02d", year, F.month(d), F.dayofmonth(d)), F.lit("yyyy-MM-dd")))
+    return day_num(F.try_to_date(F.format_string("%04d-%02d-%02d", year, F.month(d), F.dayofmonth(d)), "yyyy-MM-dd"))
 
 
 def driver_sums(grid: DataFrame, key: str, amount: str, level: str) -> DataFrame:
