@@ -1 +1,274 @@
-"""Queries."""
+"""Queries: joins J1..J20."""
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from phenolake.functions import constants as C
+from phenolake.functions.expr import day_num, status_from_z
+from phenolake.operators import frames
+from phenolake.operators import gapfill as G
+from phenolake.operators import pairs
+from phenolake.operators.norms import loyo_norm
+from phenolake.operators.season import interval_counts
+from phenolake.plans.ctes import cte
+from phenolake.plans.q_season import plan
+from phenolake.plans.q_window import z_episodes
+from phenolake.plans.registry import query
+from phenolake.sources.io import first_wins
+
+NB = "val_prev:f9 source_prev:i val_next:f9 source_next:i days_prev:i days_next:i min_dist:i"
+
+
+def nb_sql(by):
+    on = " AND ".join(f"t.{k} = k.{k}" for k in by)
+    return f"""SELECT t.*, p.value AS val_prev, p.source AS source_prev, n.value AS val_next, n.source AS source_next, t.day - p.day AS days_prev,
+n.day - t.day AS days_next, least(t.day - p.day, n.day - t.day) AS min_dist FROM {{targets}} t
+ASOF LEFT JOIN {{known}} p ON {on.replace('k.', 'p.')} AND t.day > p.day ASOF LEFT JOIN {{known}} n ON {on.replace('k.', 'n.')} AND t.day < n.day"""
+
+
+cte("nb", nb_sql(["pid"]))
+cte("nb_season", nb_sql(["pid", "year"]))
+
+
+@query("neighbors", "pid:i date:d " + NB, "SELECT * FROM {nb}")
+def _(t):
+    return frames.neighbors(t.marked, ["pid"], G.gap(), G.known())
+
+
+@query("neighbors_in_season", "pid:i date:d " + NB, "SELECT * FROM {nb_season}")
+def _(t):
+    return frames.neighbors(t.marked, ["pid", "year"], G.gap(), G.known())
+
+
+def knn_sql(prefix, k, values, cond="true"):
+    cols = ", ".join(f"max(CASE WHEN side = '{s}' AND r = {i} THEN {v} END) AS {prefix}_{s}{i}_{v}"
+                     for i in range(1, k + 1) for s in "pn" for v in ["days", *values])
+    vals = "".join(f", k.{v}" for v in values)
+    return f"""SELECT pid, day, any_value(date) AS date, {cols} FROM (SELECT t.pid, t.day, t.date{''.join(f', q.{v}' for v in values)}, q.days, q.side,
+row_number() OVER (PARTITION BY t.pid, t.day, q.side ORDER BY q.days) AS r FROM {{targets}} t LEFT JOIN (SELECT t.pid, t.day, abs(k.day - t.day) AS days{vals},
+CASE WHEN k.day < t.day THEN 'p' ELSE 'n' END AS side FROM {{targets}} t JOIN {{known_h}} k ON t.pid = k.pid AND abs(k.day - t.day) <= 60 AND {cond}) q
+ON q.pid = t.pid AND q.day = t.day) GROUP BY pid, day"""
+
+
+cte("known_h", "SELECT * FROM {harm} WHERE NOT is_gap")
+cte("knn", knn_sql("nb", 3, ["value", "source", "h"]))
+KNN = "pid:i date:d " + " ".join(f"nb_{s}{i}_days:i nb_{s}{i}_value:f9 nb_{s}{i}_source:i nb_{s}{i}_h:f9" for i in (1, 2, 3) for s in "pn")
+
+
+@query("k_neighbors", KNN, "SELECT * FROM {knn}")
+def _(t):
+    return frames.k_neighbors(G.with_h(t.marked), ["pid"], G.gap(), G.known(), C.N_NEIGHBORS, C.MAX_NEIGHBOR_DAYS, ["value", "source", "h"])
+
+
+for _i in range(3):
+    cte(f"ss{_i}", knn_sql(f"s{_i + 1}", 2, ["value"], f"k.source = {_i}"))
+SAME = [f"s{i}_{s}{k}" for i in (1, 2, 3) for k in (1, 2) for s in "pn"]
+
+
+def same_source(t_marked):
+    """Two neighbours each side per source, the line between the nearest two (or the one present), rows within 30 days."""
+    d = t_marked
+    for i in range(3):
+        ok = G.known() & (F.col("source") == i)
+        d = d.withColumn(f"s{i + 1}_n30", frames.count_in_window(ok, 30, ["pid"]))
+    for i in range(3):
+        ok = G.known() & (F.col("source") == i)
+        d = frames.k_neighbors(d, ["pid"], G.gap() if i == 2 else F.lit(True), ok, 2, C.MAX_NEIGHBOR_DAYS, ["value"], prefix=f"s{i + 1}")
+    out = {}
+    for i in (1, 2, 3):
+        vp, vn, dp, dn = (F.col(f"s{i}_{c}") for c in ("p1_value", "n1_value", "p1_days", "n1_days"))
+        out[f"s{i}_interp"] = F.coalesce(frames.interpolate(vp, vn, dp, dn), vp, vn)
+    return d.withColumns(out)
+
+
+@query("same_source_neighbors", "pid:i date:d " + " ".join(f"{c}_days:i {c}_value:f9" for c in SAME) + " " +
+       " ".join(f"s{i}_interp:f6 s{i}_n30:i" for i in (1, 2, 3)),
+       "SELECT a.*, b.* EXCLUDE (pid, day, date), c.* EXCLUDE (pid, day, date), " + ", ".join(
+           f"coalesce(s{i}_p1_value + (s{i}_n1_value - s{i}_p1_value) * s{i}_p1_days / (s{i}_p1_days + s{i}_n1_days), s{i}_p1_value, s{i}_n1_value) AS s{i}_interp, "
+           f"(SELECT count(*) FROM {{known}} k WHERE k.pid = a.pid AND k.source = {i - 1} AND abs(k.day - a.day) <= 30) AS s{i}_n30" for i in (1, 2, 3)) +
+       " FROM {ss0} a JOIN {ss1} b ON a.pid = b.pid AND a.day = b.day JOIN {ss2} c ON a.pid = c.pid AND a.day = c.day")
+def _(t):
+    return same_source(t.marked)
+
+
+@query("count_in_window", "pid:i date:d n15:i n30:i n60:i", "SELECT pid, date, " + ", ".join(
+    f"(SELECT count(*) FROM {{known}} k WHERE k.pid = t.pid AND abs(k.day - t.day) <= {w}) AS n{w}" for w in (15, 30, 60)) + " FROM {targets} t")
+def _(t):
+    return t.marked.withColumns({f"n{w}": frames.count_in_window(G.known(), w, ["pid"]) for w in (15, 30, 60)}).filter(G.gap())
+
+
+@query("loyo_norm", "pid:i date:d norm_n:i norm_years:i norm_mean:f6 norm_std:f5 z:f4",
+       "SELECT pid, date, norm_n, norm_years, norm_mean, norm_std, z FROM {loyo}")
+def _(t):
+    return loyo_norm(t.season)
+
+
+@query("keep_keys", "pid:i date:d", "SELECT pid, date FROM {panel} SEMI JOIN (SELECT pid, date FROM {targets}) USING (pid, date)")
+def _(t):
+    return t.panel.join(t.targets.select("pid", "date"), ["pid", "date"], "left_semi")
+
+
+@query("drop_keys", "pid:i date:d", "SELECT pid, date FROM {panel} ANTI JOIN (SELECT pid, date FROM {targets}) USING (pid, date)")
+def _(t):
+    return t.panel.join(t.targets.select("pid", "date"), ["pid", "date"], "left_anti")
+
+
+@query("cycle_counts_lookup", "pid:i date:d cnt:i", """SELECT t.pid, t.date, coalesce(c, 0) AS cnt FROM {targets} t LEFT JOIN (
+SELECT pid, year, ((day % 5) + 5) % 5 AS r, count(*) AS c FROM {known} WHERE s1 IS NOT NULL GROUP BY ALL) k
+ON t.pid = k.pid AND t.year = k.year AND ((t.day % 5) + 5) % 5 = k.r""")
+def _(t):
+    counts = t.known.filter("s1 IS NOT NULL").groupBy("pid", "year", G.residue(5).alias("r")).agg(F.count("*").alias("c"))
+    d = t.targets.withColumn("r", G.residue(5)).join(counts, ["pid", "year", "r"], "left")
+    return d.withColumn("cnt", F.coalesce("c", F.lit(0)))
+
+
+def inside_episode(obs, ep):
+    """Flag of rows inside any episode of their entity: the latest start at or before the day decides, as-of.
+
+    Episodes of one entity do not overlap, so the last one that began is the only candidate.
+    """
+    w = Window.partitionBy("pid").orderBy("day", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    s = ep.select("pid", F.col("start").alias("day"), F.col("end").alias("_end"), F.lit(0).alias("_o"))
+    d = obs.withColumn("_o", F.lit(1)).unionByName(s, allowMissingColumns=True)
+    last = F.last("_end", ignorenulls=True).over(w)
+    return d.withColumn("inside", F.coalesce(last >= F.col("day"), F.lit(False))).filter("_o = 1").drop("_o", "_end")
+
+
+@query("inside_episode", "pid:i date:d inside:b", """SELECT pid, date, EXISTS (SELECT 1 FROM {eps} e WHERE e.pid = s.pid AND s.day BETWEEN e.start AND e."end")
+AS inside FROM {season} s""")
+def _(t):
+    return inside_episode(t.season, plan(t).episodes)
+
+
+@query("interval_counts", "pid:i year:i start:i n_obs:i artifacts_near:i", """WITH s AS (SELECT *, value < 0.35e0 AS artifact FROM {season}),
+e AS (SELECT pid, year, datediff('day', DATE '2000-01-01', start) AS start, datediff('day', DATE '2000-01-01', "end") AS "end" FROM {zepisodes})
+SELECT e.pid, e.year, e.start, count(*) FILTER (NOT artifact AND s.day BETWEEN e.start AND e."end") AS n_obs,
+count(*) FILTER (artifact AND s.day BETWEEN e.start - 10 AND e."end" + 10) AS artifacts_near FROM e JOIN s ON e.pid = s.pid AND e.year = s.year GROUP BY ALL""")
+def _(t):
+    ep = z_episodes(t).select("pid", "year", day_num("start").alias("start"), day_num("end").alias("end"))
+    return interval_counts(ep, t.season.withColumn("artifact", F.col("value") < 0.35), 10)
+
+
+@query("assemble_sources", "pid:i date:d s1:f9 s2:f9 s3:f9 value:f9", "SELECT pid, date, s1, s2, s3, value FROM {panel}")
+def _(t):
+    """Separate source tables become one wide row per key by one aggregate instead of chained full joins."""
+    parts = None
+    for i, s in enumerate(("s1", "s2", "s3")):
+        p = t.panel.filter(F.col(s).isNotNull()).select("pid", "date", F.lit(s).alias("source"), F.col(s).alias("v"))
+        parts = p if parts is None else parts.unionByName(p)
+    wide = parts.groupBy("pid", "date").agg(*[F.max(F.when(F.col("source") == s, F.col("v"))).alias(s) for s in ("s1", "s2", "s3")])
+    return wide.withColumn("value", F.coalesce("s1", "s2", "s3"))
+
+
+def merge_predictions(parts: dict, key):
+    """One row per key with each model's prediction; ``n_dup`` tells how many rows beyond one a model gave."""
+    long = None
+    for name, df in parts.items():
+        p = df.select(*key, F.lit(name).alias("model"), "pred")
+        long = p if long is None else long.unionByName(p)
+    return long.groupBy(*key).agg(*[F.max(F.when(F.col("model") == m, F.col("pred"))).alias(m) for m in parts],
+                                  (F.count("*") - F.count_distinct("model")).alias("n_dup"))
+
+
+@query("merge_predictions", "pid:i date:d prev:f9 next:f9 n_dup:i",
+       "SELECT pid, date, val_prev AS prev, val_next AS next, 0 AS n_dup FROM {nb}")
+def _(t):
+    n = frames.neighbors(t.marked, ["pid"], G.gap(), G.known())
+    return merge_predictions({"prev": n.withColumn("pred", F.col("val_prev")), "next": n.withColumn("pred", F.col("val_next"))}, ["pid", "date"])
+
+
+@query("nearest_same_residue", "pid:i date:d prev:i next:i", """SELECT t.pid, t.date, min(t.day - k.day) FILTER (k.day < t.day) AS prev,
+min(k.day - t.day) FILTER (k.day > t.day) AS next FROM {targets} t LEFT JOIN {known} k ON t.pid = k.pid AND k.source = 0
+AND ((t.day % 5) + 5) % 5 = ((k.day % 5) + 5) % 5 GROUP BY t.pid, t.date""")
+def _(t):
+    ok, key = G.known() & (F.col("source") == 0), ["pid", G.residue(5)]
+    return t.marked.withColumns({"prev": F.col("day") - frames.last_before(ok, F.col("day"), key),
+                                 "next": frames.first_after(ok, F.col("day"), key) - F.col("day")}).filter(G.gap())
+
+
+def value_near(is_known, value, keys, max_days: int = 3):
+    """Value on the day, else of the nearest known day within ``max_days`` (the earlier of two equally near)."""
+    item = F.struct("day", value.alias("v"))
+    p, n = frames.last_before(is_known, item, keys, inclusive=True), frames.first_after(is_known, item, keys, inclusive=True)
+    dp, dn = F.col("day") - p["day"], n["day"] - F.col("day")
+    far = F.lit(1 << 20)
+    near_p = F.coalesce(dp, far) <= F.coalesce(dn, far)
+    return F.when(near_p & (dp <= max_days), p["v"]).when(~near_p & (dn <= max_days), n["v"])
+
+
+@query("value_near", "pid:i date:d near:f9", """SELECT t.pid, t.date, arg_min(k.value, (abs(k.day - t.day), k.day)) AS near FROM {marked} t
+LEFT JOIN {known} k ON k.pid = t.pid AND abs(k.day - t.day) <= 3 GROUP BY t.pid, t.date""")
+def _(t):
+    return t.marked.withColumn("near", value_near(G.known(), F.col("value"), ["pid"]))
+
+
+@query("last_finite", "pid:i last_s1:f9 last_s2:f9", """SELECT pid, arg_max(s1, day) FILTER (s1 IS NOT NULL) AS last_s1,
+arg_max(s2, day) FILTER (s2 IS NOT NULL) AS last_s2 FROM {panel} GROUP BY pid""")
+def _(t):
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("day")))
+    return t.panel.groupBy("pid").agg(last("s1").alias("last_s1"), last("s2").alias("last_s2"))
+
+
+@query("with_offsets", "pid:i date:d h:f9", "SELECT pid, date, h FROM {harm}")
+def _(t):
+    dim = t.spark.createDataFrame([(i, float(v)) for i, v in enumerate(C.SOURCE_OFFSET)], "source int, off double")
+    return t.panel.join(F.broadcast(dim), "source").withColumn("h", F.col("value") - F.col("off"))  # three rows
+
+
+# ---------------------------------------------------------------- pairs of entities
+cte("pair_rows", """SELECT a.pid AS a, b.pid AS b, count(*) AS n, corr(a.value, b.value) AS r FROM {known} a JOIN {known} b
+ON a.day = b.day AND a.source = b.source AND a.pid < b.pid GROUP BY ALL""")
+
+
+def day_source(df, value):
+    return df.select("pid", (F.col("day") * 4 + F.col("source")).cast("long").alias("key"), F.col(value).alias("v"))
+
+
+@query("pair_join", "a:i b:i n:i r:f5", "SELECT a, b, n, CASE WHEN n >= 8 THEN r END AS r FROM {pair_rows}")
+def _(t):
+    return pairs.with_correlation(pairs.pair_sums(day_source(t.known, "value"), "v"), 8)
+
+
+@query("top_correlated_pairs", "a:i b:i n:i r:f5", "SELECT * FROM {pair_rows} WHERE n >= 50 ORDER BY r DESC, a, b LIMIT 12")
+def _(t):
+    p = pairs.with_correlation(pairs.pair_sums(day_source(t.known, "value"), "v", 50), 50)
+    return p.orderBy(F.desc("r"), "a", "b").limit(12)
+
+
+@query("constraint_edges", "pid:i day:i n_window:i n_hidden:i", """SELECT a.pid, a.day, count(b.day) AS n_window, count(b.day) FILTER (b.is_gap) AS n_hidden
+FROM {known} a JOIN {marked} b ON a.pid = b.pid AND a.year <> b.year AND abs(a.doy - b.doy) <= 8 GROUP BY a.pid, a.day""")
+def _(t):
+    return G.constraint_audit(t.marked, loyo_norm(t.marked).select("pid", "day", F.col("norm_mean").alias("pub_mean")))
+
+
+def compare_norms(a, b, key):
+    """Agreement of two norms: RMSE of the means, correlation of z, share of equal status."""
+    d = a.select(*key, F.col("norm_mean").alias("m1"), F.col("z").alias("z1")).join(
+        b.select(*key, F.col("norm_mean").alias("m2"), F.col("z").alias("z2")), key).filter("z1 IS NOT NULL AND z2 IS NOT NULL")
+    diff = F.col("m1") - F.col("m2")
+    same = status_from_z(F.col("z1")) == status_from_z(F.col("z2"))
+    return d.agg(F.count("*").alias("n"), F.sqrt(F.avg(diff * diff)).alias("mean_rmse"), F.corr("z1", "z2").alias("z_corr"),
+                 F.avg(F.when(same, 1.0).otherwise(0.0)).alias("status_agreement"))
+
+
+cte("loyo_known", "SELECT *, CASE WHEN norm_std > 0 THEN (value - norm_mean) / norm_std END AS z FROM (" + """
+SELECT a.pid, a.day, a.value, avg(b.value) AS norm_mean, CASE WHEN stddev_pop(b.value) < 1e-6 THEN 0.0 ELSE stddev_pop(b.value) END AS norm_std
+FROM {season} a LEFT JOIN (SELECT * FROM {known} WHERE doy BETWEEN 91 AND 304) b ON a.pid = b.pid AND b.doy BETWEEN a.doy - 8 AND a.doy + 8 AND a.year <> b.year
+GROUP BY a.pid, a.day, a.value)""")
+
+
+@query("compare_norms", "n:i mean_rmse:f6 z_corr:f5 status_agreement:f5", """SELECT count(*) AS n, sqrt(avg(pow(a.norm_mean - b.norm_mean, 2))) AS mean_rmse,
+corr(a.z, b.z) AS z_corr, avg(CASE WHEN (a.z < -2) = (b.z < -2) AND (a.z < -1) = (b.z < -1) THEN 1.0 ELSE 0.0 END) AS status_agreement
+FROM {loyo} a JOIN {loyo_known} b USING (pid, day) WHERE a.z IS NOT NULL AND b.z IS NOT NULL""")
+def _(t):
+    held = t.marked.filter(F.col("doy").between(*C.SEASON_DOY))
+    return compare_norms(loyo_norm(t.season), loyo_norm(held, where=G.known()), ["pid", "day"])
+
+
+@query("dedupe_by_priority", "pid:i date:d source:i value:f9", "SELECT pid, date, source, value FROM {panel}")
+def _(t):
+    long = None
+    for i, s in enumerate(("s1", "s2", "s3")):
+        p = t.panel.filter(F.col(s).isNotNull()).select("pid", "date", F.lit(i).alias("source"), F.col(s).alias("value"))
+        long = p if long is None else long.unionByName(p)
+    return first_wins(long.withColumn("_p", F.col("source")), ["pid", "date"], "_p")
