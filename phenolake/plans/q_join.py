@@ -229,9 +229,9 @@ def _(t):
     return pairs.with_correlation(pairs.pair_sums(day_source(t.known, "value"), "v"), 8)
 
 
-@query("top_correlated_pairs", "a:i b:i n:i r:f5", "SELECT * FROM {pair_rows} WHERE n >= 50 ORDER BY r DESC, a, b LIMIT 12")
+@query("top_correlated_pairs", "a:i b:i n:i r:f5", "SELECT * FROM {pair_rows} WHERE n >= 8 ORDER BY r DESC, a, b LIMIT 12")
 def _(t):
-    p = pairs.with_correlation(pairs.pair_sums(day_source(t.known, "value"), "v", 50), 50)
+    p = pairs.with_correlation(pairs.pair_sums(day_source(t.known, "value"), "v", 8), 8)
     return p.orderBy(F.desc("r"), "a", "b").limit(12)
 
 
