@@ -363,6 +363,29 @@ def _(t):
     return pairs.donor_transfer(s1_rows(t.known), targets_key(t)).filter("w_all > 0")
 
 
+AN = " ".join(f"bw{b}_k{k}:f5 bw{b}_k{k}_w:f6" for b in (15, 35) for k in (1, 3, 10))
+cte("top10", "SELECT a, b, score FROM {pst} WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 10")
+cte("own_rows", "SELECT pid, day, s1 AS y FROM {known} WHERE s1 IS NOT NULL")
+cte("deltas", """SELECT a, b, day, y - CASE WHEN pd IS NULL THEN nv WHEN nd IS NULL THEN pv WHEN nd = pd THEN pv ELSE pv + (nv - pv) * (day - pd) / (nd - pd) END AS delta FROM (
+SELECT e.a, e.b, o.day, o.y, p.day AS pd, p.y AS pv, n.day AS nd, n.y AS nv FROM {top10} e JOIN {own_rows} o ON o.pid = e.a
+ASOF LEFT JOIN {own_rows} p ON p.pid = e.b AND o.day >= p.day ASOF LEFT JOIN {own_rows} n ON n.pid = e.b AND o.day <= n.day)
+WHERE least(day - pd, nd - day) <= 12""")
+_av, _, _aw = fit_sql("", min_points="2")
+for _bw in (15, 35):
+    cte(f"an{_bw}", f"""SELECT pid, day, b, w, v + ({_av}) AS pred FROM (SELECT t.pid, t.day, e.b, e.score AS w, any_value(k.y) AS v, {sums_sql(_bw, y="d.delta", e="t.day", p="d.day")}
+FROM {{targets}} t JOIN {{top10}} e ON e.a = t.pid JOIN {{own_rows}} k ON k.pid = e.b AND k.day = t.day JOIN {{deltas}} d ON d.a = e.a AND d.b = e.b AND abs(d.day - t.day) <= {3 * _bw}
+GROUP BY t.pid, t.day, e.b, e.score) WHERE {_aw} > 0.5""")
+    cte(f"an{_bw}k", f"SELECT pid, day, " + ", ".join(f"sum(w * pred) FILTER (r <= {k}) / sum(w) FILTER (r <= {k}) AS bw{_bw}_k{k}, sum(w) FILTER (r <= {k}) AS bw{_bw}_k{k}_w" for k in (1, 3, 10)) +
+        f" FROM (SELECT *, row_number() OVER (PARTITION BY pid, day ORDER BY w DESC, b) AS r FROM {{an{_bw}}}) GROUP BY pid, day")
+
+
+@query("donor_analog", "pid:i day:i " + AN, "SELECT a.*, b.* EXCLUDE (pid, day) FROM {an35k} b JOIN {an15k} a ON a.pid = b.pid AND a.day = b.day")
+def _(t):
+    rows = t.known.filter("s1 IS NOT NULL").select("pid", "day", F.col("s1").alias("v"))
+    edges = pairs.pair_statistics(pairs.pair_sums(s1_rows(t.known), "v"))
+    return pairs.donor_analog(rows, t.targets.select("pid", "day"), edges).filter("bw15_k1 IS NOT NULL AND bw35_k1 IS NOT NULL")
+
+
 cte("rp", "SELECT a.pid AS a, b.pid AS b, count(*) AS n, corr(a.res, b.res) AS r FROM {gres} a JOIN {gres} b ON a.day = b.day AND a.source = b.source AND a.pid <> b.pid AND a.res IS NOT NULL AND b.res IS NOT NULL GROUP BY ALL")
 cte("rw", """SELECT a, b, greatest((n * coalesce(CASE WHEN n >= 8 THEN r END, g) + 30 * g) / (n + 30), 0) AS w FROM (
 SELECT p.a, q.b, coalesce(n, 0) AS n, r, (SELECT avg(r) FROM {rp} WHERE n >= 8) AS g FROM (SELECT DISTINCT pid AS a FROM {marked}) p CROSS JOIN (SELECT DISTINCT pid AS b FROM {marked}) q

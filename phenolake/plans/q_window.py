@@ -266,13 +266,17 @@ def _(t):
     return D.regional_drivers(t.drivers, ["precip", "temp"])
 
 
-@query("daily_drivers", "pid:i n_days:i level:f6 origin:s", """WITH own AS (SELECT region AS pid, day, temp FROM {drivers} WHERE region < 20),
+@query("daily_drivers", "pid:i n_days:i level:f6 origin:s", """WITH n AS (SELECT region, count(*) AS c FROM {drivers} GROUP BY region),
+own AS (SELECT region AS pid, day, temp FROM {drivers} WHERE region IN (SELECT region FROM n WHERE c >= (SELECT avg(c) FROM n))),
 ent AS (SELECT DISTINCT n_nationkey AS pid FROM nation),
 f AS (SELECT day, median(temp) AS temp FROM own GROUP BY day)
 SELECT pid, count(*) AS n_days, avg(temp) AS level, 'own' AS origin FROM own GROUP BY pid UNION ALL
 SELECT pid, count(*), avg(temp), 'region' FROM ent CROSS JOIN f WHERE pid NOT IN (SELECT pid FROM own) GROUP BY pid""")
 def _(t):
-    own = t.drivers.filter("region < 20").withColumnRenamed("region", "pid")
+    """Entities with fewer driver days than the average one fall back to the regional series."""
+    n = t.drivers.groupBy("region").agg(F.count("*").alias("c"))
+    dense = n.filter(F.col("c") >= n.agg(F.avg("c")).scalar())
+    own = t.drivers.join(dense.select("region"), "region", "left_semi").withColumnRenamed("region", "pid")
     ent = t.read("nation").select(F.col("n_nationkey").alias("pid"))
     mapping, series = D.with_fallback(ent, own, D.regional_drivers(own, ["temp"]), "pid", ["temp"])
     facts = series.groupBy("driver_key").agg(F.count("*").alias("n_days"), F.avg("temp").alias("level"))
