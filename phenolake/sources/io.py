@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,11 +17,17 @@ PANEL_SCHEMA = T.StructType([
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """New folder below the cluster's shared checkpoint location."""
+    """New folder below the location that driver and executors share; removed when the session's JVM ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/phenolake-shared"  # only without a cluster setting, as in tests
-    return f"{base.rstrip('/')}/phenolake/{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/phenolake/{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
