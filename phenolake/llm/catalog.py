@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phenolake.llm import q_jaccard
+from phenolake.llm import q_contamination, q_jaccard, q_mixing, q_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _module in (q_jaccard,):
+for _module in (q_contamination, q_mixing, q_sharding, q_jaccard):
     QUERIES[_module.NAME] = _module.query
     if _module.SQL:
         SQL[_module.NAME] = _module.SQL
