@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phenolake.llm import q_contamination, q_jaccard, q_mixing, q_sharding
+import corpus_pipeline
+from phenolake.llm import (q_contamination, q_context_tree, q_jaccard, q_language, q_licenses, q_mixing, q_quality, q_repeats,
+                           q_sharding, q_toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _module in (q_contamination, q_mixing, q_sharding, q_jaccard):
-    QUERIES[_module.NAME] = _module.query
-    if _module.SQL:
-        SQL[_module.NAME] = _module.SQL
+for _q in (q_contamination, q_mixing, q_licenses, q_sharding, q_context_tree, q_quality, q_toxicity, q_repeats, q_language, q_jaccard):
+    QUERIES[_q.NAME] = _q.query
+    if _q.SQL:
+        SQL[_q.NAME] = _q.SQL
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
