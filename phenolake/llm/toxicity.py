@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phenolake.llm.common import cut_lineage, pieces
+from phenolake.llm.common import cut_lineage, let, pieces
 
 LABELLED = 24_000  #: labelled rows that the classifier is fitted on, at most; the first ones by digest of their id
-PRIOR = 200.0  #: weight of the prior, in token incidences
-LEAST_Z, LEAST_DOCS = 4.0, 4  #: evidence of a token that scores above the drift
+PRIOR, LEAST_PRIOR = 200.0, 0.5  #: weight of the prior, in incidences of all tokens, and of one token at least
+LEAST_Z, LEAST_SEEN, LEAST_ODDS = 4.7, 3, 1.0  #: evidence of a token that scores above the drift
 DRIFT = 0.08  #: what a token without evidence takes off a segment
 HIGHEST = 7.0  #: log-odds of one token, at most
 PREFIX, PREFIX_WORDS = (3, 4, 5, 6, 7, 8), 4  #: beginnings of words count as tokens if so many words share them
@@ -108,9 +108,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.withColumn("h", F.md5(F.col(id_col).cast("string").cast("binary"))).orderBy("h").limit(labelled)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
     part = F.substring("h", 32, 1).isin(*"048c")
-    sample = cut_lineage(rows.join(F.broadcast(known), id_col).select("text", "label", part.alias("other")))  # at most ``labelled`` rows
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)))
-    by_word = (sample.filter(~F.col("other")).select("label", F.explode(words).alias("word")).groupBy("word")
+    # copies of a text teach once; at most ``labelled`` rows are left
+    sample = cut_lineage(rows.join(F.broadcast(known), id_col).select("text", "label", part.alias("other")).groupBy(F.md5(F.col("text").cast("binary")).alias("t"))
+                         .agg(F.max("label").alias("label"), F.first("other").alias("other"), F.first("text").alias("text")))
+    # a word is counted once after each other word, so that near copies and common lines don't add up
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))
+    after = let(words, lambda w: F.array_distinct(F.transform(w, lambda x, i: F.struct(F.coalesce(F.get(w, i - 1), F.lit("")).alias("before"), x.alias("word")))))
+    by_word = (sample.filter(~F.col("other")).select("label", F.explode(after).alias("p")).select("label", "p.*").distinct().groupBy("word")
                .agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")))
     by_word = cut_lineage(by_word)
     starts = by_word.select("word", "a", "b", F.explode(F.array(*map(F.lit, PREFIX))).alias("n")).filter(F.char_length("word") >= F.col("n"))
@@ -128,12 +132,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def log_odds(counts: DataFrame, toxic: int, clean: int) -> DataFrame:
-    """(word, d, z) of words with evidence for toxic: log-odds with a Dirichlet prior in the proportions of all text, by their error."""
-    a, b = F.col("a"), F.col("b")
-    prior = PRIOR * (a + b) / float(toxic + clean)
+    """(word, d, z) of words with evidence for toxic: log-odds with a Dirichlet prior in the proportions of all text; evidence is the root of
+    the likelihood ratio, which holds for rare words too."""
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    prior = PRIOR * (a + b) / float(toxic + clean) + LEAST_PRIOR
     d = (F.log((a + prior) / (toxic + PRIOR - a - prior)) - F.log((b + prior) / (clean + PRIOR - b - prior)))
-    z = d / F.sqrt(1 / (a + prior) + 1 / (b + prior))
-    return counts.filter(a >= LEAST_DOCS).select("word", d.alias("d"), z.alias("z")).filter(F.col("z") >= LEAST_Z)
+
+    def part(x: Column, n: int) -> Column:
+        return F.when(x > 0, x * F.log(x * float(toxic + clean) / ((a + b) * float(n)))).otherwise(0.0)
+
+    z = F.sqrt(F.greatest(F.lit(0.0), 2 * (part(a, toxic) + part(b, clean))))
+    return (counts.filter(a >= LEAST_SEEN).select("word", d.alias("d"), z.alias("z"))
+            .filter((F.col("z") >= LEAST_Z) & (F.col("d") >= LEAST_ODDS)))
 
 
 def _rows(docs: DataFrame, model: Model):
