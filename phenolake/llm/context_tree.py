@@ -79,7 +79,7 @@ def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     zeros, ones = (np.zeros((len(counts), 256)) for _ in range(2))
     level = counts
     for depth in range(7, -1, -1):
-        pair = level.reshape(len(counts), -1, 2)
+        pair = level.reshape(len(counts), 1 << depth, 2)
         zeros[:, 1 << depth:2 << depth], ones[:, 1 << depth:2 << depth] = pair[..., 0], pair[..., 1]
         level = pair.sum(2)
     return zeros, ones
@@ -151,7 +151,7 @@ def _bytes(one: np.ndarray) -> np.ndarray:
     logs = np.zeros((len(one), 1))
     for depth in range(8):
         p = one[:, 1 << depth:2 << depth]
-        logs = np.stack([logs + np.log10(1 - p), logs + np.log10(p)], 2).reshape(len(one), -1)
+        logs = np.stack([logs + np.log10(1 - p), logs + np.log10(p)], 2).reshape(len(one), 2 << depth)
     return logs.astype(np.float32)
 
 

@@ -60,12 +60,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     slim = cut_lineage(keyed.groupBy("source_key", "key").agg(F.sum("size").alias("words")))
     goal = cut_lineage(targets(slim.groupBy("source_key").agg(F.sum("words").alias("source_size"))))
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    state = goal.select("source_key", F.lit("").alias("prefix"), (F.col("target") - times * F.col("source_size")).alias("budget"))
+    budget = F.col("target") - times * F.col("source_size")
+    state = goal.select("source_key", F.lit("").alias("prefix"), budget.alias("budget"))
     for level in range(LEVELS):
         state = cut_lineage(_refine(slim, state, level))
-    final = goal.join(state, "source_key").select("source_key", "source_size", "target", times.alias("base"), "prefix")
+    final = goal.join(state, "source_key").select("source_key", "source_size", "target", times.alias("base"), (budget > 0).alias("more"), "prefix")
     # one row for each source: left to the optimizer, which knows the written size
-    out = keyed.join(final, "source_key").withColumn("times", F.col("base") + (F.col("key") <= F.col("prefix")).cast("long"))
+    out = keyed.join(final, "source_key").withColumn("times", F.col("base") + (F.col("more") & (F.col("key") <= F.col("prefix"))).cast("long"))
     return out.select("row", "size", "source_size", "target", "times")
 
 
@@ -82,10 +83,9 @@ def _refine(slim: DataFrame, state: DataFrame, level: int) -> DataFrame:
         return hist.groupBy("source_key").agg(F.coalesce(
             F.min(F.when(F.col("upto") > F.col("budget"), F.struct(F.col("bucket").alias("prefix"), left.alias("budget")))),
             F.max(F.struct(F.col("bucket").alias("prefix"), left.alias("budget")))).alias("s")).select("source_key", "s.*")
+    # if the border bucket stays out, its own start: no whole key is as small, and those of the buckets before are smaller
     taken = F.max(F.when(2 * left >= F.col("words"), F.col("bucket")))
-    below = F.lit("")  # no key is below it: the border bucket's rows stay out, those of earlier buckets are below the prefix anyway
-    return hist.groupBy("source_key").agg(F.coalesce(taken, F.concat(F.substring(F.min("bucket"), 1, DIGITS * level), below)).alias("prefix"),
-                                          F.lit(0.0).alias("budget"))
+    return hist.groupBy("source_key").agg(F.coalesce(taken, F.substring(F.min("bucket"), 1, DIGITS * level)).alias("prefix"), F.lit(0.0).alias("budget"))
 
 
 def mixed_rows(docs: DataFrame, **names) -> DataFrame:

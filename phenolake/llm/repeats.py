@@ -8,14 +8,13 @@ with their neighbours; equal ones, joined where they overlap, are the maximal re
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenolake.llm.common import cut_lineage, pieces, small_enough
+from phenolake.llm.common import cut_lineage, small_enough
 from phenolake.llm.exchange import grouped, round_trip
 from phenolake.llm.words import Words, gram_hashes
 
@@ -60,16 +59,34 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sparse_suffixes(docs: DataFrame, least: int, shingle: int) -> DataFrame:
-    """(shingle, doc_id, row_key, place) of every kept suffix."""
-    def run(batches: Iterator[pa.RecordBatch]):
-        for b in pieces(batches):
-            w = Words(b.column("text"))
-            at, g = anchors(w, least, shingle)
-            doc = np.searchsorted(w.first, at, "right") - 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(g.astype(np.int64)), b.column("doc_id").take(pa.array(doc)), b.column("row_key").take(pa.array(doc)),
-                 pa.array((at - w.first[doc]).astype(np.int32))], ["shingle", "doc_id", "row_key", "place"])
-    return docs.mapInArrow(run, "shingle long, doc_id long, row_key long, place int")
+    """doc_id, row_key, places of the kept suffixes whose first shingle begins another kept suffix too."""
+    def send(b: pa.RecordBatch):
+        w = Words(b.column("text"))
+        at, g = anchors(w, least, shingle)
+        doc = np.searchsorted(w.first, at, "right") - 1
+        keys, which, count = np.unique(g, return_inverse=True, return_counts=True)
+        head = pickle.dumps((b.column("doc_id").to_numpy(), b.column("row_key").to_numpy(), doc.astype(np.int32),
+                             (at - w.first[doc]).astype(np.int32), which.astype(np.int32)))
+        return head, keys, count
+
+    def finish(head: bytes, answers: np.ndarray) -> pa.RecordBatch:
+        ids, row_keys, doc, place, which = pickle.loads(head)
+        again = answers[which] > 0 if len(which) else np.zeros(0, bool)
+        doc, place = doc[again], place[again]
+        rows, first = np.unique(doc, return_index=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array(place))
+        return pa.RecordBatch.from_arrays([pa.array(ids[rows], pa.int64()), pa.array(row_keys[rows], pa.int64()), lists], ["doc_id", "row_key", "places"])
+
+    return round_trip(docs, send, repeated, finish, "doc_id long, row_key long, places array<int>")
+
+
+def repeated(keys: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sorts what a range got and compares neighbours: 1 for keys that stand there more than once."""
+    order, start = grouped(keys)
+    total = np.add.reduceat(count[order].astype(np.int64), start)
+    out = np.empty(len(keys), np.uint64)
+    out[order] = np.repeat(total > 1, np.diff(np.append(start, len(keys))))
+    return out
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, shingle: int = SHINGLE) -> DataFrame:
@@ -79,10 +96,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Null and short texts have none; repeated rows repeat each other; rows without an id are left out, as nothing could name them;
     other columns aren't looked at."""
     d = _keyed(docs, id_col, text_col)
-    kept = cut_lineage(sparse_suffixes(d, least, shingle))
-    again = kept.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle")
-    places = cut_lineage(kept.join(again, "shingle").groupBy("doc_id", "row_key").agg(F.collect_set("place").alias("places")))
-    # at most LEAST times the corpus' words in all, so joined by key unless it is small
+    places = cut_lineage(sparse_suffixes(d, least, shingle).groupBy("doc_id", "row_key").agg(F.first("places").alias("places")))
+    # a row for each text with a candidate, so joined by key unless there are few
     near = d.join(F.broadcast(places) if small_enough(places, BROADCAST_ROWS) else places, ["doc_id", "row_key"])
 
     def send(b: pa.RecordBatch):
@@ -102,13 +117,6 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         head = pickle.dumps((b.column("doc_id").to_numpy(), doc.astype(np.int32), (begins - w.first[doc]).astype(np.int32), which.astype(np.int32)))
         return head, keys, count
 
-    def answer(keys: np.ndarray, count: np.ndarray) -> np.ndarray:
-        order, start = grouped(keys)
-        total = np.add.reduceat(count[order].astype(np.int64), start)
-        out = np.empty(len(keys), np.uint64)
-        out[order] = np.repeat(total > 1, np.diff(np.append(start, len(keys))))
-        return out
-
     def finish(head: bytes, answers: np.ndarray) -> pa.RecordBatch:
         ids, doc, begin, which = pickle.loads(head)
         again = answers[which] > 0 if len(which) else np.zeros(0, bool)
@@ -121,4 +129,4 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                                            pa.array((begin[last] + least - begin[first]).astype(np.int64) if len(first) else np.zeros(0, np.int64))],
                                           ["doc_id", "first_word", "n_words"])
 
-    return round_trip(near, send, answer, finish, "doc_id long, first_word long, n_words long")
+    return round_trip(near, send, repeated, finish, "doc_id long, first_word long, n_words long")

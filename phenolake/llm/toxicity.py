@@ -81,13 +81,13 @@ class Model:
         return len(words), segments(at, [scores[i] for i in at], DRIFT)
 
     def evidence(self, n: int, found: list[tuple[int, int, float]]) -> tuple[float, float]:
-        """Normalised scores: of the best passage, and of all that exceed what a clean text of this length shows."""
+        """Significance of the passages for a text of this length, all together and of those that clean text wouldn't show; 0 without any."""
         bits = [self.decay * s - math.log(n + 1.0) for _, _, s in found]
-        return max(bits, default=-math.log(n + 1.0)), sum(b for b in bits if b > 0)
+        return float(np.logaddexp.reduce([0.0, *bits])), math.log1p(sum(b for b in bits if b > 0))
 
     def probability(self, n: int, found) -> float:
         best, total = self.evidence(n, found)
-        x = self.curve[0] + self.curve[1] * best + self.curve[2] * math.log1p(total)
+        x = self.curve[0] + self.curve[1] * best + self.curve[2] * total
         return 1.0 / (1.0 + math.exp(-max(-700.0, min(700.0, x))))
 
     def score(self, text: str | None) -> dict:
@@ -181,7 +181,7 @@ def _calibrate(model: Model, rows: list) -> None:
     if not len(y):
         return
     ev = [model.evidence(r["n"], [(0, 0, s) for s in r["scores"]]) for r in rows]
-    x = np.array([[1.0, a, math.log1p(t)] for a, t in ev])
+    x = np.array([[1.0, a, t] for a, t in ev])
     w = np.zeros(3)
     ridge = np.diag([1e-3, 1e-2, 1e-2])
     for _ in range(50):
