@@ -66,6 +66,11 @@ def normal(text: Column) -> Column:
     return F.substring(words, F.lit(2), F.greatest(F.char_length(words) - 2, F.lit(0)))
 
 
+def tokens_of(words: Column) -> Column:
+    """Array of the words of normalised text."""
+    return F.split(F.trim(words), "  ")
+
+
 def _blanks(t: Column) -> Column:
     return (F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "), F.lit("")))).cast("long")
 
@@ -95,10 +100,9 @@ def templates_in_order(docs: DataFrame, text_col: str, templates=TEMPLATES) -> l
     come to the driver."""
     plain_tokens = [(label, plain(text)) for label, text in templates]
     vocabulary = sorted({t for _, tokens in plain_tokens for t in tokens})
-    padded = normal(F.col(text_col))
-    d = docs.select(padded.alias("t")).agg(*[F.sum(F.contains("t", F.lit(f" {v} ")).cast("int")).alias(f"c{i}") for i, v in enumerate(vocabulary)])
-    row = d.first()
-    seen = {v: row[i] or 0 for i, v in enumerate(vocabulary)}
+    held = F.array_intersect(F.array(*map(F.lit, vocabulary)), tokens_of(normal(F.col(text_col))))
+    found = docs.select(F.explode(held).alias("token")).groupBy("token").count()
+    seen = dict.fromkeys(vocabulary, 0) | {r["token"]: r["count"] for r in found.collect()}
     return [Template(i, label, tuple(sorted(tokens, key=lambda t: (seen[t], t)))) for i, (label, tokens) in enumerate(plain_tokens)]
 
 
@@ -109,9 +113,8 @@ def found_blocks(docs: DataFrame, ordered: list[Template]) -> DataFrame:
     known = spark.sql(f"SELECT * FROM VALUES {rows} AS t(number, label, m, needed, wanted)")
     index = known.select("*", F.posexplode(F.slice("wanted", F.lit(1), F.col("m") - F.col("needed") + 1)).alias("place", "token"))
     rare = F.array(*[F.lit(t) for t in sorted({t for x in ordered for t in x.prefix})])
-    some = F.exists(rare, lambda t: F.contains(F.col("words"), F.concat(F.lit(" "), t, F.lit(" "))))
-    lines = docs.filter(some).select("key", F.posexplode(F.split("text", "\n", -1)).alias("line", "block"))
-    lines = lines.withColumn("tokens", F.array_distinct(F.split(F.trim(F.regexp_replace(normal(F.col("block")), " +", " ")), " "))).drop("block")
+    lines = docs.filter(F.arrays_overlap(tokens_of(F.col("words")), rare)).select("key", F.posexplode(F.split("text", "\n", -1)).alias("line", "block"))
+    lines = lines.withColumn("tokens", F.array_distinct(tokens_of(normal(F.col("block"))))).drop("block")
     met = lines.withColumn("token", F.explode(F.array_intersect("tokens", rare))).join(F.broadcast(index), "token")  # a row for each template token
     # length: the block has enough tokens; place: enough of the template is left from the first common token on
     met = met.filter((F.size("tokens") >= F.col("needed")) & (F.col("m") - F.col("place") >= F.col("needed")))
