@@ -39,11 +39,6 @@ def denan(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
 
 
-def guarded(agg: Column, count: Column, least: int) -> Column:
-    """Aggregate that stays NULL until ``count`` reaches ``least``."""
-    return F.when(count >= least, agg)
-
-
 def day_num(date: str | Column) -> Column:
     return F.datediff(F.col(date) if isinstance(date, str) else date, F.lit(C.EPOCH).cast("date"))
 

@@ -20,8 +20,9 @@ def presence(df: DataFrame, keys, cols) -> DataFrame:
     return df.groupBy(*keys).agg(*[share(F.col(c).isNotNull()).alias(c) for c in cols], F.count("*").alias("n"))
 
 
-def pivot_share(df: DataFrame, row: str, col: str, values, cond: Column) -> DataFrame:
-    return df.withColumn("_v", F.when(cond, 1.0).otherwise(0.0)).groupBy(row).pivot(col, list(values)).agg(F.avg("_v"))
+def share_by(df: DataFrame, keys, cond: Column) -> DataFrame:
+    """Share of rows that meet ``cond``, one row for each combination of keys in the data."""
+    return df.groupBy(*keys).agg(F.avg(F.when(cond, 1.0).otherwise(0.0)).alias("share"))
 
 
 def grid_regime(df: DataFrame, rows: int = C.SEASON_ROWS) -> DataFrame:

@@ -145,16 +145,18 @@ def longest_dry(iv: DataFrame, grid: DataFrame, key: str, amount: str, ids) -> D
             .agg(F.max(F.least(F.col("_len"), F.col("day") - F.col("a") + 1)).alias("max_dry_spell")))
 
 
-def episode_drivers(ep: DataFrame, grid: DataFrame, key: str, ids, amount: str = "precip", level: str = "temp",
-                    years: tuple[int, int] = (1995, 2001)) -> DataFrame:
-    """Facts of the three windows of each episode against the same dates of at least three other years.
+def episode_drivers(ep: DataFrame, grid: DataFrame, key: str, ids, amount: str = "precip", level: str = "temp") -> DataFrame:
+    """Facts of the three windows of each episode against the same dates of at least three other years of its driver series.
 
     Output: one row per (key, ids, win). A window without any known amount has no row.
     """
     sums = driver_sums(grid, key, amount, level)
     win = window_days(ep.select(key, *ids, "start", "end")).drop("start", "end")
-    home = F.year(F.date_add(F.lit(C.EPOCH).cast("date"), F.col("a")))
-    every = win.withColumn("_y", F.explode(F.sequence(F.lit(years[0]), F.lit(years[1])))).withColumn("_home", home)
+    year_of = lambda day: F.year(F.date_add(F.lit(C.EPOCH).cast("date"), day))
+    span = grid.groupBy(key).agg(F.sequence(year_of(F.min("day")), year_of(F.max("day"))).alias("_years"))
+    every = win.join(span, key).withColumn("_home", year_of(F.col("a")))
+    # the window's own year always counts, whether the series reaches it or not
+    every = every.withColumn("_y", F.explode(F.array_union(F.array("_home"), F.col("_years")))).drop("_years")
     other = F.col("_y") != F.col("_home")
     a2, b2 = shifted_day(F.col("a"), F.col("_y")), shifted_day(F.col("b"), F.col("_y"))
     iv = (every.withColumns({"own": ~other, "len": F.col("b") - F.col("a"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from phenolake.functions import constants as C
 
-ZERO_VAR = 1e-12  # a variance below this is rounding noise of the difference of two sums
+ZERO_SHARE = 1e-12  # of the entity's own mean square: a variance below it is rounding noise of the difference of two sums
 
 
 def loyo_norm(df: DataFrame, window: int = C.NORM_WINDOW, value: str = "value", where: Column | None = None,
@@ -16,18 +16,22 @@ def loyo_norm(df: DataFrame, window: int = C.NORM_WINDOW, value: str = "value",
 
     ``where`` limits the rows that feed the norm; every row still receives one.
     """
-    v = F.col(value) if where is None else F.when(where, F.col(value))
-    every = Window.partitionBy(*keys).orderBy("doy").rangeBetween(-window, window)
+    # around the entity's mean, so that squares of large levels don't swallow the variance
+    whole = Window.partitionBy(*keys)
+    raw = F.col(value) if where is None else F.when(where, F.col(value))
+    df = df.withColumn("_c", F.coalesce(F.avg(raw).over(whole), F.lit(0.0))).withColumn("_v", raw - F.col("_c"))
+    v = F.col("_v")
+    every = whole.orderBy("doy").rangeBetween(-window, window)
     own = Window.partitionBy(*keys, "year").orderBy("doy").rangeBetween(-window, window)
     diff = lambda agg: F.coalesce(agg.over(every), F.lit(0)) - F.coalesce(agg.over(own), F.lit(0))
     # the row is always inside its own frame, so its year is in the set whenever it feeds the norm
     years = F.collect_set(F.when(v.isNotNull(), F.col("year"))).over(every)
-    d = df.withColumns({"norm_n": diff(F.count(v)), "_s": diff(F.sum(v)), "_q": diff(F.sum(v * v)),
+    d = df.withColumns({"norm_n": diff(F.count(v)), "_s": diff(F.sum(v)), "_q": diff(F.sum(v * v)), "_m": F.avg(v * v).over(whole),
                         "norm_years": F.size(F.array_remove(years, F.col("year")))})
-    mean = F.when(F.col("norm_n") > 0, F.col("_s") / F.col("norm_n"))
-    var = F.when(F.col("norm_n") > 0, F.col("_q") / F.col("norm_n") - F.pow(F.col("_s") / F.col("norm_n"), 2))
-    d = d.withColumns({"norm_mean": mean,
-                       "norm_std": F.when(var > ZERO_VAR, F.sqrt(var)).when(var.isNotNull(), 0.0)}).drop("_s", "_q")
+    some = F.col("norm_n") > 0
+    var = F.when(some, F.col("_q") / F.col("norm_n") - F.pow(F.col("_s") / F.col("norm_n"), 2))
+    d = d.withColumns({"norm_mean": F.when(some, F.col("_c") + F.col("_s") / F.col("norm_n")),
+                       "norm_std": F.when(var > ZERO_SHARE * F.col("_m"), F.sqrt(var)).when(var.isNotNull(), 0.0)}).drop("_s", "_q", "_m", "_c", "_v")
     return d.withColumn("z", F.when(F.col("norm_std") > 0, (F.col(value) - F.col("norm_mean")) / F.col("norm_std")))
 
 

@@ -38,11 +38,13 @@ def solve(name: str, min_points: float = 0.0, own: Column | None = None) -> tupl
     s0, s1, s2, t0, t1 = (F.col(f"{name}_{k}") for k in ("s0", "s1", "s2", "t0", "t1"))
     if own is not None:
         s0, t0 = s0 - F.when(own.isNotNull(), 1.0).otherwise(0.0), t0 - F.coalesce(own, F.lit(0.0))
-    det = s0 * s2 - s1 * s1
-    ok = (det > EPS) & (s0 >= min_points)
-    value = F.when(s0 < 1e-6, None).when(ok, F.try_divide(s2 * t0 - s1 * t1, det)).otherwise(t0 / F.greatest(s0, F.lit(EPS)))
-    slope = F.when(s0 < 1e-6, None).when(ok, F.try_divide(s0 * t1 - s1 * t0, det)).otherwise(0.0)
-    return value, slope, s0
+    # weighted moments: the line through the centre of mass, read at distance 0
+    at, level = F.try_divide(s1, s0), F.try_divide(t0, s0)
+    spread, shared = F.try_divide(s2, s0) - at * at, F.try_divide(t1, s0) - at * level
+    line = (s0 * s0 * spread > EPS) & (s0 >= min_points)
+    slope = F.when(line, F.try_divide(shared, spread)).otherwise(0.0)
+    some = s0 >= 1e-6
+    return F.when(some, level - slope * F.when(line, at).otherwise(0.0)), F.when(some, slope), s0
 
 
 def scatter(df: DataFrame, reach: float, keep, skeleton: Column | None = None) -> DataFrame:

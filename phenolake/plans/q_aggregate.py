@@ -10,7 +10,6 @@ from phenolake.operators.quantiles import exact_quantiles, ks_statistic
 from phenolake.plans.ctes import cte
 from phenolake.plans.registry import query
 
-YEARS = list(range(1995, 2002))
 STATUSES = ["normal", "depressed", "critical"]
 
 
@@ -37,11 +36,9 @@ def _(t):
     return A.presence(t.known, ["year"], ["s1", "s2", "s3"])
 
 
-@query("coverage_pivot", "pid:i " + " ".join(f"y{y}:f6" for y in YEARS), "SELECT pid, " + ", ".join(
-    f"avg(CASE WHEN source = 0 THEN 1.0 ELSE 0.0 END) FILTER (year = {y}) AS y{y}" for y in YEARS) + " FROM {panel} GROUP BY pid")
+@query("coverage_pivot", "pid:i year:i share:f6", "SELECT pid, year, avg(CASE WHEN source = 0 THEN 1.0 ELSE 0.0 END) AS share FROM {panel} GROUP BY ALL")
 def _(t):
-    d = A.pivot_share(t.panel, "pid", "year", YEARS, F.col("source") == 0)
-    return d.select("pid", *[F.col(str(y)).alias(f"y{y}") for y in YEARS])
+    return A.share_by(t.panel, ["pid", "year"], F.col("source") == 0)
 
 
 @query("grid_regime", "seasons:i partial:i entities_partial:i partial_rows_median:f6", """SELECT count(*) AS seasons,
@@ -255,11 +252,9 @@ def _(t):
     return loyo_norm(t.season).groupBy("year", "month").agg(F.avg("z").alias("mean_z"), F.count("z").alias("n"))
 
 
-@query("z_heatmap_entity", "pid:i " + " ".join(f"y{y}:f5" for y in YEARS), "SELECT pid, " + ", ".join(
-    f"avg(z) FILTER (year = {y}) AS y{y}" for y in YEARS) + " FROM {loyo} GROUP BY pid")
+@query("z_heatmap_entity", "pid:i year:i mean_z:f5", "SELECT pid, year, avg(z) AS mean_z FROM {loyo} GROUP BY ALL")
 def _(t):
-    d = loyo_norm(t.season).groupBy("pid").pivot("year", YEARS).agg(F.avg("z"))
-    return d.select("pid", *[F.col(str(y)).alias(f"y{y}") for y in YEARS])
+    return loyo_norm(t.season).groupBy("pid", "year").agg(F.avg("z").alias("mean_z"))
 
 
 @query("bin_profile", "category:i bin:i mean:f6 std:f6", """SELECT category, floor(doy / 8.0) * 8 AS bin, avg(value) AS mean,

@@ -10,8 +10,6 @@ from phenolake.plans.q_season import plan
 from phenolake.plans.q_window import filled, z_episodes
 from phenolake.plans.registry import query
 
-YEARS = (1995, 2001)
-
 # ---------------------------------------------------------------- drivers of an episode
 cte("wins", """SELECT e.pid, e.year, e.start AS ep, s_nationkey AS region, win, a, b FROM (
 SELECT pid, year, start, 'before' AS win, start - 30 AS a, start - 1 AS b FROM {eps} UNION ALL
@@ -20,10 +18,12 @@ JOIN supplier ON s_suppkey = e.pid WHERE s_nationkey IN (SELECT region FROM {fil
 cte("win_own", """SELECT w.*, count(*) AS n_days, count(precip) AS n_known, sum(precip) AS amount, avg(temp) AS level,
 count(*) FILTER (precip < 1) AS dry_days, count(*) FILTER (temp > 27) AS hot_days FROM {wins} w JOIN {filled} f
 ON f.region = w.region AND f.day BETWEEN w.a AND w.b GROUP BY ALL""")
+cte("region_years", """SELECT region, unnest(range(min(year(DATE '2000-01-01' + CAST(day AS INTEGER))),
+max(year(DATE '2000-01-01' + CAST(day AS INTEGER))) + 1)) AS y FROM {filled} GROUP BY region""")
 cte("win_years", """SELECT w.pid, w.year, w.ep, w.win, w.y, avg(temp) AS t, sum(precip) AS p FROM (SELECT w.*, y,
  datediff('day', DATE '2000-01-01', try_cast(concat(y, '-', strftime(DATE '2000-01-01' + CAST(a AS INTEGER), '%m-%d')) AS DATE)) AS a2,
  datediff('day', DATE '2000-01-01', try_cast(concat(y, '-', strftime(DATE '2000-01-01' + CAST(b AS INTEGER), '%m-%d')) AS DATE)) AS b2
- FROM {wins} w CROSS JOIN range(1995, 2002) r(y) WHERE y <> year(DATE '2000-01-01' + CAST(a AS INTEGER))) w
+ FROM {wins} w JOIN {region_years} r USING (region) WHERE y <> year(DATE '2000-01-01' + CAST(a AS INTEGER))) w
 JOIN {filled} f ON f.region = w.region AND f.day BETWEEN a2 AND b2 GROUP BY w.pid, w.year, w.ep, w.win, w.y, w.a, w.b
 HAVING count(*) >= 0.8e0 * (w.b - w.a) + 1 AND count(precip) / CAST(count(*) AS DOUBLE) > 0.8""")
 cte("win_norm", """SELECT pid, year, ep, win, count(*) AS norm_years, avg(p) AS amount_norm, avg(t) AS level_norm FROM {win_years}
@@ -42,17 +42,19 @@ WIN = ("pid:i year:i ep:i win:s n_days:i amount:f5 level:f5 dry_days:i hot_days:
 
 @query("episode_drivers", WIN, "SELECT * FROM {win_facts}")
 def _(t):
-    return plan(t).driver_facts(filled(t), YEARS)
+    return plan(t).driver_facts(filled(t))
 
 
 cte("zepisodes_day", "SELECT pid, year, datediff('day', DATE '2000-01-01', start) AS start FROM {zepisodes}")
 
 
 @query("calendar_shift", "pid:i year:i start:i other:i shifted:i", """SELECT pid, year, start, y AS other, datediff('day', DATE '2000-01-01',
-try_cast(concat(y, '-', strftime(DATE '2000-01-01' + CAST(start AS INTEGER), '%m-%d')) AS DATE)) AS shifted FROM {zepisodes_day} CROSS JOIN range(1995, 2002) r(y)
-WHERE y <> year""")
+try_cast(concat(y, '-', strftime(DATE '2000-01-01' + CAST(start AS INTEGER), '%m-%d')) AS DATE)) AS shifted FROM {zepisodes_day}
+CROSS JOIN (SELECT unnest(range(min(year), max(year) + 1)) AS y FROM {zepisodes_day}) r WHERE y <> year""")
 def _(t):
-    d = z_episodes(t).select("pid", "year", day_num("start").alias("start"), F.explode(F.sequence(F.lit(1995), F.lit(2001))).alias("other"))
+    ep = z_episodes(t).select("pid", "year", day_num("start").alias("start"))
+    first, last = ep.agg(F.min("year"), F.max("year")).first()
+    d = ep.withColumn("other", F.explode(F.sequence(F.lit(first), F.lit(last))))
     return d.filter("other <> year").withColumn("shifted", shifted_day(F.col("start"), F.col("other")))
 
 
@@ -119,7 +121,7 @@ ELSE CASE WHEN scope = 'local' THEN 0.45e0 ELSE 0.4e0 END END AS confidence FROM
 
 
 def run(t, strict=True):
-    return plan(t, strict).run(filled(t), YEARS)
+    return plan(t, strict).run(filled(t))
 
 
 @query("classify", "pid:i year:i start:i cause:s confidence:f2 stress:b scope:s strength:f3", "SELECT * FROM {caused}")

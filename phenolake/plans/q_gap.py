@@ -356,11 +356,13 @@ def targets_key(t):
     return t.targets.select("pid", F.col("day").cast("long").alias("key"))
 
 
-@query("donor_transfer", "pid:i key:i pred_1:f5 w_1:f6 pred_3:f5 w_3:f6 pred_8:f5 w_8:f6 pred_all:f5 w_all:f6", "SELECT pid, day AS key, " + ", ".join(
-    f"sum(w * y) FILTER (r <= {k}) / sum(w) FILTER (r <= {k}) AS pred_{n}, sum(w) FILTER (r <= {k}) AS w_{n}" for k, n in ((1, "1"), (3, "3"), (8, "8"), (1000000000, "all"))) +
-       " FROM {donors} GROUP BY pid, day")
+@query("donor_transfer", "pid:i key:i pred_1:f5 w_1:f6 pred_3:f5 w_3:f6 pred_8:f5 w_8:f6 pred_all:f5 w_all:f6", "SELECT t.pid, t.day AS key, " + ", ".join(
+    f"sum(w * y) FILTER (r <= {k}) / sum(w) FILTER (r <= {k}) AS pred_{n}, coalesce(sum(w) FILTER (r <= {k}), 0) AS w_{n}"
+    for k, n in ((1, "1"), (3, "3"), (8, "8"), (1000000000, "all"))) +
+       " FROM {targets} t LEFT JOIN {donors} d ON d.pid = t.pid AND d.day = t.day GROUP BY t.pid, t.day")
 def _(t):
-    return pairs.donor_transfer(s1_rows(t.known), targets_key(t)).filter("w_all > 0")
+    known = s1_rows(t.known)
+    return pairs.donor_transfer(known, targets_key(t), pairs.pair_statistics(pairs.pair_sums(known, "v", 12)))
 
 
 AN = " ".join(f"bw{b}_k{k}:f5 bw{b}_k{k}_w:f6" for b in (15, 35) for k in (1, 3, 10))
@@ -379,11 +381,16 @@ GROUP BY t.pid, t.day, e.b, e.score) WHERE {_aw} > 0.5""")
         f" FROM (SELECT *, row_number() OVER (PARTITION BY pid, day ORDER BY w DESC, b) AS r FROM {{an{_bw}}}) GROUP BY pid, day")
 
 
-@query("donor_analog", "pid:i day:i " + AN, "SELECT a.*, b.* EXCLUDE (pid, day) FROM {an35k} b JOIN {an15k} a ON a.pid = b.pid AND a.day = b.day")
+AN_SQL = ", ".join(f"bw{b}_k{k}, coalesce(bw{b}_k{k}_w, 0) AS bw{b}_k{k}_w" for b in (15, 35) for k in (1, 3, 10))
+
+
+@query("donor_analog", "pid:i day:i " + AN, f"""SELECT t.pid, t.day, {AN_SQL} FROM {{targets}} t LEFT JOIN {{an35k}} b ON b.pid = t.pid AND b.day = t.day
+LEFT JOIN {{an15k}} a ON a.pid = t.pid AND a.day = t.day""")
 def _(t):
-    rows = t.known.filter("s1 IS NOT NULL").select("pid", "day", F.col("s1").alias("v"))
-    edges = pairs.pair_statistics(pairs.pair_sums(s1_rows(t.known), "v"))
-    return pairs.donor_analog(rows, t.targets.select("pid", "day"), edges).filter("bw15_k1 IS NOT NULL AND bw35_k1 IS NOT NULL")
+    rows, asked = t.known.filter("s1 IS NOT NULL").select("pid", "day", F.col("s1").alias("v")), t.targets.select("pid", "day")
+    edges = pairs.pair_statistics(pairs.pair_sums(s1_rows(t.known), "v", 12))
+    found = asked.join(pairs.donor_analog(rows, asked, edges), ["pid", "day"], "left")
+    return found.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in found.columns if c.endswith("_w")})
 
 
 cte("rp", "SELECT a.pid AS a, b.pid AS b, count(*) AS n, corr(a.res, b.res) AS r FROM {gres} a JOIN {gres} b ON a.day = b.day AND a.source = b.source AND a.pid <> b.pid AND a.res IS NOT NULL AND b.res IS NOT NULL GROUP BY ALL")
@@ -392,13 +399,13 @@ SELECT p.a, q.b, coalesce(n, 0) AS n, r, (SELECT avg(r) FROM {rp} WHERE n >= 8)
 LEFT JOIN {rp} x ON x.a = p.a AND x.b = q.b WHERE p.a <> q.b)""")
 
 
-@query("weighted_day_effects", "pid:i key:i effect:f4 wsum:f5", """SELECT t.pid, t.day * 4 AS key, CASE WHEN sum(w) > 1e-6 THEN sum(w * res) / sum(w) END AS effect, sum(w) AS wsum
-FROM {targets} t JOIN {gres} k ON k.day = t.day AND k.source = 0 AND k.res IS NOT NULL AND k.pid <> t.pid JOIN {rw} ON a = t.pid AND b = k.pid GROUP BY t.pid, t.day HAVING sum(w) > 0""")
+@query("weighted_day_effects", "pid:i key:i effect:f4 wsum:f5", """SELECT t.pid, t.day * 4 + s.source AS key, CASE WHEN sum(w) > 1e-6 THEN sum(w * res) / sum(w) END AS effect,
+coalesce(sum(w), 0) AS wsum FROM {targets} t CROSS JOIN (SELECT unnest([0, 1, 2]) AS source) s
+LEFT JOIN {gres} k ON k.day = t.day AND k.source = s.source AND k.res IS NOT NULL AND k.pid <> t.pid LEFT JOIN {rw} ON a = t.pid AND b = k.pid GROUP BY t.pid, t.day, s.source""")
 def _(t):
     res = G.loo_residuals(t.known).filter("res IS NOT NULL")
-    tg = t.targets.select("pid", (F.col("day") * 4).cast("long").alias("key"))
-    seen = res.filter("source = 0").select((F.col("day") * 4).cast("long").alias("key")).distinct()
-    return pairs.weighted_day_effects(day_source(res, "res"), tg.join(seen, "key", "left_semi")).filter("wsum > 0")
+    asked = t.targets.select("pid", F.explode(F.array(*[(F.col("day") * 4 + s).cast("long") for s in range(3)])).alias("key"))
+    return pairs.weighted_day_effects(cut_lineage(day_source(res, "res")), asked)
 
 
 # ---------------------------------------------------------------- matrix, models, audit

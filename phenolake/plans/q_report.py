@@ -10,7 +10,7 @@ from phenolake.operators import sampling
 from phenolake.operators.norms import loyo_norm
 from phenolake.plans.ctes import cte
 from phenolake.plans.q_aggregate import with_status
-from phenolake.plans.q_context import YEARS, run
+from phenolake.plans.q_context import run
 from phenolake.plans.q_join import inside_episode
 from phenolake.plans.q_season import plan
 from phenolake.plans.q_window import filled
@@ -65,18 +65,21 @@ def _(t):
 def levels(t):
     p = plan(t)
     assessed = p.saved_z.groupBy("pid", "year").agg(F.avg("z").alias("mean_z")).filter("mean_z IS NOT NULL")
-    return R.season_level(t.season, p.run(filled(t), YEARS), assessed)
+    return R.season_level(t.season, p.run(filled(t)), assessed)
 
 
 @query("anomaly_feed", "pid:i name:s level:s level_rank:i", """SELECT l.pid, s_name AS name, level, list_position(['high', 'medium', 'data', 'context', 'unknown', 'clear'], level) - 1 AS level_rank
-FROM (SELECT s.pid, CASE WHEN bool_or(c.cause NOT IN ('data_suspect', 'crop_rotation') AND severity = 'critical') THEN 'high' WHEN bool_or(c.cause NOT IN ('data_suspect', 'crop_rotation')) THEN 'medium'
-WHEN bool_or(c.cause = 'data_suspect') THEN 'data' WHEN count(c.cause) > 0 THEN 'context' ELSE 'clear' END AS level
-FROM (SELECT DISTINCT pid, year FROM {season} WHERE year = 2001) s LEFT JOIN {caused} c ON c.pid = s.pid AND c.year = s.year GROUP BY s.pid) l JOIN supplier ON s_suppkey = l.pid
+FROM (SELECT e.pid, CASE WHEN count(s.year) = 0 THEN 'unknown' WHEN bool_or(c.cause NOT IN ('data_suspect', 'crop_rotation') AND severity = 'critical') THEN 'high'
+WHEN bool_or(c.cause NOT IN ('data_suspect', 'crop_rotation')) THEN 'medium' WHEN bool_or(c.cause = 'data_suspect') THEN 'data' WHEN count(c.cause) > 0 THEN 'context' ELSE 'clear' END AS level
+FROM (SELECT DISTINCT pid FROM {season}) e LEFT JOIN (SELECT DISTINCT pid, year FROM {season} WHERE year = (SELECT max(year) FROM {season})) s ON s.pid = e.pid
+LEFT JOIN {caused} c ON c.pid = s.pid AND c.year = s.year GROUP BY e.pid) l LEFT JOIN supplier ON s_suppkey = l.pid
 ORDER BY level_rank, lower(s_name)""")
 def _(t):
     names = t.read("supplier").select(F.col("s_suppkey").alias("pid"), F.col("s_name").alias("name"))
-    d = levels(t).filter("year = 2001").join(names, "pid").withColumn("level_rank", R.level_rank(F.col("level")))
-    return d.orderBy("level_rank", F.lower("name"))
+    latest = t.season.agg(F.max("year")).first()[0]
+    d = t.season.select("pid").distinct().join(levels(t).filter(F.col("year") == F.lit(latest)).select("pid", "level"), "pid", "left")
+    d = d.join(names, "pid", "left").withColumn("level", F.coalesce("level", F.lit("unknown")))
+    return d.withColumn("level_rank", R.level_rank(F.col("level"))).orderBy("level_rank", F.lower("name"))
 
 
 cte("trend_pts", "SELECT h.pid, h.year, h.day, h.h, z.norm_mean, z.norm_std FROM {hseries} h LEFT JOIN {zs} z ON z.pid = h.pid AND z.day = h.day WHERE NOT artifact")
@@ -116,7 +119,7 @@ CASE WHEN r IS NULL THEN 'unknown' WHEN r < 0.35e0 THEN 'almost_none' WHEN r < 0
 FROM (SELECT *, CASE WHEN amount_norm > 0 THEN amount / amount_norm END AS r, CASE WHEN level_norm > 0 THEN floor((level * 10 - level_norm * 10) / 20 + 0.5e0) END AS hd
 FROM (SELECT *, level - level_anomaly AS level_norm FROM {win_facts})))""")
 def _(t):
-    d = plan(t).driver_facts(filled(t), YEARS).withColumn("level_norm", F.col("level") - F.col("level_anomaly"))
+    d = plan(t).driver_facts(filled(t)).withColumn("level_norm", F.col("level") - F.col("level_anomaly"))
     rain, rain_tone = R.amount_tone(F.col("amount"), F.col("amount_norm"))
     heat, heat_tone = R.heat_tone(F.col("level") * 10, F.col("level_norm") * 10)
     return d.withColumns({"rain": rain, "rain_tone": rain_tone, "heat": heat, "heat_tone": heat_tone, "dry_tone": R.dry_tone(F.col("max_dry_spell"))})
@@ -136,7 +139,7 @@ def _(t):
     tones = p.saved_z.filter("value IS NOT NULL").select("pid", F.col("day").alias("last_day"), tone.alias("tone"))
     trend = R.deviation_trend(trend_points(p)).select("pid", "year", F.col("status").alias("trend"))
     last = days.join(tones, ["pid", "last_day"], "left").join(trend, ["pid", "year"], "left").fillna("ok", ["tone"])
-    return R.season_verdict(last, p.run(filled(t), YEARS))
+    return R.season_verdict(last, p.run(filled(t)))
 
 
 _FE = ", ".join(f"('{f}', CAST({f} AS DOUBLE))" for f in R.SHAPE)
@@ -198,7 +201,7 @@ def _(t):
 @query("field_facts", "pid:i n_seasons:i n_episodes:i doc:s")
 def _(t):
     p = plan(t)
-    return R.field_facts(p.run(filled(t), YEARS), p.seasons)
+    return R.field_facts(p.run(filled(t)), p.seasons)
 
 
 @query("mask_and_rerun", "seasons_full:i seasons_masked:i seasons_both:i day_jaccard:f4")

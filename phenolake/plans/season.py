@@ -75,24 +75,24 @@ class SeasonPlan:
     def seasons(self) -> DataFrame:
         return X.season_table(self.saved_series, self.saved_z, self.phenology)
 
-    def driver_facts(self, grid: DataFrame, years) -> DataFrame:
+    def driver_facts(self, grid: DataFrame) -> DataFrame:
         ep = self.saved_episodes.join(self.categories.withColumnRenamed("category", "region"), "pid").select(
             "region", "pid", "year", F.col("start").alias("ep"), "start", "end")
-        return D.episode_drivers(ep, grid, "region", ["pid", "year", "ep"], years=years)
+        return D.episode_drivers(ep, grid, "region", ["pid", "year", "ep"])
 
-    def facts(self, grid: DataFrame, years=(1995, 2001)) -> DataFrame:
+    def facts(self, grid: DataFrame) -> DataFrame:
         """All facts of an episode in one row: the input of the cause rules."""
         ep = X.region_context(self.saved_episodes, self.saved_z)
         ep = ep.join(self.phenology.drop("covered_days", "base", "amplitude", "integral", "peak_doy", "sos_doy", "half_decline_doy"),
                      ["pid", "year"], "left")
         ep = ep.join(X.index_anomaly(self.saved_episodes, self.saved_series), X.EPISODE_KEY, "left")
-        comb = self.driver_facts(grid, years).filter("win = 'combined'").drop("win", "region")
+        comb = self.driver_facts(grid).filter("win = 'combined'").drop("win", "region")
         comb = comb.select("pid", "year", F.col("ep").alias("start"), *[F.col(c).alias(f"c_{c}") for c in (
             "n_days", "amount", "amount_norm", "deficit_pct", "level", "level_anomaly", "hot_days", "max_dry_spell")])
         return ep.join(comb, X.EPISODE_KEY, "left")
 
-    def run(self, grid: DataFrame, years=(1995, 2001)) -> DataFrame:
+    def run(self, grid: DataFrame) -> DataFrame:
         """The whole batch: episodes with context, severity, cause, confidence, arguments and text."""
-        d = X.classify(self.facts(grid, years))
+        d = X.classify(self.facts(grid))
         d = d.withColumn("severity", X.severity(F.col("min_z"), F.col("critical_days")))
         return d.withColumn("text", X.describe())

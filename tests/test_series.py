@@ -213,3 +213,78 @@ def test_thin_keeps_ends(spark):
     d = days(spark, [(1, i, float(i)) for i in range(100)])
     got = sorted(r.day for r in frames.thin(d, ["pid"], ["day"], 40).collect())
     assert len(got) == 40 and got[0] == 0 and got[-1] == 99
+
+
+def test_drivers_take_the_years_of_their_series(spark):
+    """Episodes outside of any fixed span have facts, and a norm of all other years."""
+    grid = spark.sql("""SELECT 'r' AS region, datediff(d, DATE'2000-01-01') AS day, CAST(year(d) - 1990 AS DOUBLE) AS precip, 10.0D AS temp
+                        FROM (SELECT explode(sequence(DATE'1994-01-01', DATE'2005-12-31')) AS d)""")
+    ep = spark.sql("""SELECT 'r' AS region, 1L AS pid, y AS year, datediff(make_date(y, 6, 1), DATE'2000-01-01') AS ep,
+                      datediff(make_date(y, 6, 1), DATE'2000-01-01') AS start, datediff(make_date(y, 6, 20), DATE'2000-01-01') AS end
+                      FROM VALUES (1994), (2000), (2005) AS t(y)""")
+    got = {(r.year, r.win): r for r in D.episode_drivers(ep, grid, "region", ["pid", "year", "ep"]).collect()}
+    assert len(got) == 9
+    for y in (1994, 2000, 2005):
+        r = got[y, "during"]
+        others = [x - 1990 for x in range(1994, 2006) if x != y]
+        assert (r.n_days, r.norm_years) == (20, 11) and r.amount == 20.0 * (y - 1990)
+        assert r.amount_norm == pytest.approx(20 * sum(others) / len(others))
+
+
+def test_norm_does_not_depend_on_the_level(spark):
+    rows = [(1, y, doy, math.sin(doy * y) / 3) for y in range(2000, 2006) for doy in range(100, 160, 5)]
+    out = []
+    for level in (0.0, 1e8):
+        d = spark.createDataFrame([(p, y, doy, v + level) for p, y, doy, v in rows], "pid int, year int, doy int, value double")
+        out.append({(r.year, r.doy): (r.norm_std, r.z) for r in norms.loyo_norm(d).collect()})
+    for k, want in out[0].items():
+        assert out[1][k] == pytest.approx(want, rel=1e-6, abs=1e-6)
+    flat = spark.createDataFrame([(1, y, 100, 1e8) for y in range(2000, 2004)], "pid int, year int, doy int, value double")
+    assert {(r.norm_std, r.z) for r in norms.loyo_norm(flat).collect()} == {(0.0, None)}
+
+
+def test_shared_folder(spark):
+    class Conf:
+        def __init__(self, folder):
+            self.folder, self.set = folder, lambda k, v: None
+
+        def get(self, key, default=None):
+            return self.folder or default
+
+    class Context:
+        master = "yarn"
+
+    class Session:
+        conf, sparkContext, _jvm, _jsc = Conf(None), Context(), spark._jvm, spark._jsc
+
+    with pytest.raises(ValueError):
+        io.shared_dir(Session())
+    Session.conf = Conf("/tmp/somewhere/")
+    assert io.shared_dir(Session()).startswith("/tmp/somewhere/phenolake/")
+    Session.conf, Context.master = Conf(None), "local[2]"
+    assert "/phenolake/" in io.shared_dir(Session())
+
+
+def test_donors_and_day_effects_cover_every_target(spark):
+    known = spark.createDataFrame([(p, k, math.sin(p + k) + p * 0.1 * k) for p in range(5) for k in range(20) if (p + k) % 4], "pid long, key long, v double")
+    targets = spark.createDataFrame([(0, 3), (1, 2), (9, 3), (2, 99)], "pid long, key long")
+    edges = pairs.pair_statistics(pairs.pair_sums(known, "v", 12))
+    got = {(r.pid, r.key): r for r in pairs.donor_transfer(known, targets, edges).collect()}
+    assert len(got) == 4 and got[9, 3].w_all == 0 and got[2, 99].pred_all is None
+    effects = {(r.pid, r.key): r for r in pairs.weighted_day_effects(known, targets).collect()}
+    val = {(r.pid, r.key): r.v for r in known.collect()}
+
+    def corr(a, b):
+        both = [(val[a, k], val[b, k]) for k in range(20) if (a, k) in val and (b, k) in val]
+        n, ma, mb = len(both), sum(x for x, _ in both) / len(both), sum(y for _, y in both) / len(both)
+        c = sum((x - ma) * (y - mb) for x, y in both)
+        return n, c / math.sqrt(sum((x - ma) ** 2 for x, _ in both) * sum((y - mb) ** 2 for _, y in both))
+
+    table = {(a, b): corr(a, b) for a in range(5) for b in range(5) if a != b}
+    mean = sum(r for _, r in table.values()) / len(table)
+    for (pid, key), r in effects.items():
+        weights = {b: max((table[pid, b][0] * table[pid, b][1] + 30 * mean) / (table[pid, b][0] + 30), 0) if (pid, b) in table else max(mean, 0)
+                   for b in range(5) if b != pid and (b, key) in val}
+        assert r.wsum == pytest.approx(sum(weights.values()))
+        if r.wsum > 1e-6:
+            assert r.effect == pytest.approx(sum(w * val[b, key] for b, w in weights.items()) / r.wsum)
