@@ -51,7 +51,7 @@ def entity_shares(ep: DataFrame, z: DataFrame) -> DataFrame:
     tot = at("s", F.col("end")) - at("s", F.col("start") - 1)
     return d.select("year", "start", "end", cnt.alias("_c"), tot.alias("_s")).groupBy("year", "start", "end").agg(
         F.count(F.when(F.col("_c") > 0, 1)).alias("n_all"),
-        F.count(F.when((F.col("_c") > 0) & (F.col("_s") / F.greatest(F.col("_c"), F.lit(1)) < -1), 1)).alias("n_low"))
+        F.count(F.when((F.col("_c") > 0) & (F.round(F.col("_s") / F.greatest(F.col("_c"), F.lit(1)), 9) < -1), 1)).alias("n_low"))
 
 
 def region_context(ep: DataFrame, z: DataFrame) -> DataFrame:
@@ -63,7 +63,8 @@ def region_context(ep: DataFrame, z: DataFrame) -> DataFrame:
     # an episode always holds z values of its own entity: total minus own
     d = ep.join(entity_shares(ep, zz), ["year", "start", "end"]).join(region, EPISODE_KEY, "left")
     n = F.col("n_all") - 1
-    low = F.col("n_low") - F.when(F.col("mean_z") < -1, 1).otherwise(0)
+    # rounded as the shares are: an average and a difference of running sums may differ in the last bit
+    low = F.col("n_low") - F.when(F.round("mean_z", 9) < -1, 1).otherwise(0)
     ok = n >= C.REGION_MIN_ENTITIES
     return d.withColumns({"region_z": F.when(ok, F.col("_rz")), "n_entities": F.when(ok, n),
                           "share_low": F.when(ok, low / n)}).drop("_rz", "n_all", "n_low")

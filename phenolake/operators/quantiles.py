@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 ACCURACY = 100_000        # the sketch's rank error is at most n / ACCURACY
 MARGIN = 10 / ACCURACY    # brackets are ten times as wide
-SMALL = 100_000           # groups up to this size are ordered whole
+SMALL = 20_000            # up to here a bracket would be narrower than two ranks, and the group is ordered whole
 CUTS = 128                # ranges of a whole-table running count
 
 
@@ -55,7 +55,8 @@ def order_statistics(df: DataFrame, keys, value: str,
     aggs = []
     for name, (p, rank) in wants.items():
         top, r = F.col(f"_upto{probs.index(p)}"), rank(F.col("n"))
-        aggs.append(F.max(F.when((r > top - F.col("_c")) & (r <= top), F.col("_v"))).alias(name))
+        hit = F.max(F.when((r > top - F.col("_c")) & (r <= top), F.col("_v")))
+        aggs.append(F.when(hit.isNull() & r.between(1, F.col("n")), F.raise_error(F.lit(f"rank of {name} outside its bracket"))).otherwise(hit).alias(name))
     return counts.groupBy(*keys, "n").agg(*aggs)
 
 

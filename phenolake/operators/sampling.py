@@ -9,7 +9,8 @@ BIN_HEX = 3  # 4096 bins: the table of bin sizes has a fixed bound and can be br
 
 
 def hash_key(seed, cols) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c) for c in cols]))
+    """md5 of seed and columns; a seed of None leaves it to the first column."""
+    return F.md5(F.concat_ws("|", *([] if seed is None else [F.lit(str(seed))]), *[F.col(c) for c in cols]))
 
 
 def bin_offsets(bins: DataFrame) -> DataFrame:
@@ -38,9 +39,9 @@ def hash_rank(df: DataFrame, cols, seed, by: list[str] | None = None) -> DataFra
     return d.withColumn("_rank", F.col("_before") + rn).drop("_h", "_b", "_before")
 
 
-def exact_share(df: DataFrame, cols, share: float, seed, flag: str) -> DataFrame:
-    """Flags the first ``round(n * share)`` rows in hash order."""
-    d = hash_rank(df, cols, seed)
+def exact_share(df: DataFrame, cols, share: float, seed, flag: str, by: list[str] | None = None) -> DataFrame:
+    """Flags the first ``round(n * share)`` rows in hash order, of each group of ``by``."""
+    d = hash_rank(df, cols, seed, by)
     return d.withColumn(flag, F.col("_rank") <= F.round(F.col("_total") * share)).drop("_rank", "_total")
 
 

@@ -89,15 +89,12 @@ def _(t):
 
 
 def seeds_long(t):
-    """Hidden rows of three masks at once: the mask is part of every key, so one job serves all of them."""
-    out = None
-    for seed in ("777", "999", "2026"):
-        m = exact_share(t.panel, ["pid", "date"], C.GAP_SHARE, seed, "is_gap")
-        d = frames.neighbors(m, ["pid"], G.gap(), G.known()).withColumns({
-            "seed": F.lit(seed), "nearest_mean": frames.either(F.col("val_prev"), F.col("val_next")),
-            "prev_only": F.col("val_prev")})
-        out = d if out is None else out.unionByName(d)
-    return G.unpivot(out.withColumn("stratum", E.source_label(F.col("source"))), ["seed", "stratum"], "value", ["nearest_mean", "prev_only"])
+    """Hidden rows of three masks at once: the mask is a column of the panel and part of every key, so one plan serves all of them."""
+    d = t.panel.withColumn("seed", F.explode(F.array(*map(F.lit, ("777", "999", "2026")))))
+    m = exact_share(d, ["seed", "pid", "date"], C.GAP_SHARE, None, "is_gap", ["seed"])
+    d = frames.neighbors(m, ["seed", "pid"], G.gap(), G.known()).withColumns({
+        "nearest_mean": frames.either(F.col("val_prev"), F.col("val_next")), "prev_only": F.col("val_prev")})
+    return G.unpivot(d.withColumn("stratum", E.source_label(F.col("source"))), ["seed", "stratum"], "value", ["nearest_mean", "prev_only"])
 
 
 def _seed_sql(seed):

@@ -19,8 +19,10 @@ cte("px", f"""SELECT *, CASE WHEN clear AND nir >= 0 AND red >= 0 AND nir + red
 CASE WHEN clear AND nir >= 0 AND swir >= 0 AND nir + swir > 0 THEN (nir - swir) / (nir + swir) END AS ndmi FROM (SELECT *, {CLEAR_SQL} AS clear FROM {{pixels}})""")
 
 
-def px(t):
-    return P.index_of(t.pixels.withColumn("clear", clear()), F.col("clear"))
+def px(t, keep=None):
+    """Indexes of all pixels, or of the scenes in ``keep`` only: then bands are read for those."""
+    raw = t.pixels if keep is None else t.pixels.join(keep, ["zone", "scene"], "left_semi")
+    return P.index_of(raw.withColumn("clear", clear()), F.col("clear"))
 
 
 @query("normalized_difference", "zone:i scene:d px:i ndvi:f6 ndmi:f6", "SELECT zone, scene, px, ndvi, ndmi FROM {px}")
@@ -45,7 +47,7 @@ def _(t):
 HAVING count(*) >= 4 AND avg(clear::INT) >= 0.6) USING (zone, scene)""")
 def _(t):
     keep = P.clear_scenes(t.pixels.select("zone", "scene", "qa"), clear(), min_pixels=4).select("zone", "scene")
-    return px(t).join(keep, ["zone", "scene"], "left_semi")
+    return px(t, keep)
 
 
 cte("stats", """SELECT zone, scene, round(avg(ndvi) + 1e-10, 4) AS mean, round(count(ndvi) / CAST(count(*) AS DOUBLE) + 1e-10, 4) AS clear_share,

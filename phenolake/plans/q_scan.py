@@ -54,10 +54,13 @@ SELECT 'obs' AS part, count(*) AS n, sum(day) AS days, sum(value) AS total FROM
 UNION ALL SELECT 'grid', count(*), sum(day), sum(value) FROM {marked}
 UNION ALL SELECT 'gaps', count(*), sum(day), sum(value) FROM {marked} WHERE is_gap""")
 def _(t):
-    parts = zip(("obs", "grid", "gaps"), io.split_panel(t.marked))
-    out = [d.agg(F.count("*").alias("n"), F.sum("day").alias("days"), F.sum("value").alias("total"))
-           .withColumn("part", F.lit(name)) for name, d in parts]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    # one pass: each part's sums over the rows that ``split_panel`` gives it
+    obs, gap = F.col("value").isNotNull() & ~F.col("is_gap"), F.col("is_gap")
+    one = lambda name, c: F.struct(
+        F.lit(name).alias("part"), F.count(F.when(c, 1)).alias("n"), F.sum(F.when(c, F.col("day"))).alias("days"),
+        F.sum(F.when(c, F.col("value"))).alias("total")).alias(name)
+    sums = t.marked.agg(one("obs", obs), one("grid", F.lit(True)), one("gaps", gap))
+    return sums.select(F.explode(F.array("obs", "grid", "gaps")).alias("r")).select("r.*")
 
 
 @query("weather_rows", "region:s date:d rain:f6 temp:f6", "SELECT region, date, rain, temp FROM {stations}")
