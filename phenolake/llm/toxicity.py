@@ -22,7 +22,7 @@ from phenolake.llm.common import cut_lineage, let, pieces
 LABELLED = 24_000  #: labelled rows that the classifier is fitted on, at most; the first ones by digest of their id
 PRIOR, LEAST_PRIOR = 200.0, 0.5  #: weight of the prior, in incidences of all tokens, and of one token at least
 LEAST_Z, LEAST_SEEN, LEAST_ODDS = 4.7, 3, 1.0  #: evidence of a token that scores above the drift
-DRIFT = 0.08  #: what a token without evidence takes off a segment
+LEAST_DRIFT = 0.002  #: what a token without evidence takes off a segment, at least
 HIGHEST = 7.0  #: log-odds of one token, at most
 PREFIX, PREFIX_WORDS = (3, 4, 5, 6, 7, 8), 4  #: beginnings of words count as tokens if so many words share them
 THRESHOLD = 0.7
@@ -59,6 +59,7 @@ def segments(at: list[int], scores: list[float], drift: float) -> list[tuple[int
 @dataclass
 class Model:
     odds: dict[str, tuple[float, float]]  #: token, or beginning followed by "*" -> (log-odds, z)
+    drift: float = 0.02  #: minus the log-odds of a token without evidence
     decay: float = 1.0  #: lambda of the extreme-value law of clean text
     curve: tuple[float, ...] = (0.0, 0.0, 0.0)  #: logistic coefficients
     _known: dict[str, float] = field(default_factory=dict, repr=False)
@@ -74,11 +75,16 @@ class Model:
             self._known[word] = s
         return s
 
-    def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
+    def hits(self, text: str | None) -> tuple[int, list[int], list[float]]:
+        """(words, places and scores of those with evidence)."""
         words = _WORD.findall((text or "").lower())
         scores = [self._known[w] if w in self._known else self.token(w) for w in words]
         at = [i for i, s in enumerate(scores) if s > 0]
-        return len(words), segments(at, [scores[i] for i in at], DRIFT)
+        return len(words), at, [scores[i] for i in at]
+
+    def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
+        n, at, scores = self.hits(text)
+        return n, segments(at, scores, self.drift)
 
     def evidence(self, n: int, found: list[tuple[int, int, float]]) -> tuple[float, float]:
         """Significance of the passages for a text of this length, all together and of those that clean text wouldn't show; 0 without any."""
@@ -126,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     else:
         odds = {r["word"]: (min(HIGHEST, r["d"]), r["z"]) for r in log_odds(by_word.unionByName(starts), sums[0], sums[1]).collect()}
     model = Model(odds)
-    shown = sample.filter("other").mapInArrow(_rows(docs, model), "label int, n long, scores array<double>, tokens array<double>").collect()
+    shown = sample.filter("other").mapInArrow(_rows(docs, model), "label int, n long, places array<long>, scores array<double>").collect()
     _calibrate(model, shown)
     return model
 
@@ -152,24 +158,23 @@ def _rows(docs: DataFrame, model: Model):
     def run(batches: Iterator[pa.RecordBatch]):
         m = sent.value
         for b in pieces(batches):
-            n, scores, tokens = [], [], []
-            for t in b.column("text").to_pylist():
-                k, found = m.passages(t)
-                n.append(k), scores.append([s for _, _, s in found])
-                tokens.append([x for x in map(m.token, _WORD.findall((t or "").lower())) if x > 0])
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(n, pa.int64()), pa.array(scores, pa.list_(pa.float64())),
-                                              pa.array(tokens, pa.list_(pa.float64()))], ["label", "n", "scores", "tokens"])
+            n, places, scores = zip(*map(m.hits, b.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(n, pa.int64()), pa.array(places, pa.list_(pa.int64())),
+                                              pa.array(scores, pa.list_(pa.float64()))], ["label", "n", "places", "scores"])
     return run
 
 
 def _calibrate(model: Model, rows: list) -> None:
-    """Decay of the extreme-value law from the token scores of clean rows, then the logistic curve; both from a bounded sample."""
-    clean = [r for r in rows if r["label"] == 0]
-    n, hits = sum(r["n"] for r in clean), [x for r in clean for x in r["tokens"]]
+    """Drift from the shares of tokens with evidence in both classes, decay of the extreme-value law from the token scores of clean rows,
+    then the logistic curve; all from a bounded sample."""
+    parts = {y: [r for r in rows if r["label"] == y] for y in (0, 1)}
+    share = {y: (sum(len(r["scores"]) for r in part) + 1.0) / (sum(r["n"] for r in part) + 1000.0) for y, part in parts.items()}
+    model.drift = max(LEAST_DRIFT, math.log((1 - share[0]) / (1 - min(0.9, share[1]))))
+    n, hits = sum(r["n"] for r in parts[0]), [x for r in parts[0] for x in r["scores"]]
     miss = max(n - len(hits), 1)
 
     def excess(lam: float) -> float:  # expectation of exp(lam * score), less one
-        return (miss * math.exp(-lam * DRIFT) + sum(math.exp(lam * x) for x in hits or [HIGHEST]) ) / (miss + max(len(hits), 1)) - 1.0
+        return (miss * math.exp(-lam * model.drift) + sum(math.exp(lam * x) for x in hits or [HIGHEST]) ) / (miss + max(len(hits), 1)) - 1.0
 
     lo, hi = 1e-3, 8.0
     if excess(lo) < 0 < excess(hi):
@@ -180,7 +185,7 @@ def _calibrate(model: Model, rows: list) -> None:
     y = np.array([r["label"] for r in rows], float)
     if not len(y):
         return
-    ev = [model.evidence(r["n"], [(0, 0, s) for s in r["scores"]]) for r in rows]
+    ev = [model.evidence(r["n"], segments(r["places"], r["scores"], model.drift)) for r in rows]
     x = np.array([[1.0, a, t] for a, t in ev])
     w = np.zeros(3)
     ridge = np.diag([1e-3, 1e-2, 1e-2])
