@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 
 from phenolake.sources.io import cut_lineage
 
-__all__ = ["cut_lineage", "let", "parts_of", "pieces", "table", "components", "as_binary", "small_enough"]
+__all__ = ["cut_lineage", "let", "parts_of", "pieces", "table", "components", "give_back", "small_enough"]
 
-PIECE_BYTES = 6 << 20  #: text bytes that Python code holds at once; one longer text is a piece of its own
+PIECE_BYTES = 3 << 20  #: text bytes that Python code holds at once; one longer text is a piece of its own
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: an executor keeps its Python workers between stages, and counts what they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``limit`` text bytes, or one row: memory doesn't depend on the batch size of the session."""
     for batch in batches:
@@ -37,6 +46,8 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = P
             end = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+        del batch, column, off
+        give_back()
 
 
 def parts_of(spark: SparkSession, times: int = 2) -> int:
@@ -44,10 +55,6 @@ def parts_of(spark: SparkSession, times: int = 2) -> int:
     return times * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def as_binary(values: list[bytes]) -> pa.Array:
-    return pa.array(values, pa.binary())
-
-
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether a written table has at most ``rows`` rows: the check before a broadcast."""
     return df.limit(rows + 1).count() <= rows

@@ -134,10 +134,10 @@ class Tree:
 
     def leaves(self) -> np.ndarray:
         """Leaf of each number of DEPTH bytes: that of the longest context known."""
-        out, at = np.zeros(1 << 8 * DEPTH, np.uint32), 1
+        out, at = np.zeros(1 << 8 * DEPTH, np.uint16 if len(self.logs) < 1 << 16 else np.uint32), 1
         for d in range(1, DEPTH + 1):
             view = out.reshape(1 << 8 * (DEPTH - d), 1 << 8 * d)
-            view[:, self.contexts[d]] = np.arange(at, at + len(self.contexts[d]), dtype=np.uint32)
+            view[:, self.contexts[d]] = np.arange(at, at + len(self.contexts[d]), dtype=out.dtype)
             at += len(self.contexts[d])
         return out
 

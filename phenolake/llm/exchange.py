@@ -14,7 +14,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from phenolake.llm.common import parts_of, pieces
+from phenolake.llm.common import give_back, parts_of, pieces
 
 _SCHEMA = "part int, piece long, place int, keys binary, data binary"
 _ARROW = pa.schema([("part", pa.int32()), ("piece", pa.int64()), ("place", pa.int32()), ("keys", pa.binary()), ("data", pa.binary())])
@@ -38,6 +38,7 @@ def round_trip(df: DataFrame, send: Callable, answer: Callable, finish: Callable
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
     def answering(group: pa.Table) -> pa.Table:
+        give_back()
         head = group.filter(pa.compute.equal(group.column("place"), _HEAD))
         asked = group.filter(pa.compute.not_equal(group.column("place"), _HEAD))
         if not len(asked):
@@ -54,6 +55,7 @@ def round_trip(df: DataFrame, send: Callable, answer: Callable, finish: Callable
         return pa.concat_tables([head.cast(_ARROW), out])
 
     def finishing(group: pa.Table) -> pa.Table:
+        give_back()
         order = np.argsort(group.column("place").to_numpy())
         data, wide = group.column("data").to_pylist(), group.column("keys").to_pylist()
         head, rest = data[order[0]], [np.frombuffer(data[i], np.uint64 if wide[i] else np.uint32).astype(np.uint64) for i in order[1:]]
