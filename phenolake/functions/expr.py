@@ -157,5 +157,10 @@ def fingerprint(df: DataFrame, cols) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint")).alias("hash"))
 
 
+def short_id(*cols: str, digits: int = 12) -> Column:
+    """Stable id of a row's columns: the first hex digits of their sha256; NULL parts count as empty."""
+    return F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), 256), 1, digits)
+
+
 def over_entity(*extra: str):
     return Window.partitionBy("pid", *extra)

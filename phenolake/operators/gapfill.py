@@ -241,3 +241,24 @@ def constraint_audit(marked: DataFrame, published: DataFrame, window: int = C.NO
     d = d.filter(known() & F.col("pub_mean").isNotNull() & (F.col("n_window") > 0))
     return d.select("pid", "day", "n_window", "n_hidden", F.when(F.col("n_hidden") == 0, rest / F.col("n_window")).alias("residual"),
                     F.when(F.col("n_hidden") == 1, F.col("_hid")).alias("solved_day"), F.when(F.col("n_hidden") == 1, rest).alias("solved_value"))
+
+
+def constraint_rows(df: DataFrame, window: int = C.NORM_WINDOW) -> DataFrame:
+    """Edges of the published norms: (pid, day of a known row, day of a hidden row that its norm is made of).
+
+    One window by the entity's day of year brings the hidden rows of all years to the known one; those of its own year are left out.
+    """
+    near = Window.partitionBy("pid").orderBy("doy").rangeBetween(-window, window)
+    hidden = F.collect_list(F.when(gap(), F.struct("day", "year"))).over(near)
+    d = df.select("pid", "day", "year", known().alias("_known"), hidden.alias("_h")).filter("_known")
+    return d.select("pid", "day", F.explode(F.filter("_h", lambda x: x["year"] != F.col("year"))).alias("x")).select(
+        "pid", "day", F.col("x.day").alias("row_day"))
+
+
+def others_effect(res: DataFrame, tables: DataFrame) -> DataFrame:
+    """Day effect of the other entities at rows that are in the table themselves: total minus own, NULL where no one else was seen."""
+    t = tables.select("day", "source", F.col("sum").alias("_s"), F.col("cnt").alias("_c"))
+    own = F.when(F.col("res").isNotNull(), 1).otherwise(0)
+    d = res.join(F.broadcast(t), ["day", "source"])  # bounded by the calendar
+    return d.withColumns({"others_n": F.col("_c") - own,
+                          "others_effect": F.try_divide(F.col("_s") - F.coalesce("res", F.lit(0.0)), F.col("_c") - own)}).drop("_s", "_c")

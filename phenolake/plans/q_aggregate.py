@@ -201,6 +201,11 @@ def _(t):
     return ks_statistic(t.panel.filter("source = 0"), t.panel.filter("source = 1"), "value")
 
 
+@query("short_ids", "pid:i name:s id:s", "SELECT s_suppkey AS pid, s_name AS name, substr(sha256(concat_ws('|', s_suppkey, s_name)), 1, 12) AS id FROM supplier")
+def _(t):
+    return t.read("supplier").select(F.col("s_suppkey").alias("pid"), F.col("s_name").alias("name"), E.short_id("s_suppkey", "s_name").alias("id"))
+
+
 @query("entity_kind", "pid:i n_years:i kind:s", """SELECT pid, count(DISTINCT year) AS n_years,
 CASE WHEN bool_or(s1 > 0.99 AND year < 1997) THEN 'old' WHEN count(DISTINCT year) <= 1 THEN 'new_single' ELSE 'new_hist' END AS kind
 FROM {panel} GROUP BY pid""")

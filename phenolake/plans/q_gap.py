@@ -18,7 +18,7 @@ from phenolake.plans.q_season import fit_sql, sums_sql
 from phenolake.plans.q_window import composite_windows, filled
 from phenolake.plans.registry import query
 from phenolake.operators.sampling import exact_share
-from phenolake.sources.io import cut_lineage
+from phenolake.sources.io import cut_lineage, shared_dir, write_predictions
 
 METHODS = list(G.METHODS)
 
@@ -292,6 +292,24 @@ def _(t):
     return G.day_effects(t.targets, G.day_tables(G.loo_residuals(t.known)))
 
 
+@query("others_effect", "pid:i day:i source:i others_n:i others_effect:f4", """SELECT pid, day, source, n - k AS others_n, CASE WHEN n > k THEN (s - coalesce(res, 0)) / (n - k) END AS others_effect
+FROM (SELECT pid, day, source, res, CASE WHEN res IS NULL THEN 0 ELSE 1 END AS k, sum(res) OVER w AS s, count(res) OVER w AS n FROM {gres} WINDOW w AS (PARTITION BY day, source))""")
+def _(t):
+    res = cut_lineage(G.loo_residuals(t.known))
+    return G.others_effect(res, G.day_tables(res))
+
+
+@query("predictions_round_trip", "pid:i date:d pred:f9",
+       "SELECT pid, date, least(1.0e0, greatest(-0.2e0, coalesce((val_prev + val_next) / 2, val_prev, val_next, 0.0e0))) AS pred FROM {nb}")
+def _(t):
+    """The nearest-mean baseline through the checked sink, and read again."""
+    n = frames.neighbors(t.marked, ["pid"], G.gap(), G.known())
+    pred = n.select("pid", "date", F.coalesce(frames.either(F.col("val_prev"), F.col("val_next")), F.lit(0.0)).alias("pred"))
+    path = shared_dir(t.spark)
+    write_predictions(cut_lineage(pred), t.targets, path)
+    return t.spark.read.schema("pid long, date date, pred double").option("header", True).option("mode", "FAILFAST").csv(path)
+
+
 @query("residual_bias", "pid:i year:i " + " ".join(f"r{s}:f4 r{s}_n:i r{s}_y:f4 r{s}_y_n:i" for s in (1, 2, 3)), "SELECT pid, year, " + ", ".join(
     f"r{s}_y, r{s}_y_n, sum(r{s}_s) OVER p / nullif(sum(r{s}_y_n) OVER p, 0) AS r{s}, sum(r{s}_y_n) OVER p AS r{s}_n" for s in (1, 2, 3)) + " FROM (SELECT pid, year, " + ", ".join(
     f"avg(res) FILTER (source = {s - 1}) AS r{s}_y, sum(res) FILTER (source = {s - 1}) AS r{s}_s, count(res) FILTER (source = {s - 1}) AS r{s}_y_n" for s in (1, 2, 3)) +

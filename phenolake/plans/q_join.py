@@ -171,10 +171,11 @@ def merge_predictions(parts: dict, key):
 
 
 @query("merge_predictions", "pid:i date:d prev:f9 next:f9 n_dup:i",
-       "SELECT pid, date, val_prev AS prev, val_next AS next, 0 AS n_dup FROM {nb}")
+       "SELECT pid, date, val_prev AS prev, val_next AS next, CASE WHEN day % 3 = 0 THEN 1 ELSE 0 END AS n_dup FROM {nb}")
 def _(t):
     n = frames.neighbors(t.marked, ["pid"], G.gap(), G.known())
-    return merge_predictions({"prev": n.withColumn("pred", F.col("val_prev")), "next": n.withColumn("pred", F.col("val_next"))}, ["pid", "date"])
+    prev = n.withColumn("pred", F.col("val_prev"))
+    return merge_predictions({"prev": prev.unionByName(prev.filter("day % 3 = 0")), "next": n.withColumn("pred", F.col("val_next"))}, ["pid", "date"])
 
 
 @query("nearest_same_residue", "pid:i date:d prev:i next:i", """SELECT t.pid, t.date, min(t.day - k.day) FILTER (k.day < t.day) AS prev,
@@ -241,6 +242,12 @@ def _(t):
     return G.constraint_audit(t.marked, loyo_norm(t.marked).select("pid", "day", F.col("norm_mean").alias("pub_mean")))
 
 
+@query("constraint_rows", "pid:i day:i row_day:i", """SELECT a.pid, a.day, b.day AS row_day FROM {known} a JOIN {marked} b ON a.pid = b.pid
+AND a.year <> b.year AND abs(a.doy - b.doy) <= 8 AND b.is_gap""")
+def _(t):
+    return G.constraint_rows(t.marked)
+
+
 def compare_norms(a, b, key):
     """Agreement of two norms: RMSE of the means, correlation of z, share of equal status."""
     d = a.select(*key, F.col("norm_mean").alias("m1"), F.col("z").alias("z1")).join(
