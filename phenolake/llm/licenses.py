@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from phenolake.llm.common import let
+
 SHARE = 0.8
 
 #: Phrases and labels of the base scan.
@@ -60,10 +62,9 @@ def plain(text: str) -> tuple[str, ...]:
 
 
 def normal(text: Column) -> Column:
-    """Words, each between two blanks of its own. Only A-Z may change: the letters beyond ASCII whose lower case is or holds an ASCII letter are replaced first."""
+    """Words, each between two blanks of its own, and one more blank at either end. Only A-Z may change: the letters beyond ASCII whose lower case is or holds an ASCII letter are replaced first."""
     t = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u212b")), F.lit("\u0130"), F.lit("\u0131"))
-    words = F.regexp_replace(F.concat(F.lit(" "), F.lower(t), F.lit(" ")), _GAP, "  ")
-    return F.substring(words, F.lit(2), F.greatest(F.char_length(words) - 2, F.lit(0)))
+    return F.regexp_replace(F.concat(F.lit(" "), F.lower(t), F.lit(" ")), _GAP, "  ")
 
 
 def tokens_of(words: Column) -> Column:
@@ -77,7 +78,8 @@ def _blanks(t: Column) -> Column:
 
 def base(words: Column) -> dict[str, Column]:
     """Counts and places of the phrases in normalised text."""
-    n = _blanks(words) / 2
+    n = _blanks(words) / 2 - 1
+    beside = lambda part: (_blanks(part) - 1) / 2  # noqa: E731  words before or after a phrase
     out, labels, first, last, places = {}, [], [], [], F.lit(0).cast("long")
     for phrase, label in PHRASES.items():
         parts = phrase.split(" ")
@@ -85,8 +87,8 @@ def base(words: Column) -> dict[str, Column]:
         found = F.contains(words, F.lit(key))
         count = (F.octet_length(words) - F.octet_length(F.replace(words, F.lit(key), F.lit("")))) / len(key)
         places = places + F.when(found, count).otherwise(0).cast("long")
-        first.append(F.when(found, _blanks(F.substring_index(words, key, 1)) / 2).cast("long"))
-        last.append(F.when(found, n - _blanks(F.substring_index(words, key, -1)) / 2 - len(parts)).cast("long"))
+        first.append(F.when(found, beside(F.substring_index(words, key, 1))).cast("long"))
+        last.append(F.when(found, n - beside(F.substring_index(words, key, -1)) - len(parts)).cast("long"))
         labels.append(F.when(found, F.lit(label)))
     out["n_words"] = n.cast("long")
     out["n_base"] = places
@@ -107,13 +109,15 @@ def templates_in_order(docs: DataFrame, text_col: str, templates=TEMPLATES) -> l
 
 
 def found_blocks(docs: DataFrame, ordered: list[Template]) -> DataFrame:
-    """(key, line, label, share) for the rows (key, text, words) of ``docs``: lines joined with templates on the rare tokens."""
+    """(key, line, label, share) for the rows (key, text) of ``docs``: lines joined with templates on the rare tokens. Texts that hold none
+    of these, not even inside of a word, are left out before they are split."""
     spark = docs.sparkSession
     rows = ", ".join(f"({x.number}, '{x.label}', {len(x.tokens)}, {x.needed}, array({', '.join(repr(t) for t in x.tokens)}))" for x in ordered)
     known = spark.sql(f"SELECT * FROM VALUES {rows} AS t(number, label, m, needed, wanted)")
     index = known.select("*", F.posexplode(F.slice("wanted", F.lit(1), F.col("m") - F.col("needed") + 1)).alias("place", "token"))
     rare = F.array(*[F.lit(t) for t in sorted({t for x in ordered for t in x.prefix})])
-    lines = docs.filter(F.arrays_overlap(tokens_of(F.col("words")), rare)).select("key", F.posexplode(F.split("text", "\n", -1)).alias("line", "block"))
+    some = let(F.lower("text"), lambda low: F.exists(rare, lambda t: F.contains(low, t)))
+    lines = docs.filter(some).select("key", F.posexplode(F.split("text", "\n", -1)).alias("line", "block"))
     lines = lines.withColumn("tokens", F.array_distinct(tokens_of(normal(F.col("block"))))).drop("block")
     met = lines.withColumn("token", F.explode(F.array_intersect("tokens", rare))).join(F.broadcast(index), "token")  # a row for each template token
     # length: the block has enough tokens; place: enough of the template is left from the first common token on
@@ -133,8 +137,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     ordered = templates_in_order(docs, text_col, templates)
     key = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    d = d.withColumns({"key": key, "words": normal(F.col("text"))})
+    d = d.withColumn("key", key)
     finds = found_blocks(d, ordered).distinct().groupBy("key").agg(F.array_sort(F.collect_list(F.struct("line", "label", "share"))).alias("blocks"))
+    d = d.withColumn("words", normal(F.col("text")))
     d = d.select("doc_id", "key", *[c.alias(k) for k, c in base(F.col("words")).items()]).join(finds, "key", "left")
     labels = F.coalesce(F.transform("blocks", lambda b: b["label"]), F.array().cast("array<string>"))
     best = F.coalesce(F.array_max(F.transform("blocks", lambda b: b["share"])), F.lit(0.0))
