@@ -14,12 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenolake.llm.common import cut_lineage, small_enough
+from phenolake.llm.common import cut_lineage
 from phenolake.llm.exchange import grouped, round_trip
 from phenolake.llm.words import Words, gram_hashes
 
 LEAST, SHINGLE = 50, 8
-BROADCAST_ROWS = 1 << 19
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -97,8 +96,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     other columns aren't looked at."""
     d = _keyed(docs, id_col, text_col)
     places = cut_lineage(sparse_suffixes(d, least, shingle).groupBy("doc_id", "row_key").agg(F.first("places").alias("places")))
-    # a row for each text with a candidate, so joined by key unless there are few
-    near = d.join(F.broadcast(places) if small_enough(places, BROADCAST_ROWS) else places, ["doc_id", "row_key"])
+    near = d.join(places, ["doc_id", "row_key"])  # lists of places have no size bound, so nothing is broadcast by hint
 
     def send(b: pa.RecordBatch):
         w = Words(b.column("text"))
