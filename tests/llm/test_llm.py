@@ -409,6 +409,54 @@ def test_tree_weights():
         assert tree.logs[leaf, byte] == pytest.approx(want, abs=1e-4)
 
 
+def test_tree_keeps_rare_contexts(spark, empty):
+    """Scores by the recursion of the method over all contexts, with rare ones far below 2^-14 of the training bytes."""
+    rng = random.Random(6)
+    rare = "żółw ḱ qxj"
+    rows = [(i, " ".join(rng.choice(["bako", "tilo", "zumé"]) for _ in range(400))) for i in range(60)] + [(100, rare), (101, rare), (102, rare), (103, "Żółw"), (None, None)]
+    train = [zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2 for i, _ in rows]
+    assert sum(len(t.encode()) for _, t in rows[:60]) > 6 << 14 and 1 <= sum(train[60:63]) <= 3
+    for length in (3, 6):
+        seen = collections.defaultdict(lambda: [0, 0])
+        children = collections.defaultdict(set)
+
+        def steps(text):
+            raw = bytes(length) + lower(text).encode() + b"\0"
+            for at in range(length, len(raw)):
+                for k in range(8):
+                    yield raw[at - length:at], (k, raw[at] >> (8 - k)), raw[at] >> (7 - k) & 1
+
+        for (_, t), use in zip(rows, train):
+            for ctx, node, bit in steps(t) if use else ():
+                for d in range(length + 1):
+                    seen[ctx[length - d:], node][bit] += 1
+                    if d:
+                        children[ctx[length - d + 1:], node].add(ctx[length - d:])
+
+        kt = lambda c: math.lgamma(c[0] + .5) + math.lgamma(c[1] + .5) - math.log(math.pi) - math.lgamma(sum(c) + 1)
+        mixed = {}
+        for ctx, node in sorted(seen, key=lambda x: -len(x[0])):
+            own = kt(seen[ctx, node])
+            mixed[ctx, node] = own if len(ctx) == length else float(np.logaddexp(own, sum(mixed[c, node] for c in children[ctx, node]))) + math.log(.5)
+
+        def one(ctx, node):
+            p, weight = 0.0, 1.0
+            for d in range(length + 1):
+                c = seen.get((ctx[length - d:], node))
+                if c is None:
+                    return p + weight / 2
+                own = 1.0 if d == length else math.exp(kt(c) + math.log(.5) - mixed[ctx[length - d:], node])
+                p, weight = p + weight * own * (c[1] + .5) / (sum(c) + 1), weight * (1 - own)
+            return p
+
+        d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = {r["doc_id"]: r["score"] for r in context_tree.score(d, length=length).collect()}
+        for i, t in rows[:2] + rows[60:]:
+            want = sum(math.log10(p if bit else 1 - p) for p, bit in ((one(ctx, node), bit) for ctx, node, bit in steps(t)))
+            assert got[i] == pytest.approx(want, rel=1e-4)
+    assert context_tree.score(empty).count() == 0
+
+
 def test_pipeline(spark, tmp_path, docs, rows):
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     items(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
