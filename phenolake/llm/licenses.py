@@ -1,11 +1,12 @@
-"""License scan as an exact set-similarity join of text blocks (lines) with license templates.
+"""License scan as an exact set-similarity join of text blocks with license templates.
 
-A template of m distinct tokens is found in a block that contains at least ``SHARE`` of them. Tokens are ordered by their frequency in
-the whole corpus, rarest first: such a block holds at least one of a template's first m - needed + 1 tokens, so only blocks that
-hold one of these are joined; by the place of the first common token, and by the block's length, most of the rest is ruled out."""
+A block is any stretch of ``span`` words in a row, across line ends too: licenses are wrapped. A template of m distinct tokens is found in a
+block that contains at least ``SHARE`` of them. Tokens are ordered by their frequency in the whole corpus, rarest first: such a block
+holds at least one of a template's first m - needed + 1 tokens, so only the words around one of these are joined."""
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from phenolake.llm.common import let
 
 SHARE = 0.8
+SLACK = 1.25  #: words of a block for each word of its template
 
 #: Phrases and labels of the base scan.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -41,6 +43,7 @@ class Template:
     number: int
     label: str
     tokens: tuple[str, ...]  #: distinct, in global order
+    span: int  #: words of a block
 
     @property
     def needed(self) -> int:
@@ -61,6 +64,11 @@ def plain(text: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(re.sub(_GAP, " ", text.lower()).split()))
 
 
+def span(text: str) -> int:
+    """Words of the blocks that a template is sought in: its own, repeated ones too, and some between them."""
+    return math.ceil(SLACK * len(re.sub(_GAP, " ", text.lower()).split()))
+
+
 def normal(text: Column) -> Column:
     """Words, each between two blanks of its own, and one more blank at either end. Only A-Z may change: the letters beyond ASCII whose lower case is or holds an ASCII letter are replaced first."""
     t = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u212b")), F.lit("\u0130"), F.lit("\u0131"))
@@ -100,36 +108,40 @@ def base(words: Column) -> dict[str, Column]:
 def templates_in_order(docs: DataFrame, text_col: str, templates=TEMPLATES) -> list[Template]:
     """Templates with their tokens by document frequency over all of ``docs``, ties by name. Only the counts of the templates' own tokens
     come to the driver."""
-    plain_tokens = [(label, plain(text)) for label, text in templates]
-    vocabulary = sorted({t for _, tokens in plain_tokens for t in tokens})
+    plain_tokens = [(label, plain(text), span(text)) for label, text in templates]
+    vocabulary = sorted({t for _, tokens, _ in plain_tokens for t in tokens})
     held = F.array_intersect(F.array(*map(F.lit, vocabulary)), tokens_of(normal(F.col(text_col))))
     found = docs.select(F.explode(held).alias("token")).groupBy("token").count()
     seen = dict.fromkeys(vocabulary, 0) | {r["token"]: r["count"] for r in found.collect()}
-    return [Template(i, label, tuple(sorted(tokens, key=lambda t: (seen[t], t)))) for i, (label, tokens) in enumerate(plain_tokens)]
+    return [Template(i, label, tuple(sorted(tokens, key=lambda t: (seen[t], t))), words) for i, (label, tokens, words) in enumerate(plain_tokens)]
 
 
 def found_blocks(docs: DataFrame, ordered: list[Template]) -> DataFrame:
-    """(key, line, label, share) for the rows (key, text) of ``docs``: lines joined with templates on the rare tokens. Texts that hold none
-    of these, not even inside of a word, are left out before they are split."""
+    """(key, word, label, share) for the rows (key, text) of ``docs``: of the blocks around each rare token, the best one of each template that
+    has it, and its first word. Texts that hold no rare token, not even inside of a word, are left out before they are split."""
     spark = docs.sparkSession
-    rows = ", ".join(f"({x.number}, '{x.label}', {len(x.tokens)}, {x.needed}, array({', '.join(repr(t) for t in x.tokens)}))" for x in ordered)
-    known = spark.sql(f"SELECT * FROM VALUES {rows} AS t(number, label, m, needed, wanted)")
-    index = known.select("*", F.posexplode(F.slice("wanted", F.lit(1), F.col("m") - F.col("needed") + 1)).alias("place", "token"))
-    rare = F.array(*[F.lit(t) for t in sorted({t for x in ordered for t in x.prefix})])
-    some = let(F.lower("text"), lambda low: F.exists(rare, lambda t: F.contains(low, t)))
-    lines = docs.filter(some).select("key", F.posexplode(F.split("text", "\n", -1)).alias("line", "block"))
-    lines = lines.withColumn("tokens", F.array_distinct(tokens_of(normal(F.col("block"))))).drop("block")
-    met = lines.withColumn("token", F.explode(F.array_intersect("tokens", rare))).join(F.broadcast(index), "token")  # a row for each template token
-    # length: the block has enough tokens; place: enough of the template is left from the first common token on
-    met = met.filter((F.size("tokens") >= F.col("needed")) & (F.col("m") - F.col("place") >= F.col("needed")))
-    share = F.size(F.array_intersect("wanted", "tokens")) / F.col("m")
-    one = met.withColumn("place_first", F.array_min(F.transform(F.array_intersect("wanted", "tokens"), lambda t: F.array_position("wanted", t))) - 1)
-    return (one.filter(F.col("place") == F.col("place_first")).withColumn("share", share)
-            .filter(F.col("share") * F.col("m") >= F.col("needed")).select("key", "line", "label", "share"))
+    rows = ", ".join(f"({x.number}, '{x.label}', {len(x.tokens)}, {x.needed}, {x.span}, array({', '.join(repr(t) for t in x.tokens)}))" for x in ordered)
+    known = spark.sql(f"SELECT * FROM VALUES {rows} AS t(number, label, m, needed, span, wanted)")
+    index = known.select("*", F.explode(F.slice("wanted", F.lit(1), F.col("m") - F.col("needed") + 1)).alias("token"))
+    rare = sorted({t for x in ordered for t in x.prefix})
+    some = let(F.lower("text"), lambda low: F.exists(F.array(*map(F.lit, rare)), lambda t: F.contains(low, t)))
+    wide = max(x.span for x in ordered)
+    around = lambda words, i: F.struct(  # noqa: E731  the words of all blocks that hold word i
+        F.greatest(i - (wide - 1), F.lit(0)).alias("first"), F.least(i, F.lit(wide - 1)).alias("at"),
+        F.slice(words, F.greatest(i - (wide - 1), F.lit(0)) + 1, F.lit(2 * wide - 1)).alias("near"))
+    places = let(tokens_of(normal(F.col("text"))), lambda words: F.transform(
+        F.array_compact(F.transform(words, lambda t, i: F.when(t.isin(rare), i))), lambda i: around(words, i)))
+    met = docs.filter(some).select("key", F.explode(places).alias("x")).select("key", "x.*").withColumn("token", F.col("near")[F.col("at")])
+    met = met.join(F.broadcast(index), "token")  # a row for each template of a rare token's place
+    block = lambda s: let(F.slice("near", s + 1, F.col("span")), lambda w: F.struct(
+        F.size(F.array_intersect("wanted", w)).alias("held"), (-s).alias("s")))
+    best = F.array_max(F.transform(F.sequence(F.greatest(F.col("at") - F.col("span") + 1, F.lit(0)), "at"), block))
+    return (met.withColumn("best", best).filter(F.col("best.held") >= F.col("needed"))
+            .select("key", (F.col("first") - F.col("best.s")).alias("word"), "label", (F.col("best.held") / F.col("m")).alias("share")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and blocks (line, label, share of each find) for every
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and blocks (first word, label, share of each find) for every
     row.
 
     ``score`` is the best containment of a template that was found, and 1 where a base phrase stands. Null and wordless texts have no
@@ -138,7 +150,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     key = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     d = d.withColumn("key", key)
-    finds = found_blocks(d, ordered).distinct().groupBy("key").agg(F.array_sort(F.collect_list(F.struct("line", "label", "share"))).alias("blocks"))
+    finds = found_blocks(d, ordered).distinct().groupBy("key").agg(F.array_sort(F.collect_list(F.struct("word", "label", "share"))).alias("blocks"))
     d = d.withColumn("words", normal(F.col("text")))
     d = d.select("doc_id", "key", *[c.alias(k) for k, c in base(F.col("words")).items()]).join(finds, "key", "left")
     labels = F.coalesce(F.transform("blocks", lambda b: b["label"]), F.array().cast("array<string>"))

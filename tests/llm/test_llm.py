@@ -182,6 +182,18 @@ def test_licenses(docs, empty, rows):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_wrapped(spark):
+    heads = {"mpl": "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this\n# file",
+             "bsd": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:",
+             "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\")",
+             "reserved": "all\nrights\n\nreserved"}
+    far = " ".join(f"{w} one two three four five six" for w in "released under the mit license".split())
+    texts = [*heads.values(), far.replace("mit license", "license mit"), *("so it is " * 50 + t + "\nso it is" * 50 for t in heads.values())]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i]["labels"] for i in range(len(texts))] == [*heads, "", *heads]
+    assert all(got[i]["score"] == 1.0 for i in (0, 1, 2, 3)) and got[0]["blocks"] and got[8]["blocks"][0]["word"] <= 150
+
+
 def test_quality(docs, empty, rows):
     got = quality.judge(docs).collect()
     assert len(got) == len(rows)
