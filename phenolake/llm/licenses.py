@@ -1,7 +1,8 @@
 """License scan as an exact set-similarity join of text blocks with license templates.
 
 A block is any stretch of ``span`` words in a row, across line ends too: licenses are wrapped. A template of m distinct tokens is found in a
-block that contains at least ``SHARE`` of them. Tokens are ordered by their frequency in the whole corpus, rarest first: such a block
+block that contains at least ``SHARE`` of them, with the words that tell the license from others among them, and no word that
+belongs to another license. Tokens are ordered by their frequency in the whole corpus, rarest first: such a block
 holds at least one of a template's first m - needed + 1 tokens, so only the words around one of these are joined."""
 
 from __future__ import annotations
@@ -35,6 +36,15 @@ TEMPLATES = (
     ("reserved", "All rights reserved"),
 )
 
+#: By label, the words that tell a license from others. Those of them that a template has must all stand in a block.
+MARKS = {"apache": ("apache",), "gpl": ("gnu", "general", "public"), "mit": ("mit", "permission", "granted", "obtaining"),
+         "bsd": ("redistribution", "source", "binary", "forms"), "mpl": ("mozilla", "public"), "cc-by": ("creative", "commons", "attribution"),
+         "cc-by-nc": ("cc", "by", "nc"), "reserved": ("all", "rights", "reserved")}
+
+#: Words that make another license of it. None of them may stand in a block.
+OTHERS = {"gpl": ("lesser", "library", "affero"), "cc-by-nc": ("sa", "nd"),
+          "cc-by": ("noncommercial", "commercial", "sharealike", "share", "noderivatives", "noderivs", "derivatives", "nc", "sa", "nd")}
+
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -45,6 +55,14 @@ class Template:
     tokens: tuple[str, ...]  #: distinct, in global order
     span: int  #: words of a block
 
+    @property
+    def marks(self) -> tuple[str, ...]:
+        return tuple(t for t in MARKS.get(self.label, ()) if t in self.tokens)
+
+    @property
+    def others(self) -> tuple[str, ...]:
+        return OTHERS.get(self.label, ())
+
     @property
     def needed(self) -> int:
         return needed(len(self.tokens))
@@ -120,8 +138,9 @@ def found_blocks(docs: DataFrame, ordered: list[Template]) -> DataFrame:
     """(key, word, label, share) for the rows (key, text) of ``docs``: of the blocks around each rare token, the best one of each template that
     has it, and its first word. Texts that hold no rare token, not even inside of a word, are left out before they are split."""
     spark = docs.sparkSession
-    rows = ", ".join(f"({x.number}, '{x.label}', {len(x.tokens)}, {x.needed}, {x.span}, array({', '.join(repr(t) for t in x.tokens)}))" for x in ordered)
-    known = spark.sql(f"SELECT * FROM VALUES {rows} AS t(number, label, m, needed, span, wanted)")
+    words_sql = lambda words: f"cast(array({', '.join(repr(t) for t in words)}) AS array<string>)"
+    rows = ", ".join(f"({x.number}, '{x.label}', {len(x.tokens)}, {x.needed}, {x.span}, {words_sql(x.tokens)}, {words_sql(x.marks)}, {words_sql(x.others)})" for x in ordered)
+    known = spark.sql(f"SELECT * FROM VALUES {rows} AS t(number, label, m, needed, span, wanted, marks, others)")
     index = known.select("*", F.explode(F.slice("wanted", F.lit(1), F.col("m") - F.col("needed") + 1)).alias("token"))
     rare = sorted({t for x in ordered for t in x.prefix})
     some = let(F.lower("text"), lambda low: F.exists(F.array(*map(F.lit, rare)), lambda t: F.contains(low, t)))
@@ -133,8 +152,9 @@ def found_blocks(docs: DataFrame, ordered: list[Template]) -> DataFrame:
         F.array_compact(F.transform(words, lambda t, i: F.when(t.isin(rare), i))), lambda i: around(words, i)))
     met = docs.filter(some).select("key", F.explode(places).alias("x")).select("key", "x.*").withColumn("token", F.col("near")[F.col("at")])
     met = met.join(F.broadcast(index), "token")  # a row for each template of a rare token's place
-    block = lambda s: let(F.slice("near", s + 1, F.col("span")), lambda w: F.struct(
-        F.size(F.array_intersect("wanted", w)).alias("held"), (-s).alias("s")))
+    block = lambda s: let(F.slice("near", s + 1, F.col("span")), lambda w: F.when(
+        (F.size(F.array_except("marks", w)) == 0) & (F.size(F.array_intersect("others", w)) == 0),
+        F.struct(F.size(F.array_intersect("wanted", w)).alias("held"), (-s).alias("s"))))
     best = F.array_max(F.transform(F.sequence(F.greatest(F.col("at") - F.col("span") + 1, F.lit(0)), "at"), block))
     return (met.withColumn("best", best).filter(F.col("best.held") >= F.col("needed"))
             .select("key", (F.col("first") - F.col("best.s")).alias("word"), "label", (F.col("best.held") / F.col("m")).alias("share")))

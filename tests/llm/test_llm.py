@@ -194,6 +194,17 @@ def test_licenses_wrapped(spark):
     assert all(got[i]["score"] == 1.0 for i in (0, 1, 2, 3)) and got[0]["blocks"] and got[8]["blocks"][0]["word"] <= 150
 
 
+def test_licenses_told_apart(spark):
+    texts = {"Released under the BSD License.": "", "Released under the Apache License, Version 2.0.": "apache", "Licensed under CC BY 4.0": "cc-by",
+             "Licensed under the Mozilla Public License, Version 2.0": "", "Released under MIT License": "mit", "Licensed under Apache License, Version 2.0": "apache",
+             "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "",
+             "This work is licensed under a Creative Commons\nAttribution 4.0 International License": "cc-by", "Licensed under CC BY-NC-SA 4.0": "cc-by",
+             "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation": "",
+             "It was released last year, and everything under the new license is quite long and says nothing of it": ""}
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i]["labels"] for i in range(len(texts))] == list(texts.values())
+
+
 def test_quality(docs, empty, rows):
     got = quality.judge(docs).collect()
     assert len(got) == len(rows)
