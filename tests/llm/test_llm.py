@@ -432,6 +432,20 @@ def test_tree_weights():
         assert tree.logs[leaf, byte] == pytest.approx(want, abs=1e-4)
 
 
+def test_jaccard_bridge_without_id(spark):
+    """Two texts that only a near copy without an id links: one component, of which one row stays."""
+    words = [f"w{i}" for i in range(200)]
+    ends = [words[:8] + ["a1"] + words[9:], words[:190] + ["b1"] + words[191:]]
+    ends[0][30] = ends[0][60] = ends[1][120] = ends[1][150] = "other"
+    rows = [(1, " ".join(ends[0])), (None, " ".join(words)), (2, " ".join(ends[1])), (3, "something else that stands here alone"), (None, "another one without an id here")]
+    links, _ = _brute_links([t for _, t in rows])
+    assert links == {(0, 1), (1, 2)}
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.link_components(d).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (0, 1), (1, 1), (2, 1), (3, 3)]
+    assert sorted(r["doc_id"] or 0 for r in jaccard.one_of_each(d).collect()) == [0, 1, 3]
+
+
 def test_tree_keeps_rare_contexts(spark, empty):
     """Scores by the recursion of the method over all contexts, with rare ones far below 2^-14 of the training bytes."""
     rng = random.Random(6)
