@@ -200,9 +200,9 @@ def manifest(leaves: DataFrame, height: int = HEIGHT) -> DataFrame:
     top_stack, root = levels(top_nodes, height)
     start = root.select("tree", F.lit(0).cast("long").alias("pos"), F.array().cast("array<string>").alias("path"))
     top_paths = _handed_down(top_stack[0], paths(top_stack, start, height), height)
-    ends = cut_lineage(top_nodes.select(F.col("name").alias("tree"), "pos", F.col("digest").alias("subroot")).join(top_paths.select("pos", "path"), "pos")
-                       .withColumn("one", F.lit(0)).join(root.select(F.col("tree").alias("one"), F.col("digest").alias("root")), "one")
-                       .select("tree", F.lit(0).cast("long").alias("pos"), "path", "subroot", "root"))
+    ends = cut_lineage(top_nodes.select("tree", "name", "pos", F.col("digest").alias("subroot")).join(top_paths, ["tree", "pos"])
+                       .join(root.select("tree", F.col("digest").alias("root")), "tree")
+                       .select(F.col("name").alias("tree"), F.lit(0).cast("long").alias("pos"), "path", "subroot", "root"))
     names = ends.select(F.col("tree").alias("t0"), "subroot", "root")
     above = paths(stack, ends.select("tree", "pos", "path"), height)
     above = above.join(names, F.col("tree").eqNullSafe(F.col("t0"))).drop("t0")  # one row a block
