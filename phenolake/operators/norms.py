@@ -1,4 +1,4 @@
-"""Leave-one-year-out norms by differences of two windows instead of a self-join."""
+"""Leave-one-year-out norms from the moments of a row's own window, without a self-join."""
 
 from __future__ import annotations
 
@@ -7,31 +7,34 @@ from pyspark.sql import functions as F
 
 from phenolake.functions import constants as C
 
-ZERO_SHARE = 1e-12  # of the entity's own mean square: a variance below it is rounding noise of the difference of two sums
+
+def moments(values: Column) -> Column:
+    """struct(n, mean, std) of an array: deviations from its smallest value are averaged, then squares around that mean, so neither a large
+    level nor a small spread is lost and equal values have a std of exactly 0. Sorted first: the order of rows doesn't matter.
+    Mean and std are NULL for an empty array."""
+    def of(v):
+        n, low = F.size(v), F.array_min(v)
+        above = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x - low)) / F.nullif(n, F.lit(0))
+        return F.transform(F.array(above), lambda m: F.struct(n.alias("n"), (low + m).alias("mean"), F.sqrt(
+            F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.pow(x - low - m, 2)) / F.nullif(n, F.lit(0))).alias("std")))[0]
+    return F.transform(F.array(F.array_sort(values)), of)[0]
 
 
 def loyo_norm(df: DataFrame, window: int = C.NORM_WINDOW, value: str = "value", where: Column | None = None,
               keys=("pid",)) -> DataFrame:
     """Mean, population std and count over ±``window`` days of year of the other years, with z.
 
-    ``where`` limits the rows that feed the norm; every row still receives one.
+    ``where`` limits the rows that feed the norm; every row still receives one. A row's window is an array of at most
+    2 * ``window`` + 1 rows a year, as keys and day are unique.
     """
-    # around the entity's mean, so that squares of large levels don't swallow the variance
-    whole = Window.partitionBy(*keys)
-    raw = F.col(value) if where is None else F.when(where, F.col(value))
-    df = df.withColumn("_c", F.coalesce(F.avg(raw).over(whole), F.lit(0.0))).withColumn("_v", raw - F.col("_c"))
-    v = F.col("_v")
-    every = whole.orderBy("doy").rangeBetween(-window, window)
-    own = Window.partitionBy(*keys, "year").orderBy("doy").rangeBetween(-window, window)
-    diff = lambda agg: F.coalesce(agg.over(every), F.lit(0)) - F.coalesce(agg.over(own), F.lit(0))
-    # the row is always inside its own frame, so its year is in the set whenever it feeds the norm
-    years = F.collect_set(F.when(v.isNotNull(), F.col("year"))).over(every)
-    d = df.withColumns({"norm_n": diff(F.count(v)), "_s": diff(F.sum(v)), "_q": diff(F.sum(v * v)), "_m": F.avg(v * v).over(whole),
-                        "norm_years": F.size(F.array_remove(years, F.col("year")))})
-    some = F.col("norm_n") > 0
-    var = F.when(some, F.col("_q") / F.col("norm_n") - F.pow(F.col("_s") / F.col("norm_n"), 2))
-    d = d.withColumns({"norm_mean": F.when(some, F.col("_c") + F.col("_s") / F.col("norm_n")),
-                       "norm_std": F.when(var > ZERO_SHARE * F.col("_m"), F.sqrt(var)).when(var.isNotNull(), 0.0)}).drop("_s", "_q", "_m", "_c", "_v")
+    near = Window.partitionBy(*keys).orderBy("doy").rangeBetween(-window, window)
+    v = F.col(value).cast("double")
+    feeds = F.col(value).isNotNull() if where is None else where & F.col(value).isNotNull()
+    d = df.withColumn("_near", F.collect_list(F.when(feeds, F.struct(F.col("year").alias("y"), v.alias("v")))).over(near))
+    d = d.withColumn("_others", F.filter("_near", lambda x: x["y"] != F.col("year")))
+    d = d.withColumn("_m", moments(F.transform("_others", lambda x: x["v"])))
+    d = d.withColumns({"norm_n": F.col("_m.n").cast("long"), "norm_years": F.size(F.array_distinct(F.transform("_others", lambda x: x["y"]))),
+                       "norm_mean": F.col("_m.mean"), "norm_std": F.col("_m.std")}).drop("_near", "_others", "_m")
     return d.withColumn("z", F.when(F.col("norm_std") > 0, (F.col(value) - F.col("norm_mean")) / F.col("norm_std")))
 
 

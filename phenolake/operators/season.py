@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from phenolake.functions import constants as C
 from phenolake.functions.expr import clip, day_num, phase_of, source_offset
 from phenolake.operators import frames
+from phenolake.operators.norms import moments
 from phenolake.operators.aggregate import shrink
 from phenolake.operators.smooth import loo_fit, scatter, solve, sums
 
@@ -89,34 +90,25 @@ def reliable(c: str = "value") -> Column:
 
 
 def curve_norm(curves: DataFrame) -> DataFrame:
-    """Own norm from the other years' curves, as total minus own over (entity, day of year).
-
-    The std has a floor of 0.04, far above the rounding noise of the subtraction.
-    """
+    """Own norm from the other years' curves: moments of the (entity, day of year)'s values, one a year, without the own one."""
     w = Window.partitionBy("pid", "doy")
-    v = F.coalesce(reliable(), F.lit(0.0))
-    one = F.when(reliable().isNotNull(), 1).otherwise(0)
-    n = F.sum(one).over(w) - one
-    s, q = F.sum(v).over(w) - v, F.sum(v * v).over(w) - v * v
-    d = curves.withColumns({"norm_n": n, "_s": s, "_q": q})
-    mean = F.when(F.col("norm_n") > 0, F.col("_s") / F.col("norm_n"))
-    var = F.greatest(F.try_divide(F.col("_q"), F.col("norm_n")) - mean * mean, F.lit(0.0))
-    return d.withColumns({"norm_mean": mean, "norm_std": F.when(
-        F.col("norm_n") > 1, F.greatest(F.sqrt(var), F.lit(C.STD_FLOOR)))}).drop("_s", "_q")
+    every = F.collect_list(F.when(reliable().isNotNull(), F.struct(F.col("year").alias("y"), reliable().alias("v")))).over(w)
+    d = curves.withColumn("_m", moments(F.transform(F.filter(every, lambda x: x["y"] != F.col("year")), lambda x: x["v"])))
+    n = F.col("_m.n")
+    return d.withColumns({"norm_n": n.cast("long"), "norm_mean": F.col("_m.mean"),
+                          "norm_std": F.when(n > 1, F.greatest(F.col("_m.std"), F.lit(C.STD_FLOOR)))}).drop("_m")
 
 
 def category_norm(curves: DataFrame, categories: DataFrame) -> DataFrame:
-    """Norm per category and day of year over all its curves; needs three entities and more than two values."""
+    """Norm per category and day of year over all its curves; needs three entities and more than two values. Count, mean and
+    second moment are merged from partial aggregates."""
     d = curves.select("pid", "doy", reliable().alias("v")).join(categories, "pid")
-    per_entity = d.groupBy("category", "doy", "pid").agg(F.count("v").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
-    g = per_entity.groupBy("category", "doy").agg(F.sum("n").alias("cat_n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    size = per_entity.groupBy("category").agg(F.count_distinct("pid").alias("entities"))
-    mean = F.col("s") / F.col("cat_n")
-    std = F.sqrt(F.greatest(F.col("q") / F.col("cat_n") - mean * mean, F.lit(0.0)))
+    g = d.groupBy("category", "doy").agg(F.count("v").alias("cat_n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    size = d.select("category", "pid").distinct().groupBy("category").agg(F.count("*").alias("entities"))
     ok = F.col("cat_n") > 2
     return (g.join(size.filter(F.col("entities") >= C.CATEGORY_MIN_ENTITIES).select("category"), "category", "left_semi")
-            .select("category", "doy", "cat_n", F.when(ok, mean).alias("cat_mean"),
-                    F.when(ok, F.greatest(std, F.lit(C.STD_FLOOR))).alias("cat_std")))
+            .select("category", "doy", "cat_n", F.when(ok, F.col("mean")).alias("cat_mean"),
+                    F.when(ok, F.greatest(F.col("std"), F.lit(C.STD_FLOOR))).alias("cat_std")))
 
 
 def choose_norm(own: DataFrame, cat: DataFrame, categories: DataFrame, days: int = 60, years: int = 3) -> DataFrame:

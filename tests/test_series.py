@@ -104,6 +104,22 @@ def test_order_and_partitioning_do_not_matter(spark):
         (b[k] is None) if v is None else b[k] == pytest.approx(v, rel=1e-6) for k, v in a.items())
 
 
+@pytest.mark.parametrize("level", [0.0, 1e8])
+def test_norm_equals_exact_sums(spark, level):
+    from fractions import Fraction
+    d = bell(spark).withColumn("value", F.col("value") + level)
+    rows = [(r.year, r.doy, r.value, r.norm_n, r.norm_mean, r.norm_std) for r in norms.loyo_norm(d).collect()]
+    for year, doy, _, n, mean, std in rows:
+        v = [Fraction(x) for y, t, x, *_ in rows if y != year and abs(t - doy) <= C.NORM_WINDOW]
+        assert n == len(v) > 0
+        m = sum(v) / n
+        assert mean == pytest.approx(float(m), rel=1e-15)
+        exact = math.sqrt(sum((x - m) ** 2 for x in v) / n)
+        assert std == pytest.approx(exact, rel=1e-9, abs=1e-9 if level else 1e-24)
+    same = d.withColumn("value", F.lit(0.1) + level)
+    assert {r.norm_std for r in norms.loyo_norm(same).collect()} == {0.0}
+
+
 def test_exact_quantiles_with_hot_value_and_brackets(spark, monkeypatch):
     rows = [(i % 2, 5.0 if i % 3 == 0 else float((i * 7919) % 1000)) for i in range(4000)]
     d = spark.createDataFrame(rows, "g int, v double").repartition(4)
