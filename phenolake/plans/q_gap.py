@@ -17,6 +17,7 @@ from phenolake.plans.q_scan import DIST_EDGES, DIST_LABELS, folds
 from phenolake.plans.q_season import fit_sql, sums_sql
 from phenolake.plans.q_window import composite_windows, filled
 from phenolake.plans.registry import query
+from phenolake.operators.smooth import loo_fit
 from phenolake.operators.sampling import exact_share
 from phenolake.sources.io import cut_lineage, shared_dir, write_predictions
 
@@ -363,49 +364,109 @@ def _(t):
     return pairs.pair_statistics(pairs.pair_sums(s1_rows(t.known), "v"))
 
 
-cte("donors", """SELECT t.pid, t.day, k.pid AS donor, score AS w, mean_a + beta * (k.s1 - mean_b) AS y, row_number() OVER (PARTITION BY t.pid, t.day ORDER BY score DESC, k.pid) AS r
-FROM {targets} t JOIN {known} k ON k.day = t.day AND k.pid <> t.pid AND k.s1 IS NOT NULL JOIN {pst} ON a = t.pid AND b = k.pid WHERE score > 0""")
+#: series that donors are compared on: values of each source, and their residuals from the source's own curve
+KINDS = [(i, kind) for i in (1, 2, 3) for kind in ("value", "res")]
+RAW_BW = {1: 8, 2: 8, 3: 15}
+KS = ((1, "1"), (3, "3"), (8, "8"), (1000000000, "all"))
+_rv, _, _rw = fit_sql("", loo=True, min_points="2")
+for _i, _kind in KINDS:
+    if _kind == "value":
+        cte(f"dv{_i}value", f"SELECT pid, day, s{_i} AS v FROM {{known}} WHERE s{_i} IS NOT NULL")
+    else:
+        cte(f"dv{_i}res", f"""SELECT pid, day, greatest(-0.3e0, least(0.3e0, y - ({_rv}))) AS v FROM (SELECT a.pid, a.day, any_value(a.v) AS y, {sums_sql(RAW_BW[_i], y="b.v")}
+FROM {{dv{_i}value}} a JOIN {{dv{_i}value}} b ON a.pid = b.pid AND abs(b.day - a.day) <= {3 * RAW_BW[_i]} GROUP BY a.pid, a.day) WHERE {_rw} >= 0.5""")
+    _y = "p.mean_a + p.beta * (k.v - p.mean_b)" if _kind == "value" else "p.beta * k.v"
+    cte(f"dp{_i}{_kind}", f"""SELECT a, b, n, ma AS mean_a, mb AS mean_b, least(2, greatest(0, cov / (vb + 0.002e0))) AS beta, CASE WHEN n >= 12 THEN
+pow(least(1, greatest(0, cov / sqrt(greatest(va * vb, 1e-8)))), 4) * n / (n + 40) ELSE 0 END AS score FROM (SELECT a.pid AS a, b.pid AS b, count(*) AS n, avg(a.v) AS ma, avg(b.v) AS mb,
+greatest(avg(a.v * a.v) - pow(avg(a.v), 2), 0) AS va, greatest(avg(b.v * b.v) - pow(avg(b.v), 2), 0) AS vb, avg(a.v * b.v) - avg(a.v) * avg(b.v) AS cov
+FROM {{dv{_i}{_kind}}} a JOIN {{dv{_i}{_kind}}} b ON a.day = b.day AND a.pid <> b.pid GROUP BY ALL)""")
+    cte(f"dn{_i}{_kind}", "SELECT pid, day, " + ", ".join(
+        f"sum(w * y) FILTER (r <= {k}) / sum(w) FILTER (r <= {k}) AS sp_s{_i}_{_kind}_{n}, sum(w) FILTER (r <= {k}) AS sp_s{_i}_{_kind}_{n}_w" for k, n in KS) + f"""
+FROM (SELECT t.pid, t.day, p.score AS w, {_y} AS y, row_number() OVER (PARTITION BY t.pid, t.day ORDER BY p.score DESC, k.pid) AS r
+FROM {{targets}} t JOIN {{dv{_i}{_kind}}} k ON k.day = t.day AND k.pid <> t.pid JOIN {{dp{_i}{_kind}}} p ON p.a = t.pid AND p.b = k.pid WHERE p.score > 0) GROUP BY pid, day""")
+
+
+def raw_rows(known):
+    """Rows of every raw source column, the chosen source or not: part = its number."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("part"), F.col(f"s{i}").alias("v")) for i in (1, 2, 3)]))
+    return known.select("pid", "day", each.alias("x")).select("pid", "day", "x.part", "x.v").filter("v IS NOT NULL")
+
+
+def raw_residuals(rows):
+    """Residual of each raw row from the curve of its own entity and source, clipped; rows that the curve can't judge are left out."""
+    out = None
+    for i, bw in RAW_BW.items():
+        f = loo_fit(rows.filter(F.col("part") == i), ["pid"], "v", float(bw), min_points=2.0)
+        f = f.filter("fit_weight >= 0.5").select("pid", "day", "part", E.clip(F.col("v") - F.col("fit"), -0.3, 0.3).alias("v"))
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
+def keyed(d):
+    return d.withColumn("key", F.col("day").cast("long"))
+
 
+def by_source(targets):
+    """Each target once for every source."""
+    return targets.select("pid", F.col("day").cast("long").alias("key"), F.explode(F.array(*[F.lit(i).cast("long") for i in (1, 2, 3)])).alias("part"))
 
-def targets_key(t):
-    return t.targets.select("pid", F.col("day").cast("long").alias("key"))
 
+def donors(known, targets):
+    """One row a target: donors' values and residuals of the three sources, by the best 1, 3, 8 and by all."""
+    rows, targets = cut_lineage(raw_rows(known)), cut_lineage(targets.select("pid", "day"))
+    series = {"value": rows, "res": cut_lineage(raw_residuals(rows))}
+    names = [n for _, n in KS]
+    wide = []
+    for kind, d in series.items():
+        got = pairs.donor_transfer(keyed(d), by_source(targets), residuals=kind == "res")
+        wide.append(got.select("pid", F.col("key").alias("day"), "part", F.lit(kind).alias("kind"), *[c for n in names for c in (f"pred_{n}", f"w_{n}")]))
+    at = lambda i, kind: (F.col("part") == i) & (F.col("kind") == kind)
+    return wide[0].unionByName(wide[1]).groupBy("pid", "day").agg(*[
+        F.max(F.when(at(i, kind), F.col(c))).alias(f"sp_s{i}_{kind}_{n}{'_w' if c[0] == 'w' else ''}") for i, kind in KINDS for n in names for c in (f"pred_{n}", f"w_{n}")])
 
-@query("donor_transfer", "pid:i key:i pred_1:f5 w_1:f6 pred_3:f5 w_3:f6 pred_8:f5 w_8:f6 pred_all:f5 w_all:f6", "SELECT t.pid, t.day AS key, " + ", ".join(
-    f"sum(w * y) FILTER (r <= {k}) / sum(w) FILTER (r <= {k}) AS pred_{n}, coalesce(sum(w) FILTER (r <= {k}), 0) AS w_{n}"
-    for k, n in ((1, "1"), (3, "3"), (8, "8"), (1000000000, "all"))) +
-       " FROM {targets} t LEFT JOIN {donors} d ON d.pid = t.pid AND d.day = t.day GROUP BY t.pid, t.day")
+
+SP = [f"sp_s{i}_{kind}_{n}" for i, kind in KINDS for _, n in KS]
+
+
+@query("donor_transfer", "pid:i day:i " + " ".join(f"{c}:f5 {c}_w:f6" for c in SP),
+       "SELECT t.pid, t.day, " + ", ".join(f"{c}, coalesce({c}_w, 0) AS {c}_w" for c in SP) + " FROM {targets} t " + " ".join(
+           f"LEFT JOIN {{dn{i}{kind}}} d{i}{kind} ON d{i}{kind}.pid = t.pid AND d{i}{kind}.day = t.day" for i, kind in KINDS))
 def _(t):
-    known = s1_rows(t.known)
-    return pairs.donor_transfer(known, targets_key(t), pairs.pair_statistics(pairs.pair_sums(known, "v", 12)))
+    return donors(t.known, t.targets)
 
 
-AN = " ".join(f"bw{b}_k{k}:f5 bw{b}_k{k}_w:f6" for b in (15, 35) for k in (1, 3, 10))
-cte("top10", "SELECT a, b, score FROM {pst} WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 10")
-cte("own_rows", "SELECT pid, day, s1 AS y FROM {known} WHERE s1 IS NOT NULL")
-cte("deltas", """SELECT a, b, day, y - CASE WHEN pd IS NULL THEN nv WHEN nd IS NULL THEN pv WHEN nd = pd THEN pv ELSE pv + (nv - pv) * (day - pd) / (nd - pd) END AS delta FROM (
-SELECT e.a, e.b, o.day, o.y, p.day AS pd, p.y AS pv, n.day AS nd, n.y AS nv FROM {top10} e JOIN {own_rows} o ON o.pid = e.a
-ASOF LEFT JOIN {own_rows} p ON p.pid = e.b AND o.day >= p.day ASOF LEFT JOIN {own_rows} n ON n.pid = e.b AND o.day <= n.day)
-WHERE least(day - pd, nd - day) <= 12""")
+AN = [f"an_s{i}_bw{b}_k{k}" for i in (1, 2, 3) for b in (15, 35) for k in (1, 3, 10)]
 _av, _, _aw = fit_sql("", min_points="2")
-for _bw in (15, 35):
-    cte(f"an{_bw}", f"""SELECT pid, day, b, w, v + ({_av}) AS pred FROM (SELECT t.pid, t.day, e.b, e.score AS w, any_value(k.y) AS v, {sums_sql(_bw, y="d.delta", e="t.day", p="d.day")}
-FROM {{targets}} t JOIN {{top10}} e ON e.a = t.pid JOIN {{own_rows}} k ON k.pid = e.b AND k.day = t.day JOIN {{deltas}} d ON d.a = e.a AND d.b = e.b AND abs(d.day - t.day) <= {3 * _bw}
+for _i in (1, 2, 3):
+    cte(f"top10_{_i}", f"SELECT a, b, score FROM {{dp{_i}value}} WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 10")
+    cte(f"deltas{_i}", f"""SELECT a, b, day, y - CASE WHEN pd IS NULL THEN nv WHEN nd IS NULL THEN pv WHEN nd = pd THEN pv ELSE pv + (nv - pv) * (day - pd) / (nd - pd) END AS delta FROM (
+SELECT e.a, e.b, o.day, o.v AS y, p.day AS pd, p.v AS pv, n.day AS nd, n.v AS nv FROM {{top10_{_i}}} e JOIN {{dv{_i}value}} o ON o.pid = e.a
+ASOF LEFT JOIN {{dv{_i}value}} p ON p.pid = e.b AND o.day >= p.day ASOF LEFT JOIN {{dv{_i}value}} n ON n.pid = e.b AND o.day <= n.day)
+WHERE least(day - pd, nd - day) <= 12""")
+    for _bw in (15, 35):
+        cte(f"an{_i}_{_bw}", f"""SELECT pid, day, b, w, v + ({_av}) AS pred FROM (SELECT t.pid, t.day, e.b, e.score AS w, any_value(k.v) AS v, {sums_sql(_bw, y="d.delta", e="t.day", p="d.day")}
+FROM {{targets}} t JOIN {{top10_{_i}}} e ON e.a = t.pid JOIN {{dv{_i}value}} k ON k.pid = e.b AND k.day = t.day JOIN {{deltas{_i}}} d ON d.a = e.a AND d.b = e.b AND abs(d.day - t.day) <= {3 * _bw}
 GROUP BY t.pid, t.day, e.b, e.score) WHERE {_aw} > 0.5""")
-    cte(f"an{_bw}k", f"SELECT pid, day, " + ", ".join(f"sum(w * pred) FILTER (r <= {k}) / sum(w) FILTER (r <= {k}) AS bw{_bw}_k{k}, sum(w) FILTER (r <= {k}) AS bw{_bw}_k{k}_w" for k in (1, 3, 10)) +
-        f" FROM (SELECT *, row_number() OVER (PARTITION BY pid, day ORDER BY w DESC, b) AS r FROM {{an{_bw}}}) GROUP BY pid, day")
+        cte(f"an{_i}_{_bw}k", "SELECT pid, day, " + ", ".join(
+            f"CASE WHEN sum(w) FILTER (r <= {k}) > 1e-9 THEN sum(w * pred) FILTER (r <= {k}) / sum(w) FILTER (r <= {k}) END AS an_s{_i}_bw{_bw}_k{k}, sum(w) FILTER (r <= {k}) AS an_s{_i}_bw{_bw}_k{k}_w" for k in (1, 3, 10)) +
+            f" FROM (SELECT *, row_number() OVER (PARTITION BY pid, day ORDER BY w DESC, b) AS r FROM {{an{_i}_{_bw}}}) GROUP BY pid, day")
 
 
-AN_SQL = ", ".join(f"bw{b}_k{k}, coalesce(bw{b}_k{k}_w, 0) AS bw{b}_k{k}_w" for b in (15, 35) for k in (1, 3, 10))
+def analogs(known, targets):
+    """One row a target: the donors' own values on the hidden day plus the smooth difference to each, for the three sources."""
+    rows, asked = cut_lineage(raw_rows(known)), cut_lineage(targets.select("pid", "day"))
+    edges, out = cut_lineage(pairs.top_edges(keyed(rows), 10)), asked
+    for i in (1, 2, 3):
+        own = lambda d, i=i: d.filter(F.col("part") == i).drop("part")
+        found = pairs.donor_analog(own(rows), asked, own(edges))
+        out = out.join(found.withColumnsRenamed({c: f"an_s{i}_{c}" for c in found.columns if c[:2] == "bw"}), ["pid", "day"], "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in out.columns if c.endswith("_w")})
 
 
-@query("donor_analog", "pid:i day:i " + AN, f"""SELECT t.pid, t.day, {AN_SQL} FROM {{targets}} t LEFT JOIN {{an35k}} b ON b.pid = t.pid AND b.day = t.day
-LEFT JOIN {{an15k}} a ON a.pid = t.pid AND a.day = t.day""")
+@query("donor_analog", "pid:i day:i " + " ".join(f"{c}:f5 {c}_w:f6" for c in AN), "SELECT t.pid, t.day, " + ", ".join(f"{c}, coalesce({c}_w, 0) AS {c}_w" for c in AN) +
+       " FROM {targets} t " + " ".join(f"LEFT JOIN {{an{i}_{b}k}} a{i}_{b} ON a{i}_{b}.pid = t.pid AND a{i}_{b}.day = t.day" for i in (1, 2, 3) for b in (15, 35)))
 def _(t):
-    rows, asked = t.known.filter("s1 IS NOT NULL").select("pid", "day", F.col("s1").alias("v")), t.targets.select("pid", "day")
-    edges = pairs.pair_statistics(pairs.pair_sums(s1_rows(t.known), "v", 12))
-    found = asked.join(pairs.donor_analog(rows, asked, edges), ["pid", "day"], "left")
-    return found.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in found.columns if c.endswith("_w")})
+    return analogs(t.known, t.targets)
 
 
 cte("rp", "SELECT a.pid AS a, b.pid AS b, count(*) AS n, corr(a.res, b.res) AS r FROM {gres} a JOIN {gres} b ON a.day = b.day AND a.source = b.source AND a.pid <> b.pid AND a.res IS NOT NULL AND b.res IS NOT NULL GROUP BY ALL")
@@ -414,8 +475,8 @@ SELECT p.a, q.b, coalesce(n, 0) AS n, r, (SELECT avg(r) FROM {rp} WHERE n >= 8)
 LEFT JOIN {rp} x ON x.a = p.a AND x.b = q.b WHERE p.a <> q.b)""")
 
 
-@query("weighted_day_effects", "pid:i key:i effect:f4 wsum:f5", """SELECT t.pid, t.day * 4 + s.source AS key, CASE WHEN sum(w) > 1e-6 THEN sum(w * res) / sum(w) END AS effect,
-coalesce(sum(w), 0) AS wsum FROM {targets} t CROSS JOIN (SELECT unnest([0, 1, 2]) AS source) s
+@query("weighted_day_effects", "pid:i key:i effect:f4 wsum:f5 lowest:f4 low_share:f4", """SELECT t.pid, t.day * 4 + s.source AS key, CASE WHEN sum(w) > 1e-6 THEN sum(w * res) / sum(w) END AS effect,
+coalesce(sum(w), 0) AS wsum, min(res) AS lowest, count(*) FILTER (res < -0.15) / CAST(nullif(count(res), 0) AS DOUBLE) AS low_share FROM {targets} t CROSS JOIN (SELECT unnest([0, 1, 2]) AS source) s
 LEFT JOIN {gres} k ON k.day = t.day AND k.source = s.source AND k.res IS NOT NULL AND k.pid <> t.pid LEFT JOIN {rw} ON a = t.pid AND b = k.pid GROUP BY t.pid, t.day, s.source""")
 def _(t):
     res = G.loo_residuals(t.known).filter("res IS NOT NULL")

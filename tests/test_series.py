@@ -284,8 +284,7 @@ def test_shared_folder(spark):
 def test_donors_and_day_effects_cover_every_target(spark):
     known = spark.createDataFrame([(p, k, math.sin(p + k) + p * 0.1 * k) for p in range(5) for k in range(20) if (p + k) % 4], "pid long, key long, v double")
     targets = spark.createDataFrame([(0, 3), (1, 2), (9, 3), (2, 99)], "pid long, key long")
-    edges = pairs.pair_statistics(pairs.pair_sums(known, "v", 12))
-    got = {(r.pid, r.key): r for r in pairs.donor_transfer(known, targets, edges).collect()}
+    got = {(r.pid, r.key): r for r in pairs.donor_transfer(known, targets).collect()}
     assert len(got) == 4 and got[9, 3].w_all == 0 and got[2, 99].pred_all is None
     effects = {(r.pid, r.key): r for r in pairs.weighted_day_effects(known, targets).collect()}
     val = {(r.pid, r.key): r.v for r in known.collect()}
@@ -304,3 +303,38 @@ def test_donors_and_day_effects_cover_every_target(spark):
         assert r.wsum == pytest.approx(sum(weights.values()))
         if r.wsum > 1e-6:
             assert r.effect == pytest.approx(sum(w * val[b, key] for b, w in weights.items()) / r.wsum)
+        others = [val[b, key] for b in range(5) if b != pid and (b, key) in val]
+        assert r.lowest == (min(others) if others else None)
+        assert r.low_share == (pytest.approx(sum(v < pairs.LOW_RESIDUAL for v in others) / len(others)) if others else None)
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_donors_in_blocks_and_parts_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(pairs.n_blocks, "__defaults__", ("pid", block))
+    rows = [(g, p, k, math.sin(k / 3 + g) * (1 + p % 3) + 0.01 * ((p * 31 + k * 17) % 13)) for g in (0, 1) for p in range(8) for k in range(30) if (p + k + g) % 5]
+    known = spark.createDataFrame(rows, "part long, pid long, key long, v double")
+    asked = [(g, p, k) for g in (0, 1) for p in (0, 3, 7, 50) for k in (0, 4, 11, 99)]
+    targets = spark.createDataFrame(asked, "part long, pid long, key long")
+    edges = {}
+    for r in pairs.pair_statistics(pairs.pair_sums(known.filter("part = 0").drop("part"), "v")).collect():
+        edges[0, r.a, r.b] = r
+    for r in pairs.pair_statistics(pairs.pair_sums(known.filter("part = 1").drop("part"), "v")).collect():
+        edges[1, r.a, r.b] = r
+    val = {(g, p, k): v for g, p, k, v in rows}
+    for residuals in (False, True):
+        got = {(r.part, r.pid, r.key): r for r in pairs.donor_transfer(known, targets, residuals=residuals).collect()}
+        assert sorted(got) == sorted(asked)
+        for g, p, k in asked:
+            donors = sorted((-e.score, b, (e.beta * val[g, b, k]) if residuals else e.mean_a + e.beta * (val[g, b, k] - e.mean_b))
+                            for (q, a, b), e in edges.items() if (q, a) == (g, p) and e.score > 0 and (g, b, k) in val)
+            for name, n in (("1", 1), ("3", 3), ("8", 8), ("all", 99)):
+                w = sum(-s for s, _, _ in donors[:n])
+                assert got[g, p, k]["w_" + name] == pytest.approx(w)
+                assert got[g, p, k]["pred_" + name] == (pytest.approx(sum(-s * y for s, _, y in donors[:n]) / w) if w else None)
+    top = {}
+    for r in pairs.top_edges(known, 2).collect():
+        top.setdefault((r.part, r.a), []).append((-r.score, r.b))
+    for (g, p), best in top.items():
+        want = sorted((-e.score, b) for (q, a, b), e in edges.items() if (q, a) == (g, p) and e.score > 0)[:2]
+        assert [b for _, b in sorted(best)] == [b for _, b in want] and [w for w, _ in sorted(best)] == pytest.approx([w for w, _ in want])
+    assert len(top) == 16
