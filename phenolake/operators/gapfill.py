@@ -166,23 +166,23 @@ def loo_residuals(rows: DataFrame) -> DataFrame:
     return out
 
 
-def day_tables(res: DataFrame) -> DataFrame:
-    """Sum and count of residuals and rows per (day, source), and entities active in the year."""
-    t = res.groupBy("day", "year", "source").agg(F.sum("res").alias("sum"), F.count("res").alias("cnt"), F.count("*").alias("n_obs"))
-    active = res.groupBy("year").agg(F.count_distinct("pid").alias("active"))
-    return t.join(F.broadcast(active), "year")  # one row per year
+def day_tables(res: DataFrame, keys=()) -> DataFrame:
+    """Sum and count of residuals and rows per (day, source), and entities active in the year. ``keys`` (a mask) keep panels apart."""
+    t = res.groupBy(*keys, "day", "year", "source").agg(F.sum("res").alias("sum"), F.count("res").alias("cnt"), F.count("*").alias("n_obs"))
+    active = res.groupBy(*keys, "year").agg(F.count_distinct("pid").alias("active"))
+    return t.join(F.broadcast(active), [*keys, "year"])  # one row per year
 
 
 DAY_OFFSETS = {"d0": (0,), "pm1": (-1, 1), "pm3": (-3, -2, 2, 3)}
 
 
-def day_effects(targets: DataFrame, tables: DataFrame) -> DataFrame:
+def day_effects(targets: DataFrame, tables: DataFrame, keys=()) -> DataFrame:
     """Mean residual of all rows by source on the target's day and near it, with counts and share of active entities."""
     hits = []
     for name, offs in DAY_OFFSETS.items():
         hits += [F.struct(F.lit(name).alias("o"), (F.col("day") - o).alias("at")) for o in offs]
     # each (day, source) row offers itself to the few days that look at it; the table is bounded by the calendar
-    t = tables.select("source", "sum", "cnt", "n_obs", F.explode(F.array(*hits)).alias("x")).select("source", "sum", "cnt", "n_obs", "x.*")
+    t = tables.select(*keys, "source", "sum", "cnt", "n_obs", F.explode(F.array(*hits)).alias("x")).select(*keys, "source", "sum", "cnt", "n_obs", "x.*")
     aggs = []
     for s in range(3):
         for name in DAY_OFFSETS:
@@ -190,9 +190,9 @@ def day_effects(targets: DataFrame, tables: DataFrame) -> DataFrame:
             aggs += [F.coalesce(F.sum(F.when(on, F.col("cnt"))), F.lit(0)).alias(f"de_s{s + 1}_{name}_n"),
                      F.try_divide(F.sum(F.when(on, F.col("sum"))), F.sum(F.when(on, F.col("cnt")))).alias(f"de_s{s + 1}_{name}")]
         aggs.append(F.coalesce(F.sum(F.when((F.col("source") == s) & (F.col("o") == "d0"), F.col("n_obs"))), F.lit(0)).alias(f"xp_s{s + 1}_n"))
-    wide = t.groupBy("at").agg(*aggs)
-    active = tables.select("year", "active").distinct()
-    d = targets.join(F.broadcast(wide.withColumnRenamed("at", "day")), "day", "left").join(F.broadcast(active), "year", "left")
+    wide = t.groupBy(*keys, "at").agg(*aggs)
+    active = tables.select(*keys, "year", "active").distinct()
+    d = targets.join(F.broadcast(wide.withColumnRenamed("at", "day")), [*keys, "day"], "left").join(F.broadcast(active), [*keys, "year"], "left")
     fill = {c: 0 for c in wide.columns if c.endswith("_n")}
     d = d.fillna(fill)
     return d.withColumns({f"xp_s{s}_share": F.col(f"xp_s{s}_n") / F.greatest(F.col("active"), F.lit(1)) for s in (1, 2, 3)})

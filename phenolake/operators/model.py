@@ -49,9 +49,9 @@ def feature_importances(model, used) -> list[tuple[str, float]]:
     return sorted(zip(names, model.stages[-1].featureImportances.toArray().tolist()), key=lambda x: -x[1])
 
 
-def error_scale(train: DataFrame, features, truth: str, pred: str):
-    """Second model: the absolute error of the first one on rows it did not see."""
-    d = train.withColumn("_abs_err", F.abs(F.col(truth) - F.col(pred)))
+def error_scale(train: DataFrame, features, truth: str, pred: str, bounds: tuple[float, float] = (0.003, 0.3)):
+    """Second model: the absolute error of the first one on rows it did not see, within bounds."""
+    d = train.withColumn("_abs_err", clip(F.abs(F.col(truth) - F.col(pred)), *bounds))
     used, model = fit_gap_model(d, features, "_abs_err", {"maxIter": 10})
     return used, model
 
@@ -61,14 +61,24 @@ def with_scale(model, used, df: DataFrame) -> DataFrame:
     return d.withColumn("scale", clip(0.5 * F.col("_s") + 0.0175, 0.015, 0.15)).withColumnRenamed("_first", "pred").drop("_s")
 
 
+def fit_source_model(train: DataFrame, features, label: str):
+    """Forest over the classes of ``label``; returns (features used, model)."""
+    used = usable(train, features)
+    rf = RandomForestClassifier(featuresCol="features", labelCol="_label", numTrees=10, maxDepth=5, seed=42)
+    return used, Pipeline(stages=[*stages(used), rf]).fit(prepared(train.withColumn("_label", F.col(label).cast("double")), used))
+
+
+def with_probabilities(model, used, df: DataFrame) -> DataFrame:
+    """Adds ``probs``, an array with a probability for each class."""
+    p = score_gaps(model, used, df).withColumn("probs", vector_to_array("probability"))
+    return p.drop("rawPrediction", "probability", "prediction")
+
+
 def source_probabilities(df: DataFrame, features, label: str, fold: str, k: int) -> DataFrame:
     """Out-of-fold class probabilities: each fold is scored by a forest fitted on the others."""
     out = None
     for i in range(k):
-        train, test = df.filter(F.col(fold) != i), df.filter(F.col(fold) == i)
-        used = usable(train, features)
-        rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=10, maxDepth=5, seed=42)
-        model = Pipeline(stages=[*stages(used), rf]).fit(prepared(train, used))
-        p = score_gaps(model, used, test).withColumn("probs", vector_to_array("probability")).drop("rawPrediction", "probability")
+        used, model = fit_source_model(df.filter(F.col(fold) != i), features, label)
+        p = with_probabilities(model, used, df.filter(F.col(fold) == i))
         out = p if out is None else out.unionByName(p)
     return out

@@ -7,13 +7,12 @@ from phenolake.functions import expr as E
 from phenolake.operators import aggregate as A
 from phenolake.operators import frames
 from phenolake.operators import gapfill as G
-from phenolake.operators import model as M
 from phenolake.operators import pairs
 from phenolake.operators import drivers as D
 from phenolake.operators.norms import loyo_norm
 from phenolake.plans.ctes import cte
 from phenolake.plans.q_join import day_source, same_source
-from phenolake.plans.q_scan import DIST_EDGES, DIST_LABELS, folds
+from phenolake.plans.q_scan import DIST_EDGES, DIST_LABELS
 from phenolake.plans.q_season import fit_sql, sums_sql
 from phenolake.plans.q_window import composite_windows, filled
 from phenolake.plans.registry import query
@@ -386,17 +385,26 @@ FROM (SELECT t.pid, t.day, p.score AS w, {_y} AS y, row_number() OVER (PARTITION
 FROM {{targets}} t JOIN {{dv{_i}{_kind}}} k ON k.day = t.day AND k.pid <> t.pid JOIN {{dp{_i}{_kind}}} p ON p.a = t.pid AND p.b = k.pid WHERE p.score > 0) GROUP BY pid, day""")
 
 
+def _part(d, i):
+    """Number of the source, apart for every mask of the panel."""
+    return (F.col("mask").cast("long") * 4 if "mask" in d.columns else F.lit(0).cast("long")) + i
+
+
+def is_source(i):
+    return F.pmod("part", F.lit(4)) == i
+
+
 def raw_rows(known):
-    """Rows of every raw source column, the chosen source or not: part = its number."""
-    each = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("part"), F.col(f"s{i}").alias("v")) for i in (1, 2, 3)]))
-    return known.select("pid", "day", each.alias("x")).select("pid", "day", "x.part", "x.v").filter("v IS NOT NULL")
+    """Rows of every raw source column, the chosen source or not; ``part`` tells the source."""
+    each = F.explode(F.array(*[F.struct(_part(known, i).alias("part"), F.col(f"s{i}").alias("v")) for i in (1, 2, 3)]))
+    return known.select("*", each.alias("x")).select("pid", "day", "x.part", "x.v").filter("v IS NOT NULL")
 
 
 def raw_residuals(rows):
     """Residual of each raw row from the curve of its own entity and source, clipped; rows that the curve can't judge are left out."""
     out = None
     for i, bw in RAW_BW.items():
-        f = loo_fit(rows.filter(F.col("part") == i), ["pid"], "v", float(bw), min_points=2.0)
+        f = loo_fit(rows.filter(is_source(i)), ["pid"], "v", float(bw), min_points=2.0)
         f = f.filter("fit_weight >= 0.5").select("pid", "day", "part", E.clip(F.col("v") - F.col("fit"), -0.3, 0.3).alias("v"))
         out = f if out is None else out.unionByName(f)
     return out
@@ -408,19 +416,19 @@ def keyed(d):
 
 def by_source(targets):
     """Each target once for every source."""
-    return targets.select("pid", F.col("day").cast("long").alias("key"), F.explode(F.array(*[F.lit(i).cast("long") for i in (1, 2, 3)])).alias("part"))
+    return targets.select("pid", F.col("day").cast("long").alias("key"), F.explode(F.array(*[_part(targets, i) for i in (1, 2, 3)])).alias("part"))
 
 
 def donors(known, targets):
     """One row a target: donors' values and residuals of the three sources, by the best 1, 3, 8 and by all."""
-    rows, targets = cut_lineage(raw_rows(known)), cut_lineage(targets.select("pid", "day"))
+    rows, targets = cut_lineage(raw_rows(known)), cut_lineage(targets.select(*[c for c in ("mask",) if c in targets.columns], "pid", "day"))
     series = {"value": rows, "res": cut_lineage(raw_residuals(rows))}
     names = [n for _, n in KS]
     wide = []
     for kind, d in series.items():
         got = pairs.donor_transfer(keyed(d), by_source(targets), residuals=kind == "res")
         wide.append(got.select("pid", F.col("key").alias("day"), "part", F.lit(kind).alias("kind"), *[c for n in names for c in (f"pred_{n}", f"w_{n}")]))
-    at = lambda i, kind: (F.col("part") == i) & (F.col("kind") == kind)
+    at = lambda i, kind: is_source(i) & (F.col("kind") == kind)
     return wide[0].unionByName(wide[1]).groupBy("pid", "day").agg(*[
         F.max(F.when(at(i, kind), F.col(c))).alias(f"sp_s{i}_{kind}_{n}{'_w' if c[0] == 'w' else ''}") for i, kind in KINDS for n in names for c in (f"pred_{n}", f"w_{n}")])
 
@@ -457,7 +465,7 @@ def analogs(known, targets):
     rows, asked = cut_lineage(raw_rows(known)), cut_lineage(targets.select("pid", "day"))
     edges, out = cut_lineage(pairs.top_edges(keyed(rows), 10)), asked
     for i in (1, 2, 3):
-        own = lambda d, i=i: d.filter(F.col("part") == i).drop("part")
+        own = lambda d, i=i: d.filter(is_source(i)).drop("part")
         found = pairs.donor_analog(own(rows), asked, own(edges))
         out = out.join(found.withColumnsRenamed({c: f"an_s{i}_{c}" for c in found.columns if c[:2] == "bw"}), ["pid", "day"], "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in out.columns if c.endswith("_w")})
@@ -484,77 +492,7 @@ def _(t):
     return pairs.weighted_day_effects(cut_lineage(day_source(res, "res")), asked)
 
 
-# ---------------------------------------------------------------- matrix, models, audit
-def build_features(t, marked=None):
-    """One row per hidden row: blocks that only need the entity's own stream stay in one shuffle, the rest join on the key."""
-    m = marked if marked is not None else t.marked
-    key = ["pid", "day"]
-    own = G.climatology_features(composite_windows(G.with_h(G.guess_source(m)), ["pid"], G.known() & (F.col("source") != 2), F.col("h")))
-    own = same_source(own).withColumn("n_ctx", F.count(F.when(G.known(), 1)).over(E.over_entity())).filter(G.gap())
-    own = own.withColumns({"dens_15": F.col("s1_n30"), "res5": G.residue(5), "res8": G.residue(8)})
-    drop = ["norm_n", "norm_mean", "norm_std", "norm_years", "z", "_a", "h", "s1", "s2", "s3", "x1", "x2", "status_flag"]
-    return own.drop(*drop).join(G.curve_features(m), key)
-
-
-FEATURES = ["doy", "guess", "clim_mean", "clim_n", "anom_30", "fwd_mean", "bwd_mean", "s1_interp", "s2_interp", "s3_interp", "s1_n30", "sl_6", "sl_15", "md_15",
-            "all_6", "all_15", "all_15_weight"]
-
-
-@query("build_features", "pid:i date:d " + " ".join(f"{f}:f4" for f in FEATURES))
-def _(t):
-    return build_features(t)
-
-
-@query("source_hypotheses", "pid:i day:i hyp_s1:f4 hyp_s2:f4 hyp_s3:f4")
-def _(t):
-    bias = A.entity_bias(G.loo_residuals(t.known), {f"pb_res_s{s}": F.when(F.col("source") == s - 1, F.col("res")) for s in (1, 2, 3)})
-    bias = bias.groupBy("pid").agg(*[F.max(f"pb_res_s{s}").alias(f"pb_res_s{s}") for s in (1, 2, 3)])
-    return G.source_hypotheses(build_features(t).join(bias, "pid", "left"))
-
-
-def training_examples(t, seeds=("1", "2")):
-    """Known rows hidden again by several masks; the outer hidden rows never enter."""
-    out = None
-    for seed in seeds:
-        m = exact_share(t.known.drop("is_gap"), ["pid", "date"], C.GAP_SHARE, f"train{seed}", "is_gap")
-        d = build_features(t, m).withColumn("mask", F.lit(seed))
-        out = d if out is None else out.unionByName(d)
-    return out
-
-
-@query("training_examples", "mask:s n:i mean_truth:f6")
-def _(t):
-    return training_examples(t).groupBy("mask").agg(F.count("*").alias("n"), F.avg("value").alias("mean_truth"))
-
-
-def _fitted(t, seeds=("1",)):
-    """Inner group holdout: entities of fold 0 are kept for the error scale."""
-    ex = cut_lineage(training_examples(t, seeds).join(folds(t.panel, "pid", 5, "inner"), "pid"))
-    used, model = M.fit_gap_model(ex.filter("fold > 0"), FEATURES, "value")
-    return ex, used, model
-
-
-@query("score_gaps", "pid:i date:d pred:f4 scale:f4")
-def _(t):
-    ex, used, model = _fitted(t)
-    inner = M.score_gaps(model, used, ex.filter("fold = 0"))
-    s_used, s_model = M.error_scale(inner.withColumnRenamed("pred", "first"), FEATURES, "value", "first")
-    return M.with_scale(s_model, s_used, M.score_gaps(model, used, build_features(t)))
-
-
-@query("model_report", "feature:s importance:f4")
-def _(t):
-    _, used, model = _fitted(t)
-    return t.spark.createDataFrame(M.feature_importances(model, used), "feature string, importance double")
-
-
-@query("source_probabilities", "fold:i source:i n:i p1:f4 p2:f4 p3:f4")
-def _(t):
-    d = G.guess_source(t.marked, loo=True).filter(G.known()).join(folds(t.panel, "pid", 3, "prob"), "pid").withColumn("label", F.col("source").cast("double"))
-    p = M.source_probabilities(d, ["doy", "n_s1", "n_s2", "guess", "year"], "label", "fold", 3)
-    return p.groupBy("fold", "source").agg(F.count("*").alias("n"), *[F.avg(F.col("probs")[i]).alias(f"p{i + 1}") for i in range(3)])
-
-
+# ---------------------------------------------------------------- blend and audit
 @query("blend_weights", "n:i weight:f6 rmse:f6", """WITH w AS (SELECT count(*) AS n, least(1, greatest(0, sum((linear_time - climatology) * (value - climatology)) / sum(pow(linear_time - climatology, 2)))) AS weight
 FROM {base} WHERE linear_time IS NOT NULL AND climatology IS NOT NULL) SELECT any_value(n) AS n, any_value(weight) AS weight,
 sqrt(avg(pow(weight * linear_time + (1 - weight) * climatology - value, 2))) AS rmse FROM {base} CROSS JOIN w""")

@@ -65,7 +65,7 @@ for _i in range(3):
 SAME = [f"s{i}_{s}{k}" for i in (1, 2, 3) for k in (1, 2) for s in "pn"]
 
 
-def same_source(t_marked):
+def same_source(t_marked, every=False):
     """Two neighbours each side per source, the line between the nearest two (or the one present), rows within 30 days."""
     d = t_marked
     for i in range(3):
@@ -73,7 +73,7 @@ def same_source(t_marked):
         d = d.withColumn(f"s{i + 1}_n30", frames.count_in_window(ok, 30, ["pid"]))
     for i in range(3):
         ok = G.known() & (F.col("source") == i)
-        d = frames.k_neighbors(d, ["pid"], G.gap() if i == 2 else F.lit(True), ok, 2, C.MAX_NEIGHBOR_DAYS, ["value"], prefix=f"s{i + 1}")
+        d = frames.k_neighbors(d, ["pid"], G.gap() if i == 2 and not every else F.lit(True), ok, 2, C.MAX_NEIGHBOR_DAYS, ["value"], prefix=f"s{i + 1}")
     out = {}
     for i in (1, 2, 3):
         vp, vn, dp, dn = (F.col(f"s{i}_{c}") for c in ("p1_value", "n1_value", "p1_days", "n1_days"))

@@ -12,6 +12,7 @@ from phenolake.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+BODIES: dict[str, str] = {}  # the SQL before rounding, with its references
 
 _SQL_TYPES = {"i": "BIGINT", "s": "VARCHAR", "b": "BOOLEAN", "d": "VARCHAR"}
 
@@ -34,6 +35,7 @@ def query(name: str, spec: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = run
         if sql is not None:
+            BODIES[name] = sql
             body, clause = with_clause(sql)
             SQL[name] = f"{clause} SELECT {sql_columns(spec)} FROM ({body}) q"
         return fn
