@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phenolake.functions import constants as C
+from phenolake.functions.expr import TIE_SHIFT
 from phenolake.operators.norms import loyo_norm
 from phenolake.operators.quantiles import order_statistics
 from phenolake.operators.season import season_bounds
@@ -117,7 +118,9 @@ def classify(d: DataFrame) -> DataFrame:
 
     The rules are ordered; the first that holds decides.
     """
-    d = with_scope(with_driver_signal(d))
+    # facts of the windows before and during the episode only add arguments: they may be absent
+    parts = [f"{w}_{c}" for w in "bd" for c in ("amount", "amount_norm", "deficit_pct")]
+    d = with_scope(with_driver_signal(d.withColumns({c: F.lit(None).cast("double") for c in parts if c not in d.columns})))
     ratio, shift = F.col("peak_ratio"), F.coalesce("peak_shift", F.lit(0))
     start, stress, local = F.col("start_doy"), F.col("stress"), F.col("scope") == "local"
     good_peak = ratio >= 0.85
@@ -125,50 +128,100 @@ def classify(d: DataFrame) -> DataFrame:
     driver_conf = F.round(F.least(F.lit(0.85), F.greatest(F.lit(0.40), 0.45 + F.col("strength") + bonus)) + 1e-9, 2)
     early = good_peak & (F.coalesce("decline_shift", F.lit(0)) <= -C.EARLY_DECLINE_DAYS) & (start <= C.MAIN_SEASON_END)
     rules = [
-        ((F.col("n_obs") <= 2) & (F.col("artifacts_near") >= 2), "data_suspect", F.lit(0.4)),
-        (good_peak & (shift >= C.ROTATION_SHIFT) & (F.col("end_doy") <= 200), "crop_rotation", F.lit(0.7)),
-        (good_peak & (shift <= -C.ROTATION_SHIFT) & (start >= 150) & ~stress, "crop_rotation", F.lit(0.65)),
-        (F.col("valid") & ((F.col("peak") < C.FLAT_PEAK) | yes(ratio < 0.6)) & (start <= 165), "unsown_or_changed", F.lit(0.8)),
-        (early & stress, "weather_drought", driver_conf),
-        (early, "early_decline", F.lit(0.6)),
+        ((F.col("n_obs") <= 2) & (F.col("artifacts_near") >= 2), "few_obs", "data_suspect", F.lit(0.4)),
+        (good_peak & (shift >= C.ROTATION_SHIFT) & (F.col("end_doy") <= 200), "late_peak", "crop_rotation", F.lit(0.7)),
+        (good_peak & (shift <= -C.ROTATION_SHIFT) & (start >= 150) & ~stress, "early_peak", "crop_rotation", F.lit(0.65)),
+        (F.col("valid") & ((F.col("peak") < C.FLAT_PEAK) | yes(ratio < 0.6)) & (start <= 165), "flat", "unsown_or_changed", F.lit(0.8)),
+        (early & stress, "decline", "weather_drought", driver_conf),
+        (early, "decline", "early_decline", F.lit(0.6)),
         ((F.coalesce("sos_shift", F.lit(0)) >= 15) & (start <= 150) & (F.coalesce(ratio, F.lit(0.0)) >= C.LOW_PEAK_RATIO),
-         "late_start", F.lit(0.6)),
-        (stress, "weather_drought", driver_conf),
-        (F.col("scope") == "regional", "weather_drought", F.lit(0.5)),
-        (ratio < C.LOW_PEAK_RATIO, "weak_season", F.when(local, 0.6).otherwise(0.55)),
-        (F.lit(True), "weak_season", F.when(local, 0.45).otherwise(0.4))]
-    hit = F.coalesce(*[F.when(yes(cond), F.struct(F.lit(cause).alias("cause"), conf.cast("double").alias("confidence")))
-                       for cond, cause, conf in rules])
-    d = d.withColumn("_hit", hit).withColumns({"cause": F.col("_hit.cause"), "confidence": F.col("_hit.confidence")}).drop("_hit")
-    return d.withColumn("reasons", arguments())
+         "late_start", "late_start", F.lit(0.6)),
+        (stress, "drivers", "weather_drought", driver_conf),
+        (F.col("scope") == "regional", "no_deficit", "weather_drought", F.lit(0.5)),
+        (ratio < C.LOW_PEAK_RATIO, "low_peak", "weak_season", F.when(local, 0.6).otherwise(0.55)),
+        (F.lit(True), "no_signal", "weak_season", F.when(local, 0.45).otherwise(0.4))]
+    hit = F.coalesce(*[F.when(yes(cond), F.struct(F.lit(rule).alias("rule"), F.lit(cause).alias("cause"), conf.cast("double").alias("confidence")))
+                       for cond, rule, cause, conf in rules])
+    d = d.withColumn("_hit", hit).withColumns({c: F.col(f"_hit.{c}") for c in ("rule", "cause", "confidence")}).drop("_hit")
+    d = d.withColumn("arguments", arguments())
+    return d.withColumn("reasons", F.transform("arguments", rendered))
+
+
+def argument(when: Column, code: str | Column, *numbers) -> Column:
+    """A typed argument: its code and its numbers; NULL where it doesn't apply."""
+    code = F.lit(code) if isinstance(code, str) else code
+    values = [F.col(x) if isinstance(x, str) else x for x in numbers]
+    return F.when(yes(when), F.struct(code.alias("code"), F.array(*[x.cast("double") for x in values]).cast("array<double>").alias("n")))
 
 
 def arguments() -> Column:
-    """Argument sentences of an episode; those that do not apply are NULL and dropped."""
-    f = F.format_string
-    texts = [
-        F.when(F.col("cause") == "data_suspect", f("only %d observations inside, %d artifacts near", "n_obs", "artifacts_near")),
-        F.when(F.col("cause") == "crop_rotation", f("peak reached (%.0f %% of the norm) but shifted by %d days", F.col("peak_ratio") * 100, "peak_shift")),
-        F.when(F.col("cause") == "unsown_or_changed", f("peak of the main season is only %.2f: flat from spring on", "peak")),
-        F.when(F.col("cause") == "early_decline", f("peak at the norm but decline %d days early", -F.col("decline_shift"))),
-        F.when(F.col("cause") == "late_start", f("growth began %d days late", "sos_shift")),
-        F.when(F.col("cause") == "weak_season", F.lit("no clear driver signal")),
-        F.when(F.col("dry"), f("amount %.0f against a norm of %.0f (deficit %.0f %%)", "c_amount", "c_amount_norm", "c_deficit_pct")),
-        F.when(F.col("hot"), f("level above the norm by %.1f, %d hot days", "c_level_anomaly", "c_hot_days")),
-        F.when(F.col("stress") & (F.col("c_max_dry_spell") >= 15), f("dry run of %d days", "c_max_dry_spell")),
-        F.when(F.col("scope") == "regional", f("other entities are low too (median z %.1f, %.0f %% of %d low)", "region_z", F.col("share_low") * 100, "n_entities")),
-        F.when(F.col("scope") == "local", f("other entities are normal (median z %.1f)", "region_z")),
-        F.when(F.abs("index_anomaly") >= 0.05, f("second index off its norm by %+.2f (%d points)", "index_anomaly", "index_n"))]
-    return F.array_compact(F.array(*texts))
+    """Arguments of an episode in reading order: what decides first, then the region, then the drivers; where drivers decide, they come first."""
+    rule, scope, ratio = F.col("rule"), F.col("scope"), F.col("peak_ratio")
+    wet = F.col("c_deficit_pct") <= 0
+    known = F.col("c_deficit_pct").isNotNull() & (F.col("c_n_days") >= C.MIN_DRIVER_DAYS)
+    main = [argument(rule == "few_obs", "few_obs", "n_obs", "artifacts_near"), argument(rule == "late_peak", "late_peak", ratio, "peak_shift"),
+            argument(rule == "early_peak", "early_peak", ratio, -F.col("peak_shift")),
+            argument(rule == "flat", "flat", "peak", F.when(ratio > 0, F.col("peak") / F.greatest(ratio, F.lit(1e-6)))),
+            argument(rule == "decline", "decline", ratio, -F.col("decline_shift")), argument(rule == "late_start", "late_start", "sos_shift", ratio),
+            argument(rule == "no_deficit", "no_deficit"), argument(rule == "low_peak", "low_peak", ratio), argument(rule == "no_signal", "no_signal")]
+    region = [argument(scope == "regional", "region_low", "region_z", "share_low", "n_entities"), argument(scope == "local", "region_normal", "region_z", "share_low", "n_entities"),
+              argument(scope == "mixed", "region_mixed", "region_z")]
+    drivers = [argument(F.col("dry"), "dry", "c_amount", "c_amount_norm", "c_deficit_pct"),
+               argument(F.col("hot"), "hot", "c_level_anomaly", "c_level", F.col("c_level") - F.col("c_level_anomaly"), "c_hot_days"),
+               argument(known & (F.col("c_max_dry_spell") >= 15) & ~wet, "dry_spell", "c_max_dry_spell"),
+               *[argument(F.col("stress") & (F.abs(f"{w[0]}_deficit_pct") >= C.DEFICIT_PCT), w, f"{w[0]}_amount", f"{w[0]}_amount_norm") for w in ("before", "during")]]
+    index = [argument(F.abs("index_anomaly") >= 0.05, "second_index", "index_anomaly", "index_n")]
+    by_drivers = (F.col("rule") == "drivers") | ((F.col("rule") == "decline") & F.col("stress"))
+    return F.array_compact(F.when(by_drivers, F.array(*drivers, *main, *region, *index)).otherwise(F.array(*main, *region, *drivers, *index)))
+
+
+def fixed(x: Column, digits: int = 0) -> Column:
+    """A number with a fixed count of decimals, rounded as every compared column is."""
+    return F.round(x + TIE_SHIFT, digits).cast(f"decimal(18,{digits})").cast("string")
+
+
+def counted(n: Column, one: str, many: str) -> Column:
+    """"1 day", "2 days"."""
+    return F.concat(fixed(n), F.when(F.abs(n) == 1, F.lit(f" {one}")).otherwise(F.lit(f" {many}")))
+
+
+def rendered(a: Column) -> Column:
+    """The sentence of a typed argument."""
+    n = lambda i: F.get(a["n"], F.lit(i))
+    pct = lambda i: F.concat(fixed(n(i) * 100), F.lit(" %"))
+    days = lambda i: counted(n(i), "day", "days")
+    t = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    texts = {
+        "few_obs": t("only ", counted(n(0), "observation", "observations"), " inside, ", counted(n(1), "artifact", "artifacts"), " near"),
+        "late_peak": t("peak reached (", pct(0), " of the norm) but ", days(1), " late: another crop, not stress"),
+        "early_peak": t("peak reached (", pct(0), " of the norm) but ", days(1), " early: another crop, not stress"),
+        "flat": t("peak of the main season is only ", fixed(n(0), 2), F.coalesce(t(" against a norm of ", fixed(n(1), 2)), F.lit("")), ": flat from spring on"),
+        "decline": t("peak at the norm (", pct(0), ") but the decline began ", days(1), " early"),
+        "late_start": t("growth began ", days(0), " late, but the peak was reached (", pct(1), " of the norm)"),
+        "no_deficit": t("no clear deficit in the drivers, but the whole region is low"),
+        "low_peak": t("peak at ", pct(0), " of the norm without a clear driver signal"), "no_signal": t("no driver signal"),
+        "region_low": t("other entities are low too (median z ", fixed(n(0), 1), ", ", pct(1), " of ", fixed(n(2)), " low)"),
+        "region_normal": t("other entities are normal (median z ", fixed(n(0), 1), ", ", pct(1), " of ", fixed(n(2)), " low)"),
+        "region_mixed": t("other entities are slightly low (median z ", fixed(n(0), 1), ")"),
+        "dry": t("amount ", fixed(n(0)), " against a norm of ", fixed(n(1)), " (deficit ", fixed(n(2)), " %)"),
+        "hot": t("level above the norm by ", fixed(n(0), 1), " (", fixed(n(1), 1), " against ", fixed(n(2), 1), "), ", counted(n(3), "hot day", "hot days")),
+        "dry_spell": t("dry run of ", days(0)), "before": t("in the 30 days before: amount ", fixed(n(0)), " against a norm of ", fixed(n(1))),
+        "during": t("during the episode: amount ", fixed(n(0)), " against a norm of ", fixed(n(1))),
+        "second_index": t("second index off its norm by ", fixed(n(0), 2), " (", counted(n(1), "point", "points"), ")")}
+    out = F.when(F.lit(False), "")
+    for code, text in texts.items():
+        out = out.when(a["code"] == code, text)
+    return out
 
 
 def describe() -> Column:
     """One sentence per episode from its facts."""
     day = lambda c: F.date_format(F.date_add(F.lit(C.EPOCH).cast("date"), F.col(c)), "yyyy-MM-dd")
-    head = F.format_string("%s, season %d: %s anomaly from %s to %s (%d days, %d observations), phase %s. Value on the worst day %s: %.2f "
-                           "against a norm of %.2f (z = %.1f). Probable cause: %s (confidence %.0f %%).",
-                           F.col("pid").cast("string"), "year", "severity", day("start"), day("end"), "days", "n_obs", "phase",
-                           day("worst_day"), "value_at_worst", "norm_at_worst", "min_z", "cause", F.col("confidence") * 100)
+    c = lambda name: F.col(name).cast("string")
+    head = F.concat(c("pid"), F.lit(", season "), c("year"), F.lit(": "), F.col("severity"), F.lit(" anomaly from "), day("start"), F.lit(" to "), day("end"), F.lit(" ("),
+                    counted(F.col("days"), "day", "days"), F.lit(", "), counted(F.col("n_obs"), "observation", "observations"), F.lit("), phase "), F.coalesce(F.col("phase"), F.lit("none")),
+                    F.lit(". Value on the worst day "), day("worst_day"), F.lit(": "), fixed(F.col("value_at_worst"), 2), F.lit(" against a norm of "), fixed(F.col("norm_at_worst"), 2),
+                    F.lit(" (z = "), fixed(F.col("min_z"), 1), F.lit("). Probable cause: "), F.col("cause"), F.lit(" (confidence "), fixed(F.col("confidence") * 100), F.lit(" %)."))
     tail = F.when(F.size("reasons") > 0, F.concat(F.lit(" Arguments: "), F.concat_ws("; ", "reasons"), F.lit("."))).otherwise("")
     return F.concat(head, tail, F.lit(" Norm: "), F.col("norm_source"), F.lit("."))
 

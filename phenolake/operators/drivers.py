@@ -30,6 +30,12 @@ def regional_drivers(df: DataFrame, cols) -> DataFrame:
     return out
 
 
+def regional_grid(df: DataFrame, cols, limit: int = 3) -> DataFrame:
+    """Regional medians on every day between the first and the last; gaps of up to ``limit`` days are filled inside."""
+    d = regional_drivers(df, cols).withColumn("region", F.lit(REGION_KEY))
+    return daily_drivers(d, ["region"], cols, limit)
+
+
 REGION_KEY = -1  # key of the regional series among the entity keys
 
 

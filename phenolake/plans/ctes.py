@@ -11,6 +11,20 @@ def cte(name: str, body: str) -> None:
     CTES[name] = body
 
 
+def variant(root: str, base: str, body: str, suffix: str) -> str:
+    """Copies of ``root`` and of all it is made of where that goes back to ``base``, with ``body`` in place of the base; returns the copy's name."""
+    def touched(name: str) -> bool:
+        return name == base or any(touched(ref) for ref in re.findall(r"\{(\w+)\}", CTES[name]))
+
+    def copy(name: str) -> str:
+        if not touched(name):
+            return name
+        if name + suffix not in CTES:
+            CTES[name + suffix] = body if name == base else re.sub(r"\{(\w+)\}", lambda m: "{" + copy(m[1]) + "}", CTES[name])
+        return name + suffix
+    return copy(root)
+
+
 def with_clause(sql: str) -> tuple[str, str]:
     order: list[str] = []
 

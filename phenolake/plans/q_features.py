@@ -193,10 +193,14 @@ class Fitted:
         for what, model in self.models.items():
             model.write().overwrite().save(f"{path}/{what}")
         self.t.spark.createDataFrame(list(self.used.items()), "what string, features array<string>").write.json(f"{path}/used")
+        self.score().select("pid", "date", "value", "pred", "scale", "probs").write.parquet(f"{path}/scored")
         return path
 
     def scored(self):
-        """Hidden rows with prediction, error scale and source probabilities."""
+        """Hidden rows with prediction, error scale and source probabilities; written once beside the models."""
+        return self.t.spark.read.parquet(f"{_SAVED[self.t.spark.sparkContext.applicationId, self.t.path]}/scored")
+
+    def score(self):
         d = M.score_gaps(self.models["value"], self.used["value"], cut_lineage(build_features(self.t, spatial=False)))
         d = M.with_scale(self.models["scale"], self.used["scale"], d)
         return M.with_probabilities(self.models["source"], self.used["source"], d)

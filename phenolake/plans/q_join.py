@@ -137,7 +137,7 @@ def inside_episode(obs, ep):
 @query("inside_episode", "pid:i date:d inside:b", """SELECT pid, date, EXISTS (SELECT 1 FROM {eps} e WHERE e.pid = s.pid AND s.day BETWEEN e.start AND e."end")
 AS inside FROM {season} s""")
 def _(t):
-    return inside_episode(t.season, plan(t).episodes)
+    return inside_episode(t.season, plan(t).saved_episodes)
 
 
 @query("interval_counts", "pid:i year:i start:i n_obs:i artifacts_near:i", """WITH s AS (SELECT *, value < 0.35e0 AS artifact FROM {season}),

@@ -8,12 +8,11 @@ from phenolake.operators import report as R
 from phenolake.operators.context import severity
 from phenolake.operators import sampling
 from phenolake.operators.norms import loyo_norm
-from phenolake.plans.ctes import cte
+from phenolake.plans.ctes import cte, variant
 from phenolake.plans.q_aggregate import with_status
-from phenolake.plans.q_context import run
+from phenolake.plans.q_context import driver_grid, run
 from phenolake.plans.q_join import inside_episode
 from phenolake.plans.q_season import plan
-from phenolake.plans.q_window import filled
 from phenolake.plans.registry import query
 from phenolake.plans.season import SeasonPlan
 from phenolake.sources.io import cut_lineage
@@ -36,7 +35,7 @@ FROM (SELECT pid, count(*) AS n_obs, string_agg(DISTINCT CAST(year AS VARCHAR),
 LEFT JOIN (SELECT pid, count(*) AS n_episodes, count(*) FILTER (min_z < -2 AND critical_days >= 5) AS n_critical FROM {eps} GROUP BY pid) e ON e.pid = o.pid
 LEFT JOIN (SELECT pid, count(*) AS n_gaps FROM {targets} GROUP BY pid) g ON g.pid = o.pid""")
 def _(t):
-    ep = plan(t).episodes.withColumn("severity", severity(F.col("min_z"), F.col("critical_days")))
+    ep = plan(t).saved_episodes.withColumn("severity", severity(F.col("min_z"), F.col("critical_days")))
     driven = t.categories.join(t.drivers.select(F.col("region").alias("category")).distinct(), "category", "left_semi")
     d = R.entity_overview(t.season, ep, t.targets, driven)
     return d.withColumn("years", F.concat_ws(",", F.col("years").cast("array<string>")))
@@ -65,7 +64,7 @@ def _(t):
 def levels(t):
     p = plan(t)
     assessed = p.saved_z.groupBy("pid", "year").agg(F.avg("z").alias("mean_z")).filter("mean_z IS NOT NULL")
-    return R.season_level(t.season, p.run(filled(t)), assessed)
+    return R.season_level(t.season, p.run(driver_grid(t)), assessed)
 
 
 @query("anomaly_feed", "pid:i name:s level:s level_rank:i", """SELECT l.pid, s_name AS name, level, list_position(['high', 'medium', 'data', 'context', 'unknown', 'clear'], level) - 1 AS level_rank
@@ -119,7 +118,7 @@ CASE WHEN r IS NULL THEN 'unknown' WHEN r < 0.35e0 THEN 'almost_none' WHEN r < 0
 FROM (SELECT *, CASE WHEN amount_norm > 0 THEN amount / amount_norm END AS r, CASE WHEN level_norm > 0 THEN floor((level * 10 - level_norm * 10) / 20 + 0.5e0) END AS hd
 FROM (SELECT *, level - level_anomaly AS level_norm FROM {win_facts})))""")
 def _(t):
-    d = plan(t).driver_facts(filled(t)).withColumn("level_norm", F.col("level") - F.col("level_anomaly"))
+    d = plan(t).driver_facts(driver_grid(t)).withColumn("level_norm", F.col("level") - F.col("level_anomaly"))
     rain, rain_tone = R.amount_tone(F.col("amount"), F.col("amount_norm"))
     heat, heat_tone = R.heat_tone(F.col("level") * 10, F.col("level_norm") * 10)
     return d.withColumns({"rain": rain, "rain_tone": rain_tone, "heat": heat, "heat_tone": heat_tone, "dry_tone": R.dry_tone(F.col("max_dry_spell"))})
@@ -139,7 +138,7 @@ def _(t):
     tones = p.saved_z.filter("value IS NOT NULL").select("pid", F.col("day").alias("last_day"), tone.alias("tone"))
     trend = R.deviation_trend(trend_points(p)).select("pid", "year", F.col("status").alias("trend"))
     last = days.join(tones, ["pid", "last_day"], "left").join(trend, ["pid", "year"], "left").fillna("ok", ["tone"])
-    return R.season_verdict(last, p.run(filled(t)))
+    return R.season_verdict(last, p.run(driver_grid(t)))
 
 
 _FE = ", ".join(f"('{f}', CAST({f} AS DOUBLE))" for f in R.SHAPE)
@@ -167,7 +166,7 @@ def _(t):
 avg(i) FILTER (z < -2) AS recall_critical, avg((z < -1)::INT) FILTER (i = 1) AS precision, avg((z < -1)::INT) AS base_rate, avg(i) AS share_inside FROM (
 SELECT z, (EXISTS (SELECT 1 FROM {eps} e WHERE e.pid = l.pid AND l.day BETWEEN e.start AND e."end"))::INT AS i FROM {loyo} l WHERE z IS NOT NULL)""")
 def _(t):
-    return R.agreement(inside_episode(loyo_norm(t.season), plan(t).episodes))
+    return R.agreement(inside_episode(loyo_norm(t.season), plan(t).saved_episodes))
 
 
 @query("source_independence", "n_seasons:i corr_ours:f5 corr_raw:f5", """SELECT count(*) AS n_seasons, corr(share_days_depressed, s1_share) AS corr_ours, corr(raw, s1_share) AS corr_raw FROM (
@@ -195,16 +194,23 @@ def _(t):
 @query("top_episodes", "pid:i place:i year:i start:i severity:s min_z:f4", """SELECT pid, year, start, severity, min_z, row_number() OVER (PARTITION BY pid ORDER BY CASE severity WHEN 'critical' THEN 0 ELSE 1 END, min_z, year, start) AS place
 FROM {caused} QUALIFY place <= 12""")
 def _(t):
-    return R.top_episodes(plan(t).episodes.withColumn("severity", severity(F.col("min_z"), F.col("critical_days"))), 12)
+    return R.top_episodes(plan(t).saved_episodes.withColumn("severity", severity(F.col("min_z"), F.col("critical_days"))), 12)
 
 
 @query("field_facts", "pid:i n_seasons:i n_episodes:i doc:s")
 def _(t):
     p = plan(t)
-    return R.field_facts(p.run(filled(t)), p.seasons)
+    return R.field_facts(p.run(driver_grid(t)), p.seasons)
 
 
-@query("mask_and_rerun", "seasons_full:i seasons_masked:i seasons_both:i day_jaccard:f4")
+cte("season_held", """SELECT * EXCLUDE (g) FROM (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', 'rerun', pid, date))) <= round(count(*) OVER () * 0.15) AS g FROM {season}) WHERE NOT g""")
+_HELD = variant("eps", "season", "SELECT * FROM {season_held}", "_again")
+
+
+@query("mask_and_rerun", "seasons_full:i seasons_masked:i seasons_both:i day_jaccard:f4", f"""WITH f AS (SELECT DISTINCT pid, year, unnest(range(start, "end" + 1)) AS day FROM {{eps}}), m AS (SELECT DISTINCT pid, year, unnest(range(start, "end" + 1)) AS day FROM {{{_HELD}}}),
+d AS (SELECT coalesce(f.pid, m.pid) AS pid, coalesce(f.year, m.year) AS year, f.day IS NOT NULL AS f, m.day IS NOT NULL AS m FROM f FULL JOIN m ON f.pid = m.pid AND f.year = m.year AND f.day = m.day),
+s AS (SELECT bool_or(f) AS f, bool_or(m) AS m, count(*) FILTER (f AND m) AS n_both, count(*) AS n_either FROM d GROUP BY pid, year)
+SELECT count(*) FILTER (f) AS seasons_full, count(*) FILTER (m) AS seasons_masked, count(*) FILTER (f AND m) AS seasons_both, sum(n_both) / sum(n_either) AS day_jaccard FROM s""")
 def _(t):
     """Hides 15 % of the observations, reruns the detector and compares seasons and episode days."""
     full = plan(t).saved_episodes

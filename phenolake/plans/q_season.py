@@ -178,12 +178,12 @@ EP_COLS = ("pid:i year:i start:i end:i days:i n_obs:i artifacts_near:i min_z:f4
 
 @query("find_episodes", EP_COLS, "SELECT * FROM {eps}")
 def _(t):
-    return plan(t).episodes
+    return plan(t).saved_episodes
 
 
 @query("find_episodes_loose", EP_COLS, "SELECT * FROM {eps_loose}")
 def _(t):
-    return plan(t, strict=False).episodes
+    return plan(t, strict=False).saved_episodes
 
 
 PH = "pid:i year:i valid:b peak:f5 peak_doy:i base:f5 amplitude:f5 sos_doy:i half_decline_doy:i integral:f3 covered_days:i"

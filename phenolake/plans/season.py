@@ -56,10 +56,6 @@ class SeasonPlan:
     def saved_series(self) -> DataFrame:
         return cut_lineage(self.series)
 
-    @cached_property
-    def episodes(self) -> DataFrame:
-        return S.find_episodes(self.z, self.saved_series, self.strict)
-
     @cached_property
     def phenology(self) -> DataFrame:
         """Phenology of each season beside its deviation from the norm's."""
@@ -69,16 +65,22 @@ class SeasonPlan:
 
     @cached_property
     def saved_episodes(self) -> DataFrame:
+        """Episodes of the saved z: the one path that the batch and every query of it take."""
         return cut_lineage(S.find_episodes(self.saved_z, self.saved_series, self.strict))
 
     @cached_property
     def seasons(self) -> DataFrame:
         return X.season_table(self.saved_series, self.saved_z, self.phenology)
 
-    def driver_facts(self, grid: DataFrame) -> DataFrame:
-        ep = self.saved_episodes.join(self.categories.withColumnRenamed("category", "region"), "pid").select(
-            "region", "pid", "year", F.col("start").alias("ep"), "start", "end")
-        return D.episode_drivers(ep, grid, "region", ["pid", "year", "ep"])
+    def driver_facts(self, grid: DataFrame, cols=("precip", "temp")) -> DataFrame:
+        """Driver facts of an episode's windows. An entity reads the series of its category; one without a series, or without a category, reads the median of
+        all series (``region`` is then ``REGION_KEY``), which is laid on the calendar once and never copied to entities."""
+        kinds = self.categories.withColumnRenamed("category", "region")
+        mapping, series = D.with_fallback(kinds.filter("region IS NOT NULL"), grid, D.regional_grid(grid, cols), "region", cols)
+        ep = self.saved_episodes.join(kinds, "pid", "left").join(mapping, "region", "left").select(
+            F.coalesce("driver_key", F.lit(D.REGION_KEY)).alias("region"), "pid", "year", F.col("start").alias("ep"), "start", "end")
+        d = D.episode_drivers(ep, cut_lineage(D.with_calendar(series.withColumnRenamed("driver_key", "region"))), "region", ["pid", "year", "ep"])
+        return d.withColumn("driver_source", F.when(F.col("region") == D.REGION_KEY, "region").otherwise("own"))
 
     def facts(self, grid: DataFrame) -> DataFrame:
         """All facts of an episode in one row: the input of the cause rules."""
@@ -86,10 +88,11 @@ class SeasonPlan:
         ep = ep.join(self.phenology.drop("covered_days", "base", "amplitude", "integral", "peak_doy", "sos_doy", "half_decline_doy"),
                      ["pid", "year"], "left")
         ep = ep.join(X.index_anomaly(self.saved_episodes, self.saved_series), X.EPISODE_KEY, "left")
-        comb = self.driver_facts(grid).filter("win = 'combined'").drop("win", "region")
-        comb = comb.select("pid", "year", F.col("ep").alias("start"), *[F.col(c).alias(f"c_{c}") for c in (
-            "n_days", "amount", "amount_norm", "deficit_pct", "level", "level_anomaly", "hot_days", "max_dry_spell")])
-        return ep.join(comb, X.EPISODE_KEY, "left")
+        of = lambda win, c: F.max(F.when(F.col("win") == win, F.col(c)))
+        drivers = self.driver_facts(grid).groupBy("pid", "year", F.col("ep").alias("start")).agg(F.max("driver_source").alias("driver_source"), *[
+            of("combined", c).alias(f"c_{c}") for c in ("n_days", "amount", "amount_norm", "deficit_pct", "level", "level_anomaly", "hot_days", "max_dry_spell")], *[
+            of(win, c).alias(f"{win[0]}_{c}") for win in ("before", "during") for c in ("amount", "amount_norm", "deficit_pct")])
+        return ep.join(drivers, X.EPISODE_KEY, "left")
 
     def run(self, grid: DataFrame) -> DataFrame:
         """The whole batch: episodes with context, severity, cause, confidence, arguments and text."""

@@ -97,3 +97,29 @@ def test_trend_statuses(spark):
     d = spark.createDataFrame(rows, "pid int, year int, day int, source int, h double, artifact boolean, norm_mean double, norm_std double")
     got = R.deviation_trend(d).orderBy("pid").collect()
     assert [r.status for r in got] == list(cases) and all((r.n_before, r.n_after) == (2, 2) for r in got)
+
+
+def test_arguments_and_plurals(spark):
+    """Typed arguments in reading order, and their sentences with singular and plural forms."""
+    from phenolake.operators import context as X
+    d = spark.sql("""SELECT 2 AS n_obs, 3 AS artifacts_near, 1.0D AS peak_ratio, 30 AS peak_shift, 0 AS sos_shift, -20 AS decline_shift, true AS valid, 0.8D AS peak, 200 AS start_doy, 230 AS end_doy,
+        -1.0D AS region_z, 0.6D AS share_low, 5 AS n_entities, 30 AS c_n_days, 10.0D AS c_amount, 40.0D AS c_amount_norm, 75.0D AS c_deficit_pct, 20.0D AS c_level, 0.2D AS c_level_anomaly,
+        1 AS c_hot_days, 16 AS c_max_dry_spell, 0.1D AS index_anomaly, 1 AS index_n, 5.0D AS b_amount, 20.0D AS b_amount_norm, 75.0D AS b_deficit_pct,
+        CAST(NULL AS DOUBLE) AS d_amount, CAST(NULL AS DOUBLE) AS d_amount_norm, CAST(NULL AS DOUBLE) AS d_deficit_pct""")
+    few = X.classify(d).first()
+    assert [a["code"] for a in few["arguments"]] == ["few_obs", "region_low", "dry", "dry_spell", "before", "second_index"]
+    assert few["reasons"][0] == "only 2 observations inside, 3 artifacts near" and few["reasons"][-1] == "second index off its norm by 0.10 (1 point)"
+    drought = X.classify(d.withColumn("artifacts_near", F.lit(0))).first()
+    assert drought["cause"] == "weather_drought" and [a["code"] for a in drought["arguments"]] == ["dry", "dry_spell", "before", "decline", "region_low", "second_index"]
+    assert drought["reasons"][3] == "peak at the norm (100 %) but the decline began 20 days early" and drought["reasons"][1] == "dry run of 16 days"
+
+
+def test_driver_fallback_leaves_no_entity_without_facts(spark):
+    from phenolake.operators import drivers as D
+    own = spark.createDataFrame([(k, day, 1.0 + k, float(day % 7)) for k in (1, 2) for day in range(0, 40) if day not in (10, 11)], "region int, day int, precip double, temp double")
+    grid = D.regional_grid(own, ["precip", "temp"])
+    got = {r.day: (r.precip, r.temp) for r in grid.collect()}
+    assert sorted(got) == list(range(40)) and got[0] == (2.5, 0.0) and got[10][0] == 2.5 and got[11][1] is not None
+    mapping, series = D.with_fallback(spark.createDataFrame([(1,), (7,)], "region int"), own, grid, "region", ["precip", "temp"])
+    assert {(r.region, r.driver_key, r.origin) for r in mapping.collect()} == {(1, 1, "own"), (7, D.REGION_KEY, "region")}
+    assert series.filter(F.col("driver_key") == D.REGION_KEY).count() == 40
