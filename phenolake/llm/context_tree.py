@@ -292,6 +292,14 @@ def _above(column: str):
     return F.shiftleft(F.shiftright(column, 16), 8).bitwiseOR(F.col(column).bitwiseAND(255))
 
 
+def merged_places(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the values of two sorted arrays without common values in their sorted union."""
+    at = np.searchsorted(b, a)
+    other = np.ones(len(a) + len(b), bool)
+    other[at + np.arange(len(a))] = False
+    return at + np.arange(len(a)), np.flatnonzero(other)
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, rest: int = 2, length: int = LENGTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte for every row.
 
@@ -314,10 +322,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
         train = trained(ids, mod, rest)
         words, doc, seq, _ = asked(data, offsets)
         words, which = np.unique(words, return_inverse=True)
-        keys = np.concatenate([words, np.unique(seq)])
-        count = np.concatenate([np.bincount(which, weights=train[doc], minlength=len(words)), np.zeros(len(keys) - len(words))]).astype(np.uint32)
-        order = np.argsort(keys)
-        return pickle.dumps((ids, train, squeezed(data), offsets)), keys[order], count[order]
+        seq = np.unique(seq)
+        at_words, at_seq = merged_places(words, seq)
+        keys, count = np.empty(len(words) + len(seq), np.uint64), np.zeros(len(words) + len(seq), np.uint32)
+        keys[at_words], keys[at_seq] = words, seq
+        count[at_words] = np.bincount(which, weights=train[doc], minlength=len(words))
+        return pickle.dumps((ids, train, squeezed(data), offsets)), keys, count
 
     def answer(keys: np.ndarray, count: np.ndarray, seqs: np.ndarray, logs: np.ndarray) -> np.ndarray:
         """Of a sequence, the log of its last byte; of a word, twice its count, and one more for the first piece that asks, which counts the
@@ -336,12 +346,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
     def finish(head: bytes, answers: np.ndarray) -> pa.RecordBatch:
         ids, train, data, offsets = pickle.loads(head)
         words, doc, seq, text = asked(restored(data, np.uint8), offsets)
-        keys = np.unique(np.concatenate([np.unique(words), np.unique(seq)]))
-        is_word = keys & np.uint64(1) > 0
+        words, which = np.unique(words, return_inverse=True)
+        seq, inverse = np.unique(seq, return_inverse=True)
+        at_words, at_seq = merged_places(words, seq)
+        told = answers[at_words]
         first = np.zeros(len(ids), np.int64)
-        first[:1] = np.count_nonzero(is_word & (answers & np.uint64(1) > 0) & (answers > 1))
-        c = (answers[np.searchsorted(keys, words)] >> np.uint64(1)).astype(np.int64)
-        logs = answers[np.searchsorted(keys, seq)].astype(np.uint32).view(np.float32)
+        first[:1] = np.count_nonzero((told & np.uint64(1) > 0) & (told > 1))
+        c = (told >> np.uint64(1)).astype(np.int64)[which]
+        logs = answers[at_seq].astype(np.uint32).view(np.float32)[inverse]
         model = np.add.reduceat(logs, np.flatnonzero(np.diff(text, prepend=-1)), dtype=np.float64) if len(ids) else np.zeros(0)
         tokens = np.bincount(doc, minlength=len(ids)).astype(np.int64)
         return pa.RecordBatch.from_arrays([
