@@ -53,8 +53,8 @@ def anchors(words: Words, least: int = LEAST, shingle: int = SHINGLE) -> tuple[n
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    return d.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
+    return d.withColumn("row_key", F.xxhash64("doc_id", "text"))  # a null id leaves the key to the text
 
 
 def sparse_suffixes(docs: DataFrame, least: int, shingle: int) -> DataFrame:
@@ -64,7 +64,7 @@ def sparse_suffixes(docs: DataFrame, least: int, shingle: int) -> DataFrame:
         at, g = anchors(w, least, shingle)
         doc = np.searchsorted(w.first, at, "right") - 1
         keys, which, count = np.unique(g, return_inverse=True, return_counts=True)
-        head = pickle.dumps((b.column("doc_id").to_numpy(), b.column("row_key").to_numpy(), doc.astype(np.int32),
+        head = pickle.dumps((b.column("doc_id"), b.column("row_key").to_numpy(), doc.astype(np.int32),
                              (at - w.first[doc]).astype(np.int32), which.astype(np.int32)))
         return head, keys, count
 
@@ -74,7 +74,7 @@ def sparse_suffixes(docs: DataFrame, least: int, shingle: int) -> DataFrame:
         doc, place = doc[again], place[again]
         rows, first = np.unique(doc, return_index=True)
         lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array(place))
-        return pa.RecordBatch.from_arrays([pa.array(ids[rows], pa.int64()), pa.array(row_keys[rows], pa.int64()), lists], ["doc_id", "row_key", "places"])
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(row_keys[rows], pa.int64()), lists], ["doc_id", "row_key", "places"])
 
     return round_trip(docs, send, repeated, finish, "doc_id long, row_key long, places array<int>")
 
@@ -92,11 +92,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """doc_id, first_word, n_words of each maximal run of words that are all in passages of ``least`` words (lower-cased, between white
     space) found at two places or more of the corpus, the same text included.
 
-    Null and short texts have none; repeated rows repeat each other; rows without an id are left out, as nothing could name them;
-    other columns aren't looked at."""
+    Null and short texts have none; repeated rows repeat each other; rows without an id count as copies, but have no rows of their own, as
+    nothing could name them; other columns aren't looked at."""
     d = _keyed(docs, id_col, text_col)
     places = cut_lineage(sparse_suffixes(d, least, shingle).groupBy("doc_id", "row_key").agg(F.first("places").alias("places")))
-    near = d.join(places, ["doc_id", "row_key"])  # lists of places have no size bound, so nothing is broadcast by hint
+    at = places.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "places")
+    near = d.join(at, (F.col("row_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "_key")  # lists of places have no size bound, so nothing is broadcast by hint
 
     def send(b: pa.RecordBatch):
         w = Words(b.column("text"))
@@ -112,7 +113,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         ok = begins + least <= w.first[doc + 1]
         begins, doc = begins[ok], doc[ok]
         keys, which, count = np.unique(gram_hashes(w.hash, least)[begins] if len(begins) else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
-        head = pickle.dumps((b.column("doc_id").to_numpy(), doc.astype(np.int32), (begins - w.first[doc]).astype(np.int32), which.astype(np.int32)))
+        head = pickle.dumps((b.column("doc_id"), doc.astype(np.int32), (begins - w.first[doc]).astype(np.int32), which.astype(np.int32)))
         return head, keys, count
 
     def finish(head: bytes, answers: np.ndarray) -> pa.RecordBatch:
@@ -123,8 +124,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         fresh[1:] = (doc[1:] != doc[:-1]) | (begin[1:] > begin[:-1] + least)
         first = np.flatnonzero(fresh)
         last = np.append(first[1:], len(doc)) - 1
-        return pa.RecordBatch.from_arrays([pa.array(ids[doc[first]], pa.int64()), pa.array(begin[first].astype(np.int64)),
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(doc[first], pa.int64())), pa.array(begin[first].astype(np.int64)),
                                            pa.array((begin[last] + least - begin[first]).astype(np.int64) if len(first) else np.zeros(0, np.int64))],
                                           ["doc_id", "first_word", "n_words"])
 
-    return round_trip(near, send, repeated, finish, "doc_id long, first_word long, n_words long")
+    return round_trip(near, send, repeated, finish, "doc_id long, first_word long, n_words long").filter("doc_id IS NOT NULL")
