@@ -1,5 +1,6 @@
 """Language identification by cross-parsing: a suffix automaton of labelled text for each language parses a text into longest matches, and
-the language that needs the fewest phrases wins."""
+the language whose phrases cost least wins: a phrase names a place in the language's sample, so its cost is the logarithm of the sample's
+size."""
 
 from __future__ import annotations
 
@@ -10,14 +11,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phenolake.llm.common import pieces
 from phenolake.llm.toxicity import held_out
 
-SAMPLE_ROWS, SAMPLE_BYTES = 64, 32_000  #: labelled rows and bytes of text that a language's automaton is built from, at most
+SAMPLE_BYTES = 32_000  #: of labelled text that each language's automaton is built from
+SAMPLE_ROWS, STRETCH = 1024, 2000  #: distinct labelled texts a language that may be gathered for that, at most, and characters of each
+FIRST_LOOK = 64  #: rows of a language that the first pass is expected to see
 STRIDE = 256  #: a text is parsed in stretches of so many bytes, all of a piece at once
 UNKNOWN = "und"
 
@@ -67,6 +70,7 @@ class Parsers:
     classes: np.ndarray  #: class of each byte; 0 is in no sample
     tables: np.ndarray  #: transitions of all languages one after the other
     roots: np.ndarray
+    bits: np.ndarray  #: of a phrase, by language: the logarithm of the sample's size
 
     @classmethod
     def of(cls, samples: dict[str, bytes]) -> Parsers:
@@ -82,7 +86,8 @@ class Parsers:
             t[:, 0] = -1
             tables.append(np.where(t >= 0, t + at, -1)), roots.append(at)
             at += len(t)
-        return cls(languages, classes, np.concatenate(tables) if tables else np.zeros((0, 1), np.int32), np.array(roots, np.int64))
+        return cls(languages, classes, np.concatenate(tables) if tables else np.zeros((0, 1), np.int32), np.array(roots, np.int64),
+                   np.log2([len(samples[k]) + 2 for k in languages]) if languages else np.zeros(0))
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """[text, language]: phrases of the greedy parse, stretch by stretch; a byte of no sample is a phrase of its own."""
@@ -128,28 +133,44 @@ class Parsers:
             if not self.languages or not _LETTER.search(t or ""):
                 out.append({"lang_pred": UNKNOWN, "score": 0.0})
                 continue
-            best = int(row.argmin())
-            rest = np.delete(row, best)
-            gap = (rest.min() - row[best]) / math.sqrt(rest.min() + row[best]) if len(rest) else math.inf
+            cost = row * self.bits  # a phrase costs the bits that name its place in the sample
+            best = int(cost.argmin())
+            rest = np.delete(cost, best)
+            gap = (rest.min() - cost[best]) / math.sqrt((rest.min() + cost[best]) * float(self.bits.max())) if len(rest) else math.inf
             out.append({"lang_pred": self.languages[best], "score": 1 / (1 + math.exp(-min(gap, 700.0)))})
         return out
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", mod: int = 4, rest: int = 2) -> Parsers:
-    """Automata from labelled rows whose crc32(id) mod ``mod`` isn't ``rest``: about SAMPLE_ROWS rows a language, by a threshold on the
-    digest of the id that follows the language's count, so that no language is sorted or gathered."""
+    """Automata from labelled rows whose crc32(id) mod ``mod`` isn't ``rest``, SAMPLE_BYTES a language.
+
+    Distinct texts are drawn by a digest of language and text, so neither a repeated id nor a repeated text fills a sample, until every language has
+    its bytes or all of its texts: the share of the digests that is looked at grows eightfold a pass, and what comes back is at most SAMPLE_ROWS stretches of
+    STRETCH characters a language. A long text gives the stretch that its digest points to, from anywhere in it."""
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(
         "lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL").filter(~held_out(F.col("id"), mod, rest))
     counts = {r["lang"]: r["count"] for r in d.groupBy("lang").count().collect()}  # one row a language
     if not counts:
         return Parsers.of({})
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, SAMPLE_ROWS / n)])
-    rank = F.conv(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 12), 16, 10).cast("double") / float(16 ** 12)
-    rows = d.filter(rank < F.element_at(share, F.col("lang"))).select("lang", F.substring("text", 1, SAMPLE_BYTES).alias("text"), rank.alias("rank"))
-    samples: dict[str, list[bytes]] = {k: [] for k in counts}
-    for r in rows.orderBy("rank").collect():  # SAMPLE_ROWS rows a language are expected
-        samples[r["lang"]].append(plain(r["text"])[:4 * SAMPLE_BYTES // SAMPLE_ROWS])
-    return Parsers.of({k: b" ".join(v)[:SAMPLE_BYTES] for k, v in samples.items() if v})
+    digest = F.md5(F.concat_ws("|", "lang", "text").cast("binary"))
+    part = lambda at: F.conv(F.substring("digest", at, 12), 16, 10).cast("double") / float(16 ** 12)
+    spare = F.greatest(F.length("text") - STRETCH, F.lit(0))
+    keyed = d.select("lang", "text", digest.alias("digest")).select(
+        "lang", "digest", part(1).alias("rank"), "text", spare.alias("spare"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("digest"))
+    share = {k: min(1.0, FIRST_LOOK / n) for k, n in counts.items()}
+    while True:
+        seen = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col("lang")]
+        few = keyed.filter(F.col("rank") < seen).withColumn("stretch", F.substring("text", F.floor(part(13) * (F.col("spare") + 1)).cast("int") + 1, F.lit(STRETCH)))
+        few = few.groupBy("lang", "digest").agg(F.first("stretch").alias("stretch"))
+        got: dict[str, list[bytes]] = {k: [] for k in counts}
+        for r in few.withColumn("place", place).filter(F.col("place") <= SAMPLE_ROWS).orderBy("lang", "place").collect():
+            got[r["lang"]].append(plain(r["stretch"]))
+        samples = {k: b" ".join(v)[:SAMPLE_BYTES] for k, v in got.items()}
+        short = [k for k, v in samples.items() if len(v) < SAMPLE_BYTES and len(got[k]) < SAMPLE_ROWS and share[k] < 1.0]
+        if not short:
+            return Parsers.of({k: v for k, v in samples.items() if v})
+        share |= {k: min(1.0, share[k] * 8) for k in short}
 
 
 def identify(docs: DataFrame, parsers: Parsers, text_col: str = "text") -> DataFrame:

@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from phenolake.llm import (contamination, context_tree, jaccard, language, licenses, mixing, quality, repeats, sharding, toxicity)
 from phenolake.llm.words import NOT_ALNUM, SPACE, Words
@@ -282,7 +284,7 @@ def test_toxicity(spark, empty):
 def test_repeats(docs, empty, rows):
     for least, shingle in ((50, 8), (12, 4)):
         where = collections.defaultdict(set)
-        listed = [(k, i, spaced(t)) for k, (i, t, _, _) in enumerate(rows) if i is not None]
+        listed = [(k, i, spaced(t)) for k, (i, t, _, _) in enumerate(rows)]  # a row without an id is a copy too
         for k, _, w in listed:
             for s in range(len(w) - least + 1):
                 where[tuple(w[s:s + least])].add((k, s))
@@ -295,10 +297,14 @@ def test_repeats(docs, empty, rows):
                         runs[-1][1] = s + least
                     else:
                         runs.append([s, s + least])
-            want += [(i, a, b - a) for a, b in runs]
+            want += [(i, a, b - a) for a, b in runs if i is not None]
         got = repeats.repeated_passages(docs, least=least, shingle=shingle).collect()
         assert sorted(map(tuple, got)) == sorted(want) and want
     assert repeats.repeated_passages(empty).count() == 0
+    alone = docs.filter("doc_id = 7").limit(1)
+    unnamed = alone.withColumn("doc_id", F.lit(None).cast("long"))
+    lone = repeats.repeated_passages(alone.unionByName(unnamed)).collect()
+    assert [tuple(r) for r in lone] == [(7, 0, len(spaced(TEXTS[7])))]
 
 
 def test_language(spark, docs, empty):
@@ -314,6 +320,24 @@ def test_language(spark, docs, empty):
     assert language.identify(empty, nothing).count() == 0 and nothing.predict(["abc"])[0]["lang_pred"] == "und"
 
 
+def test_language_sample_is_drawn_from_texts_not_ids(spark):
+    """One id for all rows of a language, and one text a third of all rows, neither hide a language nor fill its sample; long texts count beyond
+    their beginnings; samples of unequal size don't decide."""
+    rng = random.Random(8)
+    say = lambda kinds, n: " ".join("".join(rng.choice(kinds) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    one, two = ["ba", "ko", "ti"], ["shr", "ump", "eld"]
+    trained = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2)
+    hot = say(one, 30)
+    rows = [(trained, say(one, 20), "aa") for _ in range(600)] + [(trained, hot, "aa")] * 600 + [(1000 + i, say(two, 2), "bb") for i in range(40)]
+    rows += [(5000 + i, "zzz " * 900 + say(["vu", "xo", "qi"], 900), "cc") for i in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    p = language.fit(d)
+    assert p.languages == ["aa", "bb", "cc"]
+    texts = [say(one, 12) for _ in range(20)] + [say(two, 12) for _ in range(20)] + [say(["vu", "xo", "qi"], 12) for _ in range(20)]
+    got = [x["lang_pred"] for x in p.predict(texts)]
+    assert np.mean([g == w for g, w in zip(got, ["aa"] * 20 + ["bb"] * 20 + ["cc"] * 20)]) > 0.95
+
+
 def test_cross_parse():
     rng = random.Random(4)
     samples = {"x": bytes(rng.choice(b"ab ") for _ in range(60)), "y": bytes(rng.choice(b"bc ") for _ in range(60))}
