@@ -2,6 +2,7 @@
 
 import pytest
 
+from phenolake.plans import catalog  # noqa: F401  query modules refer to each other's SQL
 from phenolake.plans.q_features import Fitted
 from phenolake.sources.tables import Tables
 
