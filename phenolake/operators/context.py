@@ -17,8 +17,8 @@ EPISODE_KEY = ["pid", "year", "start"]
 def day_medians(z: DataFrame) -> DataFrame:
     """Per day: number of entities and the four values around the middle; one row per calendar day."""
     return order_statistics(z, ["day"], "z", {
-        "za": (0.5, lambda n: F.floor(n / 2)), "zb": (0.5, lambda n: F.floor(n / 2) + 1),
-        "zc": (0.5, lambda n: F.ceil(n / 2)), "zd": (0.5, lambda n: F.ceil(n / 2) + 1)})
+        "za": lambda n: F.floor(n / 2), "zb": lambda n: F.floor(n / 2) + 1,
+        "zc": lambda n: F.ceil(n / 2), "zd": lambda n: F.ceil(n / 2) + 1})
 
 
 def median_of_others(own: Column) -> Column:

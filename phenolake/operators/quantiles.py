@@ -1,63 +1,68 @@
 """Exact order statistics and quantiles of groups of any size.
 
 ``percentile`` keeps every distinct value of a group in one buffer. That is fine for calendar-bounded groups, but a
-whole-table or per-category quantile must not do it. Here a mergeable sketch brackets each wanted rank, rows outside
-the brackets are only counted, and the few distinct values inside are ordered. The answer is exact: a rank is read
-from counts, never from the sketch.
+whole-table or per-category quantile must not do it. Here a mergeable sketch over all rows cuts the values into cells
+of about equal numbers of rows, cells are counted by group, and only the distinct values of the few cells that hold a
+wanted rank are ordered. A cell holds a fixed share of *all* rows at most, so the largest group is spread like any
+other and no group's size selects another way. The answer is exact: a rank is read from counts, never from the sketch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 100_000        # the sketch's rank error is at most n / ACCURACY
-MARGIN = 10 / ACCURACY    # brackets are ten times as wide
-SMALL = 20_000            # up to here a bracket would be narrower than two ranks, and the group is ordered whole
-CUTS = 128                # ranges of a whole-table running count
+from phenolake.sources.io import cut_lineage
 
+CELLS = 1024      # ranges of values, a power of two; the table of their ends is one row
+SHARPNESS = 4     # the sketch's rank error is a cell's share over this
+CUTS = 128        # ranges of a whole-table running count
 
-def order_statistics(df: DataFrame, keys, value: str,
-                     wants: dict[str, tuple[float, Callable[[Column], Column]]]) -> DataFrame:
-    """Values at exact 1-based ranks per group; ``wants`` maps names to (share of n near the rank, rank of n)."""
+
+def cell_of(cuts: Column, value: Column, cells: int) -> Column:
+    """Number of the sorted ``cuts`` below ``value``, by bisection; ``cells`` is a power of two above their number."""
+    steps = F.array(*[F.lit(cells >> i) for i in range(1, cells.bit_length())])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) < value, at + step).otherwise(at))
+
+
+def cell_cuts(df: DataFrame, value: str) -> DataFrame:
+    """One row: the CELLS - 1 values that cut all rows into cells of about equal size (NULL for an empty table)."""
+    shares = F.expr(f"array({', '.join(f'{i / CELLS}D' for i in range(1, CELLS))})")  # one expression, not one call a share
+    return df.agg(F.percentile_approx(value, shares, F.lit(CELLS * SHARPNESS)).alias("_cuts"))
+
+
+def order_statistics(df: DataFrame, keys, value: str, wants: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Values at exact 1-based ranks per group; ``wants`` maps names to the rank as a function of the group's size n.
+
+    NULL values are left out; a group of NULL keys is a group; a rank outside 1..n is NULL.
+    """
     key = keys or ["_all"]
     base = (df if keys else df.withColumn("_all", F.lit(1))).filter(F.col(value).isNotNull())
     base = base.select(*key, F.col(value).alias("_v"))
-    probs = sorted({p for p, _ in wants.values()})
-    ends = [max(0.0, p - MARGIN) for p in probs] + [min(1.0, p + MARGIN) for p in probs]
-    sketch = base.groupBy(*key).agg(F.count("*").alias("n"), F.percentile_approx(
-        "_v", F.array(*[F.lit(e) for e in ends]), F.lit(ACCURACY)).alias("_q"))
-    big = F.col("n") > SMALL
-    for i in range(len(probs)):
-        sketch = sketch.withColumns({f"_lo{i}": F.when(big, F.col("_q")[i]),
-                                     f"_hi{i}": F.when(big, F.col("_q")[i + len(probs)])})
-    sketch = sketch.drop("_q")
-    joined = base.join(sketch if keys else F.broadcast(sketch), key)  # one row when there are no keys
-    inside = [F.col(f"_lo{i}").isNull() | F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
-              for i in range(len(probs))]
-    kept = inside[0]
-    for c in inside[1:]:
-        kept = kept | c
-    edges = [c for i in range(len(probs)) for c in (f"_lo{i}", f"_hi{i}")]
-    counts = joined.withColumn("_in", F.when(kept, F.col("_v"))).groupBy(*key, F.col("_in")).agg(
-        F.count("*").alias("_c"), F.max("n").alias("n"), *[F.max(c).alias(c) for c in edges],
-        *[F.count(F.when(F.col("_v") < F.col(f"_lo{i}"), 1)).alias(f"_b{i}") for i in range(len(probs))])
-    counts = counts.withColumnRenamed("_in", "_v")
-    hits = {f"_h{i}": F.when(inside[i] & F.col("_v").isNotNull(), F.col("_c")) for i in range(len(probs))}
-    w = Window.partitionBy(*key)
-    counts = counts.withColumns(hits).withColumns(  # one ordered and one plain window for all ranks together
-        {f"_s{i}": F.sum(f"_h{i}").over(w.orderBy("_v")) for i in range(len(probs))}).withColumns(
-        {f"_t{i}": F.sum(f"_b{i}").over(w) for i in range(len(probs))}).withColumns(
-        {f"_upto{i}": F.when(F.col(f"_h{i}").isNotNull(), F.col(f"_s{i}") + F.col(f"_t{i}"))
-         for i in range(len(probs))})
-    aggs = []
-    for name, (p, rank) in wants.items():
-        top, r = F.col(f"_upto{probs.index(p)}"), rank(F.col("n"))
-        hit = F.max(F.when((r > top - F.col("_c")) & (r <= top), F.col("_v")))
-        aggs.append(F.when(hit.isNull() & r.between(1, F.col("n")), F.raise_error(F.lit(f"rank of {name} outside its bracket"))).otherwise(hit).alias(name))
-    return counts.groupBy(*keys, "n").agg(*aggs)
+    cuts = cut_lineage(cell_cuts(base, "_v"))  # read twice, and a sketch needn't come out the same twice
+    base = (base.crossJoin(F.broadcast(cuts))  # one row
+            .select(*key, "_v", cell_of(F.col("_cuts"), F.col("_v"), CELLS).alias("_cell"), F.lit(1).cast("long").alias("_c")))
+    if keys:  # equal values meet before the join by cell, since one value may fill a cell; the only group needs no such join
+        base = base.groupBy(*key, "_cell", "_v").agg(F.sum("_c").alias("_c"))
+    by_key = Window.partitionBy(*key)  # CELLS rows at most
+    cells = base.groupBy(*key, "_cell").agg(F.sum("_c").alias("_c")).select(
+        *key, "_cell", "_c", F.sum("_c").over(by_key).alias("n"), F.sum("_c").over(by_key.orderBy("_cell")).alias("_upto"))
+    before = F.col("_upto") - F.col("_c")
+    ranks = {f"_r{i}": rank(F.col("n")) for i, rank in enumerate(wants.values())}
+    here = {c: F.when((r > before) & (r <= F.col("_upto")), r - before) for c, r in ranks.items()}
+    goals = cells.select(*[F.col(k).alias(f"_g_{k}") for k in key], F.col("_cell").alias("_g_cell"), "n", (before == 0).alias("_first"),
+                         *[r.alias(c) for c, r in here.items()])
+    goals = goals.filter(reduce(Column.__or__, [F.col(c).isNotNull() for c in here], F.col("_first")))  # each group keeps a row
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in key], F.col("_cell") == F.col("_g_cell"))
+    held = base.join(goals if keys else F.broadcast(goals), same).groupBy(*key, "_cell", "_v").agg(
+        F.sum("_c").alias("_c"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in here])
+    last = F.sum("_c").over(Window.partitionBy(*key, "_cell").orderBy("_v"))
+    held = held.withColumn("_last", last)
+    hit = lambda c: (F.col(c) > F.col("_last") - F.col("_c")) & (F.col(c) <= F.col("_last"))
+    return held.groupBy(*keys, "n").agg(*[F.max(F.when(hit(c), F.col("_v"))).alias(name) for c, name in zip(here, wants)])
 
 
 def exact_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float]) -> DataFrame:
@@ -65,8 +70,8 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float]) ->
     wants, out = {}, []
     for name, p in probs.items():
         at = lambda n, p=p: (n - 1) * F.lit(float(p))
-        wants[f"_{name}_lo"] = (p, lambda n, at=at: F.floor(at(n)) + 1)
-        wants[f"_{name}_hi"] = (p, lambda n, at=at: F.ceil(at(n)) + 1)
+        wants[f"_{name}_lo"] = lambda n, at=at: F.floor(at(n)) + 1
+        wants[f"_{name}_hi"] = lambda n, at=at: F.ceil(at(n)) + 1
         lo, hi, pos = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), at(F.col("n"))
         out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
     return order_statistics(df, keys, value, wants).select(*keys, "n", *out)

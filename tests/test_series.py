@@ -124,14 +124,39 @@ def test_exact_quantiles_with_hot_value_and_brackets(spark, monkeypatch):
     rows = [(i % 2, 5.0 if i % 3 == 0 else float((i * 7919) % 1000)) for i in range(4000)]
     d = spark.createDataFrame(rows, "g int, v double").repartition(4)
     want = {r.g: (r.q, r.m) for r in d.groupBy("g").agg(F.percentile("v", F.lit(0.1)).alias("q"), F.percentile("v", F.lit(0.5)).alias("m")).collect()}
-    for small in (100_000, 100):   # whole groups, then sketch brackets
-        monkeypatch.setattr(quantiles, "SMALL", small)
+    for cells in (1024, 8):   # hardly a value a cell, then many
+        monkeypatch.setattr(quantiles, "CELLS", cells)
         got = quantiles.exact_quantiles(d, ["g"], "v", {"q": 0.1, "m": 0.5}).collect()
         assert {r.g: (r.q, r.m) for r in got} == want
         whole = quantiles.exact_quantiles(d, [], "v", {"m": 0.5}).first()
         assert whole.n == 4000 and whole.m == d.agg(F.percentile("v", F.lit(0.5))).first()[0]
 
 
+def test_order_statistics_edges(spark):
+    """Null values, a null group, an empty table, a rank that a group doesn't have, repeated values."""
+    wants = {"first": lambda n: F.lit(1), "third": lambda n: F.lit(3), "last": lambda n: n}
+    rows = [(1, 2.0), (1, None), (1, 2.0), (1, -1.5), (2, 7.0), (None, 4.0), (None, 3.0), (3, None)]
+    d = spark.createDataFrame(rows, "g int, v double")
+    got = {r.g: (r.n, r["first"], r.third, r.last) for r in quantiles.order_statistics(d, ["g"], "v", wants)
+           .collect()}
+    assert got == {1: (3, -1.5, 2.0, 2.0), 2: (1, 7.0, None, 7.0), None: (2, 3.0, None, 4.0)}
+    assert quantiles.order_statistics(d.filter("false"), ["g"], "v", wants).collect() == []
+    assert quantiles.order_statistics(d.filter("false"), [], "v", wants).collect() == []
+
+
+def test_one_group_is_spread_over_cells(spark):
+    """The median of one group that holds nearly all rows orders a few rows only, and no task gets the group whole."""
+    n = 300_000
+    d = spark.range(n).select(F.when(F.col("id") % 1000 == 0, 1).otherwise(0).alias("g"), ((F.col("id") * 7919) % n).cast("double").alias("v"))
+    got = {r.g: r.m for r in quantiles.exact_quantiles(d, ["g"], "v", {"m": 0.5}).collect()}
+    want = {r.g: r.m for r in d.groupBy("g").agg(F.median("v").alias("m")).collect()}
+    assert got == want
+    cuts = quantiles.cell_cuts(d, "v").first()[0]
+    per_cell = d.select(quantiles.cell_of(F.array(*map(F.lit, cuts[15::16])), F.col("v"), 64).alias("c")).groupBy("c").count()
+    assert per_cell.agg(F.max("count")).first()[0] < 2 * n / 64
+    assert per_cell.count() == 64
+
+
 def test_hash_share_is_exact_and_depends_on_the_seed(spark):
     d = spark.range(1000).withColumnRenamed("id", "k")
     take = lambda seed: {r.k for r in sampling.exact_share(d, ["k"], 0.15, seed, "f").filter("f").collect()}
