@@ -162,5 +162,26 @@ def short_id(*cols: str, digits: int = 12) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), 256), 1, digits)
 
 
+def year_in_text(text: Column, known: Column) -> Column:
+    """First year 1900 to 2099 that stands alone in the text and is one of the array ``known``; NULL if there is none.
+
+    Digits or letters that touch a number make it another one. A NULL text or array gives NULL.
+    """
+    years = F.regexp_extract_all(text, F.lit(r"(?U)\b(?:19|20)[0-9]{2}\b"), F.lit(0)).cast("array<int>")
+    return F.get(F.filter(years, lambda y: F.array_contains(known, y)), F.lit(0))
+
+
+def plural(n: Column, one: str, few: str, many: str) -> Column:
+    """The noun's form after a whole number, by its last digits: 1 and 21 take ``one``, 2 to 4 and 22 ``few``, 5, 11 to 14 and 0 ``many``."""
+    tens, units = F.abs(n) % 100, F.abs(n) % 10
+    teen = tens.between(11, 14)
+    return F.when(n.isNull(), None).when(~teen & (units == 1), one).when(~teen & units.between(2, 4), few).otherwise(many)
+
+
+def counted(n: Column, one: str, few: str, many: str) -> Column:
+    """The number and its noun; NULL for NULL."""
+    return F.concat(n.cast("bigint").cast("string"), F.lit(" "), plural(n, one, few, many))
+
+
 def over_entity(*extra: str):
     return Window.partitionBy("pid", *extra)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phenolake.functions import constants as C
+from phenolake.functions import expr as E
 from phenolake.operators.quantiles import exact_quantiles
 from phenolake.sources.io import first_wins
 
@@ -25,6 +26,16 @@ def filter_episodes(ep: DataFrame, year: int | None = None, cause: str | None =
     return ep.filter(F.col("severity") == severity) if severity else ep
 
 
+def asked_seasons(questions: DataFrame, seasons: DataFrame, text: str = "question") -> DataFrame:
+    """Adds to each question about an entity the ``season`` it names: the first year in its text that the entity has.
+
+    ``seasons`` holds (pid, year) rows in any number; an entity's years are bounded by the calendar. A question that names none of
+    them, or whose entity is unknown, keeps a NULL.
+    """
+    known = seasons.groupBy("pid").agg(F.collect_set("year").alias("_known"))
+    return questions.join(known, "pid", "left").withColumn("season", E.year_in_text(F.col(text), F.col("_known"))).drop("_known")
+
+
 def episode_summary(ep: DataFrame) -> DataFrame:
     """Counts by cause, by year, by severity and over all, in one pass."""
     c, y, s = F.col("cause"), F.col("year"), F.col("severity")

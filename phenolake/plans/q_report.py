@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from phenolake.functions import constants as C
+from phenolake.functions import expr as E
 from phenolake.operators import aggregate as A
 from phenolake.operators import report as R
 from phenolake.operators.context import severity
@@ -23,6 +24,25 @@ def _(t):
     return R.filter_episodes(run(t), 1998, "SEASON", "moderate")
 
 
+@query("asked_seasons", "season:i n:i n_entities:i first_pid:i", r"""WITH q AS (SELECT pid, concat('Why is ', year + doy % 5 - 2, ' unlike 9', year, ' or x', year, ', ',
+year + doy % 3, '? And ', year, '.') AS question FROM {panel}), k AS (SELECT pid, list(DISTINCT year) AS known FROM {panel} GROUP BY pid)
+SELECT season, count(*) AS n, count(DISTINCT pid) AS n_entities, min(pid) AS first_pid FROM (SELECT pid,
+list_filter(CAST(regexp_extract_all(question, '\b(?:19|20)[0-9][0-9]\b') AS INT[]), lambda y: list_contains(known, y))[1] AS season FROM q JOIN k USING (pid)) GROUP BY season""")
+def _(t):
+    """Questions that name a year near their row's, numbers that aren't years, and the row's year."""
+    y = F.col("year")
+    q = t.panel.select("pid", F.concat(F.lit("Why is "), y + F.col("doy") % 5 - 2, F.lit(" unlike 9"), y, F.lit(" or x"), y, F.lit(", "),
+                                       y + F.col("doy") % 3, F.lit("? And "), y, F.lit(".")).alias("question"))
+    return R.asked_seasons(q, t.panel).groupBy("season").agg(F.count("*").alias("n"), F.count_distinct("pid").alias("n_entities"), F.min("pid").alias("first_pid"))
+
+
+@query("counted_nouns", "phrase:s n_groups:i", """SELECT concat(n, CASE WHEN n % 100 BETWEEN 11 AND 14 THEN ' days' WHEN n % 10 = 1 THEN ' day' WHEN n % 10 BETWEEN 2 AND 4 THEN ' days (few)' ELSE ' days' END)
+AS phrase, count(*) AS n_groups FROM (SELECT count(DISTINCT day) AS n FROM {panel} GROUP BY pid, year) GROUP BY ALL""")
+def _(t):
+    n = t.panel.groupBy("pid", "year").agg(F.count_distinct("day").alias("n"))
+    return n.groupBy(E.counted(F.col("n"), "day", "days (few)", "days").alias("phrase")).agg(F.count("*").alias("n_groups"))
+
+
 @query("episode_summary", "cause:s year:i severity:s n:i n_entities:i", """SELECT cause, year, severity, count(*) AS n, count(DISTINCT pid) AS n_entities
 FROM {caused} GROUP BY GROUPING SETS ((cause), (year), (severity), ())""")
 def _(t):

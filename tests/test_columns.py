@@ -17,6 +17,28 @@ def test_status_and_phase(spark):
                    (None, "normal", "ripening")]
 
 
+def test_year_in_text(spark):
+    rows = [("what of 2021 or 2023?", 2023), ("2023", 2023), ("12023, 20231, x2023", None), ("1899 2100 2050", None), ("2022-05-01 and 2023", 2022),
+            ("сезон 2022, год2023", 2022), ("", None), (None, None), ("2023 " * 5000 + "2022", 2023)]
+    d = spark.createDataFrame([(a, [2022, 2023], b) for a, b in rows] + [("2023", None, None), ("2023", [], None)], "q string, known array<int>, want int")
+    for q, got, want in one(d.select("q", E.year_in_text(F.col("q"), F.col("known")), "want")):
+        assert got == want, q
+
+
+def test_asked_seasons_keeps_each_question(spark):
+    q = spark.createDataFrame([(1, "2020?"), (1, "2021?"), (2, "2020?"), (None, "2020?"), (1, "2020?")], "pid long, question string")
+    s = spark.createDataFrame([(1, 2020), (1, 2020), (1, None), (3, 2021)], "pid long, year int")
+    got = sorted(one(R.asked_seasons(q, s).select("pid", "question", "season")), key=str)
+    assert got == sorted([(1, "2020?", 2020), (1, "2020?", 2020), (1, "2021?", None), (2, "2020?", None), (None, "2020?", None)], key=str)
+
+
+def test_plural_follows_the_last_digits(spark):
+    want = {0: "m", 1: "o", 2: "f", 4: "f", 5: "m", 11: "m", 12: "m", 14: "m", 21: "o", 22: "f", 101: "o", 111: "m", 112: "m", 122: "f", -1: "o", -13: "m"}
+    d = spark.createDataFrame([(n,) for n in want] + [(None,)], "n long")
+    got = dict(one(d.select("n", E.counted(F.col("n"), "o", "f", "m"))))
+    assert got == {n: f"{n} {w}" for n, w in want.items()} | {None: None}
+
+
 def test_nan_becomes_null_and_clip_keeps_null(spark):
     d = spark.createDataFrame([(float("nan"),), (float("inf"),), (2.0,), (None,)], "v double")
     assert one(d.select(E.denan(F.col("v")))) == [(None,), (None,), (2.0,), (None,)]
