@@ -24,6 +24,7 @@ PRIOR, LEAST_PRIOR = 200.0, 0.5  #: weight of the prior, in incidences of all to
 LEAST_Z, LEAST_SEEN, LEAST_ODDS = 4.7, 3, 1.0  #: evidence of a token that scores above the drift
 LEAST_DRIFT = 0.002  #: what a token without evidence takes off a segment, at least
 HIGHEST = 7.0  #: log-odds of one token, at most
+FIT_TASKS = 64  #: tasks that share the sample: it is written in few files, but its texts hold all pairs of words that are counted
 PREFIX, PREFIX_WORDS = (3, 4, 5, 6, 7, 8), 4  #: beginnings of words count as tokens if so many words share them
 THRESHOLD = 0.7
 _CACHE = 300_000
@@ -120,8 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # a word is counted once after each other word, so that near copies and common lines don't add up
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))
     after = let(words, lambda w: F.array_distinct(F.transform(w, lambda x, i: F.struct(F.coalesce(F.get(w, i - 1), F.lit("")).alias("before"), x.alias("word")))))
-    by_word = (sample.filter(~F.col("other")).select("label", F.explode(after).alias("p")).select("label", "p.*").distinct().groupBy("word")
-               .agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")))
+    by_word = (sample.filter(~F.col("other")).repartition(FIT_TASKS, "t").select("label", F.explode(after).alias("p"))
+               .select("label", "p.*").distinct().groupBy("word").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")))
     by_word = cut_lineage(by_word)
     starts = by_word.select("word", "a", "b", F.explode(F.array(*map(F.lit, PREFIX))).alias("n")).filter(F.char_length("word") >= F.col("n"))
     starts = (starts.groupBy(F.concat(F.col("word").substr(F.lit(1), F.col("n")), F.lit("*")).alias("word"))
