@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phenolake.functions import constants as C
@@ -12,11 +16,15 @@ from phenolake.operators.quantiles import order_statistics
 from phenolake.operators.season import season_bounds
 
 EPISODE_KEY = ["pid", "year", "start"]
+SEASON_DAYS = 213  # 1 April to 30 October
+SALTS = 128        # tasks that share the entities of a region and year
+HELD = 128         # tables of counts that a task holds at once, 0.7 MB each
+LOW_MEAN = 1 + 5e-10  # means are compared with -1 after rounding to 9 digits
 
 
-def day_medians(z: DataFrame) -> DataFrame:
-    """Per day: number of entities and the four values around the middle; one row per calendar day."""
-    return order_statistics(z, ["day"], "z", {
+def day_medians(z: DataFrame, within=()) -> DataFrame:
+    """Per region (columns ``within``) and day: number of entities and the four values around the middle."""
+    return order_statistics(z, [*within, "day"], "z", {
         "za": lambda n: F.floor(n / 2), "zb": lambda n: F.floor(n / 2) + 1,
         "zc": lambda n: F.ceil(n / 2), "zd": lambda n: F.ceil(n / 2) + 1})
 
@@ -33,42 +41,93 @@ def median_of_others(own: Column) -> Column:
     return F.when(own.isNull(), everyone).when(n >= 2, (left + right) / 2)
 
 
-def entity_shares(ep: DataFrame, z: DataFrame) -> DataFrame:
-    """Per distinct interval: entities with a z inside and those with a mean below -1.
+def interval_number(start: Column, end: Column) -> Column:
+    """Place of the interval from the ``start``-th to the ``end``-th season day (from 0) among all intervals, by start, then end."""
+    return (start * (2 * SEASON_DAYS + 1 - start) / 2 + end - start).cast("int")
+
 
-    Running sums packed into one array per entity-season turn an interval into two look-ups. The distinct intervals of
-    a year number at most 213 * 214 / 2, whatever the number of entities, so they may be broadcast, and the counts are
-    added up before anything is shuffled.
+def entity_shares(z: DataFrame, within=()) -> DataFrame:
+    """Per region, year and interval of season days: entities with a z inside and those with a mean below -1.
+
+    A season has at most 213 * 214 / 2 intervals, so all of them together are one array of counts. A task adds up the arrays
+    of its entity-seasons, each from running sums, and sends one array a region and year; no row of an entity and an interval
+    is made. Entities of a region and year are dealt to SALTS tasks. A task that meets more than HELD regions and years sends
+    what it has and goes on.
+    """
+    keys = [*within, "year"]
+    offset = F.col("day") - season_bounds(F.col("year"))[0]
+    d = z.filter("z IS NOT NULL").select(*keys, "pid", F.pmod(F.xxhash64("pid"), F.lit(SALTS)).alias("_salt"), offset.alias("_at"), "z")
+    d = d.filter(F.col("_at").between(0, SEASON_DAYS - 1)).repartition(*keys, "_salt")  # the grouping below needs no other exchange
+    packed = d.groupBy(*keys, "_salt", "pid").agg(F.collect_list("_at").alias("at"), F.collect_list("z").alias("z")).select(*keys, "at", "z")
+    types = {f.name: f.dataType.simpleString() for f in z.schema.fields}
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", n_all array<bigint>, n_low array<bigint>"
+
+    def counts(batches):
+        upper = np.triu_indices(SEASON_DAYS)
+        held: dict[tuple, np.ndarray] = {}
+        kinds: list[pa.DataType] = []
+
+        def sent():
+            cols = {k: pa.array([key[i] for key in held], type=kinds[i]) for i, k in enumerate(keys)}
+            for i, name in enumerate(("n_all", "n_low")):
+                cols[name] = pa.array([x[i][upper] for x in held.values()], type=pa.list_(pa.int64()))
+            return pa.RecordBatch.from_pydict(cols)
+
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in keys]
+            rows = zip(*[batch.column(k).to_pylist() for k in keys])
+            at, v = batch.column("at"), batch.column("z")
+            for i, key in enumerate(rows):
+                day = at[i].values.to_numpy() + 1
+                seen, below = np.zeros((2, SEASON_DAYS + 1))
+                np.add.at(seen, day, 1.0)
+                np.add.at(below, day, v[i].values.to_numpy() + LOW_MEAN)
+                seen, below = np.cumsum(seen), np.cumsum(below)
+                if key not in held and len(held) >= HELD:
+                    yield sent()
+                    held = {}
+                mine = held.setdefault(key, np.zeros((2, SEASON_DAYS, SEASON_DAYS), dtype=np.int64))
+                mine[0] += seen[1:] > seen[:-1, None]     # [first day, last day]
+                mine[1] += below[1:] < below[:-1, None]   # a sum of z + 1 below 0: a mean below -1
+        if held:
+            yield sent()
+
+    added = lambda c: F.reduce(F.collect_list(c), F.array_repeat(F.lit(0).cast("long"), SEASON_DAYS * (SEASON_DAYS + 1) // 2),
+                               lambda x, y: F.zip_with(x, y, lambda i, j: i + j))
+    sums = packed.mapInArrow(counts, schema).groupBy(*keys).agg(added("n_all").alias("n_all"), added("n_low").alias("n_low"))
+    return (sums.select(*keys, F.posexplode(F.arrays_zip("n_all", "n_low")).alias("_interval", "_n"))
+            .select(*keys, "_interval", "_n.n_all", "_n.n_low").filter("n_all > 0"))
+
+
+def region_context(ep: DataFrame, z: DataFrame, within=()) -> DataFrame:
+    """Adds region_z, n_entities and share_low of the other entities; NULL with fewer than three of them.
+
+    ``within`` names columns of ``z`` that tell an entity's region (none: all entities are one). NULL is a region of its own.
     """
-    w = Window.partitionBy("pid", "year").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    run = z.select("pid", "year", "day", F.sum(F.coalesce("z", F.lit(0.0))).over(w).alias("s"), F.count("z").over(w).alias("c"))
-    packed = run.groupBy("pid", "year").agg(F.array_sort(F.collect_list(F.struct("day", "s", "c"))).alias("a"))
-    packed = packed.select("year", F.transform("a", lambda x: x["s"]).alias("s"), F.transform("a", lambda x: x["c"]).alias("c"))
-    iv = ep.select("year", "start", "end").distinct()
+    z = z.select("pid", "year", "day", "z", *within)
+    days = day_medians(z.filter("z IS NOT NULL"), within)
+    own = ep.select(*EPISODE_KEY, "end").join(z, ["pid", "year"]).filter(F.col("day").between(F.col("start"), F.col("end")))
+    if within:
+        days = days.withColumnsRenamed({k: f"_of_{k}" for k in [*within, "day"]})
+        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in [*within, "day"]])
+        own = own.join(days, same)
+    else:
+        own = own.join(F.broadcast(days), "day")  # bounded by the calendar
+    of_episode = F.avg(median_of_others(F.col("z"))).alias("_rz")
+    region = own.groupBy(*EPISODE_KEY, *[F.col(k).alias(f"_in_{k}") for k in within]).agg(of_episode)
     lo = season_bounds(F.col("year"))[0]
-    d = packed.join(F.broadcast(iv), "year")
-    at = lambda arr, day: F.coalesce(F.get(F.col(arr), day - lo), F.lit(0))
-    cnt = at("c", F.col("end")) - at("c", F.col("start") - 1)
-    tot = at("s", F.col("end")) - at("s", F.col("start") - 1)
-    return d.select("year", "start", "end", cnt.alias("_c"), tot.alias("_s")).groupBy("year", "start", "end").agg(
-        F.count(F.when(F.col("_c") > 0, 1)).alias("n_all"),
-        F.count(F.when((F.col("_c") > 0) & (F.round(F.col("_s") / F.greatest(F.col("_c"), F.lit(1)), 9) < -1), 1)).alias("n_low"))
-
-
-def region_context(ep: DataFrame, z: DataFrame) -> DataFrame:
-    """Adds region_z, n_entities and share_low of the other entities; NULL with fewer than three of them."""
-    zz = z.select("pid", "year", "day", "z")
-    days = F.broadcast(day_medians(zz.filter("z IS NOT NULL")))  # bounded by the calendar
-    own = ep.select(*EPISODE_KEY, "end").join(zz, ["pid", "year"]).filter(F.col("day").between(F.col("start"), F.col("end")))
-    region = own.join(days, "day").groupBy(*EPISODE_KEY).agg(F.avg(median_of_others(F.col("z"))).alias("_rz"))
+    d = ep.join(region, EPISODE_KEY).withColumn("_interval", interval_number(F.col("start") - lo, F.col("end") - lo))
+    shares = entity_shares(z, within).withColumnsRenamed({"year": "_of_year", "_interval": "_of_interval"} | {k: f"_of_{k}" for k in within})
+    same = reduce(Column.__and__, [F.col(f"_in_{k}").eqNullSafe(F.col(f"_of_{k}")) for k in within],
+                  (F.col("year") == F.col("_of_year")) & (F.col("_interval") == F.col("_of_interval")))
+    d = d.join(shares, same)
     # an episode always holds z values of its own entity: total minus own
-    d = ep.join(entity_shares(ep, zz), ["year", "start", "end"]).join(region, EPISODE_KEY, "left")
     n = F.col("n_all") - 1
     # rounded as the shares are: an average and a difference of running sums may differ in the last bit
     low = F.col("n_low") - F.when(F.round("mean_z", 9) < -1, 1).otherwise(0)
     ok = n >= C.REGION_MIN_ENTITIES
-    return d.withColumns({"region_z": F.when(ok, F.col("_rz")), "n_entities": F.when(ok, n),
-                          "share_low": F.when(ok, low / n)}).drop("_rz", "n_all", "n_low")
+    return d.select(*ep.columns, F.when(ok, F.col("_rz")).alias("region_z"), F.when(ok, n).alias("n_entities"),
+                    F.when(ok, low / n).alias("share_low"))
 
 
 def index_anomaly(ep: DataFrame, series: DataFrame, least: int = 2, refs: int = 3) -> DataFrame:

@@ -1,3 +1,7 @@
+import datetime
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from phenolake.functions import expr as E
@@ -91,6 +95,46 @@ def test_median_of_others_matches_brute_force(spark):
         assert r.m == want
 
 
+def test_interval_numbers_are_gapless(spark):
+    d = spark.range(X.SEASON_DAYS).selectExpr("CAST(id AS int) AS s").crossJoin(spark.range(X.SEASON_DAYS).selectExpr("CAST(id AS int) AS e")).filter("s <= e")
+    got = [r.n for r in d.select("s", "e", X.interval_number(F.col("s"), F.col("e")).alias("n")).orderBy("s", "e").collect()]
+    assert got == list(range(X.SEASON_DAYS * (X.SEASON_DAYS + 1) // 2))
+
+
+@pytest.mark.parametrize("held", [256, 1])
+def test_region_context_matches_brute_force(spark, monkeypatch, held):
+    """One region and several (one of them NULL, one too small), days without z, an entity on the edge of -1, tables of counts that are sent early."""
+    monkeypatch.setattr(X, "HELD", held)
+    rng, lo = np.random.default_rng(3), {y: (datetime.date(y, 4, 1) - datetime.date(2000, 1, 1)).days for y in (2019, 2020)}
+    region = lambda pid: None if pid % 3 == 0 else ("few" if pid in (1, 2) else f"r{pid % 3}")
+    z = [(pid, y, lo[y] + at, None if rng.random() < 0.2 else (-1.0 if pid == 5 else float(rng.normal(-1, 0.6))), region(pid))
+         for pid in range(14) for y in lo for at in [0, 1, 2, 3, 100, 101, 102, 211, 212]]
+    known = {(p, d): v for p, _, d, v, _ in z if v is not None}
+    ep = []
+    for pid in range(14):
+        for y in lo:
+            for a, b in ((1, 2), (2, 101), (211, 212), (0, 212)):
+                own = [known[pid, d] for d in range(lo[y] + a, lo[y] + b + 1) if (pid, d) in known]
+                if own:
+                    ep.append((pid, y, lo[y] + a, lo[y] + b, sum(own) / len(own)))
+    zd = spark.createDataFrame(z, "pid int, year int, day int, z double, region string")
+    ed = spark.createDataFrame(ep, "pid int, year int, start int, end int, mean_z double")
+    for within in ((), ("region",)):
+        got = {(r.pid, r.start, r.end): r for r in X.region_context(ed, zd, within).collect()}
+        assert len(got) == len(ep)
+        for pid, _, a, b, _ in ep:
+            others = [q for q in range(14) if q != pid and (not within or region(q) == region(pid))]
+            inside = {q: [known[q, d] for d in range(a, b + 1) if (q, d) in known] for q in others}
+            means = [np.mean(v) for v in inside.values() if v]
+            days = [np.median(v) for d in range(a, b + 1) if (pid, d) in {(p, e) for p, _, e, _, _ in z} and (v := [known[q, d] for q in others if (q, d) in known])]
+            r = got[pid, a, b]
+            if len(means) < 3:
+                assert (r.region_z, r.n_entities, r.share_low) == (None, None, None)
+            else:
+                assert r.n_entities == len(means) and r.share_low == pytest.approx(np.mean([round(m, 9) < -1 for m in means]))
+                assert r.region_z == pytest.approx(np.mean(days))
+
+
 def test_classifier_order(spark):
     base = dict(n_obs=5, artifacts_near=0, peak_ratio=0.9, peak_shift=0, sos_shift=0, decline_shift=0, valid=True, peak=0.6, start_doy=160, end_doy=190,
                 region_z=0.0, share_low=0.1, n_entities=5, c_n_days=40, c_amount=50.0, c_amount_norm=60.0, c_deficit_pct=10.0, c_level=20.0,
