@@ -146,3 +146,21 @@ def duplicates(df: DataFrame, cols) -> DataFrame:
     """Rows beyond the first of each combination of ``cols``."""
     return (df.filter(" AND ".join(f"{c} IS NOT NULL" for c in cols)).groupBy(*cols).agg(F.count("*").alias("n"))
             .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicates")))
+
+
+def per_source(df: DataFrame, cols=C.SOURCES, keep=("pid", "day")) -> DataFrame:
+    """One row per known value of each source column: source number, value."""
+    values = F.array(*[F.struct(F.lit(i).alias("source"), F.col(c).alias("value")) for i, c in enumerate(cols)])
+    return df.select(*keep, F.explode(values).alias("_v")).select(*keep, "_v.*").filter("value IS NOT NULL")
+
+
+def duplicates_by_source(df: DataFrame, cols=C.SOURCES) -> DataFrame:
+    """Per source column: values, distinct (day, value) pairs and values beyond the first of each; a source without values has no row."""
+    seen = per_source(df, cols, ("day",)).groupBy("source", "day", "value").agg(F.count("*").alias("n"))
+    return seen.groupBy("source").agg(F.sum("n").alias("n_values"), F.count("*").alias("n_distinct"), F.sum(F.col("n") - 1).alias("n_duplicates"))
+
+
+def target_quantiles(df: DataFrame, probs: dict[str, float], source: str = "source", value: str = "value") -> DataFrame:
+    """Exact quantiles of the value by source, and over all sources in the row whose source is NULL."""
+    twice = df.select(value, F.explode(F.array(F.col(source), F.lit(None))).alias(source))
+    return exact_quantiles(twice, [source], value, probs)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from phenolake.functions import expr as E
 from phenolake.operators import aggregate as A
-from phenolake.operators import frames
+from phenolake.operators import frames, pairs
 from phenolake.operators.norms import bin_norms, loyo_norm, norm_search
 from phenolake.operators.quantiles import exact_quantiles, ks_statistic
 from phenolake.plans.ctes import cte
@@ -231,6 +231,33 @@ def _(t):
         "n_duplicates", A.duplicates(p, ["day", "s1"]).scalar())
 
 
+AUDIT_PROBS = {"q0": 0.0, "q001": 0.001, "q01": 0.01, "q50": 0.5, "q99": 0.99, "q999": 0.999, "q100": 1.0}
+
+
+@query("audit_quantiles", "source:i n:i " + " ".join(f"{p}:f6" for p in AUDIT_PROBS), "SELECT source, count(value) AS n, " + ", ".join(
+    f"quantile_cont(value, {v}) AS {k}" for k, v in AUDIT_PROBS.items()) + " FROM {panel} WHERE value IS NOT NULL GROUP BY GROUPING SETS ((source), ())")
+def _(t):
+    return A.target_quantiles(t.panel, AUDIT_PROBS)
+
+
+cte("source_values", " UNION ALL ".join(f"SELECT pid, day, {i} AS source, s{i + 1} AS value FROM {{panel}} WHERE s{i + 1} IS NOT NULL" for i in range(3)))
+
+
+@query("audit_duplicates", "source:i n_values:i n_distinct:i n_duplicates:i", """SELECT source, sum(c) AS n_values, count(*) AS n_distinct,
+sum(c - 1) AS n_duplicates FROM (SELECT source, day, value, count(*) AS c FROM {source_values} GROUP BY ALL) GROUP BY source""")
+def _(t):
+    return A.duplicates_by_source(t.panel)
+
+
+@query("audit_pairs", "source:i place:i a:i b:i n:i r:f6", """SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(r, 9) DESC, a, b) AS place
+FROM (SELECT a.source, a.pid AS a, b.pid AS b, count(*) AS n, corr(a.value, b.value) AS r FROM {source_values} a JOIN {source_values} b
+ ON a.source = b.source AND a.day = b.day AND a.pid < b.pid GROUP BY ALL HAVING count(*) >= 8) WHERE r IS NOT NULL AND NOT isnan(r) QUALIFY place <= 12""")
+def _(t):
+    """The most alike entities of each source, each on its own values, as a hint at copied series."""
+    known = A.per_source(t.panel).select("pid", F.col("source").alias("part"), F.col("day").alias("key"), F.col("value").alias("v"))
+    return pairs.best_pairs(known, 12, 8).withColumnRenamed("part", "source")
+
+
 @query("weekly_drivers", "region:i year:i week:i amount:f6 level:f6", """
 WITH w AS (SELECT region, year(date) AS year, least(greatest(floor((dayofyear(date) - 91) / 7.0), 0), 30) AS week,
   sum(greatest(precip, 0)) AS amount, avg(temp) AS level FROM {drivers} GROUP BY ALL)

@@ -217,7 +217,30 @@ def _(t):
     return R.top_episodes(plan(t).saved_episodes.withColumn("severity", severity(F.col("min_z"), F.col("critical_days"))), 12)
 
 
-@query("field_facts", "pid:i n_seasons:i n_episodes:i doc:s")
+def _object(**fields: str) -> str:
+    """SQL text of a JSON object without its NULL fields."""
+    return "'{' || rtrim(" + " || ".join(f"""coalesce('"{name}":' || {sql} || ',', '')""" for name, sql in fields.items()) + ", ',') || '}'"
+
+
+_whole = "CAST({} AS BIGINT)".format
+_text = "CAST(to_json({}) AS VARCHAR)".format
+
+
+def _number(column: str, digits: int) -> str:
+    return f"CAST(round(CAST({column} AS DOUBLE), {digits}) + 0.0 AS VARCHAR)"
+
+
+cte("facts_ep", f"""SELECT pid, count(*) AS n, '[' || string_agg(j, ',' ORDER BY place) || ']' AS js FROM (SELECT pid, place, {_object(
+    place=_whole('place'), year=_whole('year'), start=_whole('start'), end=_whole('"end"'), days=_whole('days'), severity=_text('severity'), cause=_text('cause'),
+    min_z=_number('min_z', 2), text=_text('text'))} AS j FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY
+    CASE severity WHEN 'critical' THEN 0 ELSE 1 END, min_z, year, start) AS place FROM {{described}} QUALIFY place <= 12)) GROUP BY pid""")
+cte("facts_season", f"""SELECT pid, count(*) AS n, '[' || string_agg({_object(year=_whole('year'), n_obs=_whole('n_obs'), peak=_number('peak', 3),
+    peak_doy=_whole('peak_doy'), mean_z=_number('mean_z', 2), norm_source=_text('norm_source'))}, ',' ORDER BY year) || ']' AS js
+FROM {{season_facts}} GROUP BY pid""")
+
+
+@query("field_facts", "pid:i n_seasons:i n_episodes:i doc:s", f"""SELECT s.pid, s.n AS n_seasons, coalesce(e.n, 0) AS n_episodes,
+{_object(pid=_whole('s.pid'), seasons='s.js', episodes='e.js')} AS doc FROM {{facts_season}} s LEFT JOIN {{facts_ep}} e ON e.pid = s.pid""")
 def _(t):
     p = plan(t)
     return R.field_facts(p.run(driver_grid(t)), p.seasons)

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 NAMES = ["load_sources", "exact_share", "weighted_sample", "quantiles", "source_agreement", "weekly_drivers", "rolling_anomaly", "gdd",
          "interpolate_inside", "loyo_norm", "point_episodes", "neighbors", "k_neighbors", "pair_statistics", "method_metrics", "constraint_audit",
-         "scene_change", "find_episodes", "curve_features"]
+         "scene_change", "find_episodes", "curve_features", "region_context", "audit_quantiles", "audit_duplicates", "audit_pairs", "field_facts"]
 
 
 @pytest.fixture(scope="module")

@@ -1,10 +1,12 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from phenolake.functions import constants as C
 from phenolake.functions.expr import add_calendar
+from phenolake.operators import aggregate as A
 from phenolake.operators import drivers as D
 from phenolake.operators import frames, norms, pairs, pixels, quantiles, sampling, smooth
 from phenolake.operators import season as S
@@ -363,3 +365,40 @@ def test_donors_in_blocks_and_parts_equal_brute_force(spark, monkeypatch, block)
         want = sorted((-e.score, b) for (q, a, b), e in edges.items() if (q, a) == (g, p) and e.score > 0)[:2]
         assert [b for _, b in sorted(best)] == [b for _, b in want] and [w for w, _ in sorted(best)] == pytest.approx([w for w, _ in want])
     assert len(top) == 16
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_best_pairs_equal_brute_force(spark, monkeypatch, block):
+    """Ties by ids, pairs with too few shared days, a constant entity, a part of one entity."""
+    monkeypatch.setattr(pairs, "BLOCK", block)
+    monkeypatch.setattr(pairs, "n_blocks", lambda df, entity="pid": 1 if block == 256 else 4)
+    rng = np.random.default_rng(1)
+    rows = [(part, pid, day, 0.5 if pid == 4 else float(rng.integers(0, 9)) / 8)
+            for part in (0, 1) for pid in range(11) for day in range(30) if rng.random() < 0.6 and (part == 0 or pid > 2)]
+    rows += [(0, 20 + i, day, v) for i in range(3) for p, pid, day, v in rows if (p, pid) == (0, 1)]  # copies: r = 1 several times
+    rows += [(2, 1, day, float(day)) for day in range(20)]
+    d = spark.createDataFrame(rows, "part int, pid int, key int, v double")
+    want = {}
+    by = {}
+    for part, pid, day, v in rows:
+        by.setdefault((part, pid), {})[day] = v
+    for (pa_, a), x in by.items():
+        for (pb, b), y in by.items():
+            both = sorted(set(x) & set(y))
+            if pa_ == pb and a < b and len(both) >= 8 and 4 not in (a, b):
+                r = np.corrcoef([x[k] for k in both], [y[k] for k in both])[0, 1]
+                want.setdefault(pa_, []).append((-round(r, 9), a, b, len(both)))
+    got = {}
+    for r in pairs.best_pairs(d, 5, 8).orderBy("part", "place").collect():
+        got.setdefault(r.part, []).append((-r.r, r.a, r.b, r.n))
+    assert got.keys() == want.keys()
+    for part, found in got.items():
+        best = sorted(want[part])[:5]
+        assert [x[1:] for x in found] == [x[1:] for x in best] and [x[0] for x in found] == pytest.approx([x[0] for x in best])
+
+
+def test_target_quantiles_by_source_and_over_all(spark):
+    d = spark.createDataFrame([(0, 1.0), (0, 3.0), (1, 5.0), (1, None), (2, None)], "source int, value double")
+    got = {r.source: (r.n, r.lo, r.mid, r.hi) for r in A.target_quantiles(d, {"lo": 0.0, "mid": 0.5, "hi": 1.0}).collect()}
+    assert got == {0: (2, 1.0, 2.0, 3.0), 1: (1, 5.0, 5.0, 5.0), None: (3, 1.0, 3.0, 5.0)}
+    assert A.target_quantiles(d.filter("value > 9"), {"lo": 0.0}).count() == 0
