@@ -13,8 +13,10 @@ from phenolake.llm.common import cut_lineage
 DIGITS, LEVELS = 3, 4  #: hex digits a level (4096 buckets) and levels: 48 bits, so a bucket of the last holds one row, or equal rows
 MOST = 3  #: times that a mix may use a source
 
-#: NUL can't stand in a source name that a file format keeps, so a null source has a key of its own
-_NO_SOURCE = "\x00"
+
+def source_key(source: Column) -> Column:
+    """A key that tells a null source from every name and sorts it last."""
+    return F.when(source.isNull(), "1").otherwise(F.concat(F.lit("0"), source.cast("string")))
 
 
 def n_words(text: Column) -> Column:
@@ -33,7 +35,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 
     With sources in the order of size per weight those that stop are the first ones, so sums over that order replace rounds. This is one
     row for each source, so it may run in one task."""
-    by_name = Window.orderBy(F.col("source_key") == _NO_SOURCE, F.col("source_key").cast("binary"))
+    by_name = Window.orderBy(F.col("source_key").cast("binary"))
     by_ratio = Window.orderBy(F.col("source_size") / F.col("w"), "source_key")
     upto = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     rest = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -55,7 +57,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     border is taken if that comes nearer. Null or blank texts have size 0 and are taken as often as their hash says (no words); a null
     source is a source; rows that agree in id and text stand or fall together. No rows give no rows."""
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
-        "row", F.coalesce(F.col(f"row.`{source_col}`").cast("string"), F.lit(_NO_SOURCE)).alias("source_key"),
+        "row", source_key(F.col(f"row.`{source_col}`")).alias("source_key"),
         n_words(F.col(f"row.`{text_col}`")).alias("size"), hash_key(F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`")).alias("key"))
     slim = cut_lineage(keyed.groupBy("source_key", "key").agg(F.sum("size").alias("words")))
     goal = cut_lineage(targets(slim.groupBy("source_key").agg(F.sum("words").alias("source_size"))))

@@ -17,10 +17,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ctes(documents: str) -> str:
     """Table expressions ending in ``mixed`` (the columns of ``documents`` and size, source_size, target, times)."""
-    return f"""m0 AS (SELECT *, coalesce(source, chr(0)) AS sk, len({spaced("coalesce(text, '')")})::BIGINT AS size,
+    return f"""m0 AS (SELECT *, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS sk, len({spaced("coalesce(text, '')")})::BIGINT AS size,
     substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 12) AS k FROM {documents}),
 m1 AS (SELECT sk, sum(size)::BIGINT AS source_size FROM m0 GROUP BY 1),
-m2 AS (SELECT *, (row_number() OVER (ORDER BY sk = chr(0), CAST(sk AS BLOB)) - 1) % 3 + 1 AS w FROM m1),
+m2 AS (SELECT *, (row_number() OVER (ORDER BY encode(sk)) - 1) % 3 + 1 AS w FROM m1),
 m3 AS (SELECT *, coalesce(sum(source_size) OVER (ORDER BY source_size / w, sk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b,
     sum(w) OVER (ORDER BY source_size / w, sk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS ws, sum(source_size) OVER ()::BIGINT AS total FROM m2),
 m4 AS (SELECT *, (total - 3 * b) * w > 3 * source_size * ws AS stops FROM m3),

@@ -136,6 +136,17 @@ def test_mixing(docs, empty, rows):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_tells_a_null_source_from_every_name(spark):
+    names = [None, "\x00", "", "0", "1", "\U0001F600", "\uffee"]
+    docs = spark.createDataFrame([(i, "w " * (i + 1), s) for i, s in enumerate(names)], "doc_id long, text string, source string")
+    got = {r["source"]: r["source_size"] for r in mixing.mix(docs).select("row.source", "source_size").collect()}
+    assert got == {s: i + 1 for i, s in enumerate(names)}
+    sizes = spark.createDataFrame([(s, 10) for s in names], "source string, n long")
+    goals = mixing.targets(sizes.select(mixing.source_key(F.col("source")).alias("source_key"), F.col("n").alias("source_size")))
+    order = [r["source_key"][1:] if r["source_key"][0] == "0" else None for r in goals.orderBy(F.col("source_key").cast("binary")).collect()]
+    assert order == [*sorted(s for s in names if s is not None), None]
+
+
 def _jump(key, shards):
     at, nxt = -1, 0
     while nxt < shards:
