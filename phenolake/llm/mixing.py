@@ -59,7 +59,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
         "row", source_key(F.col(f"row.`{source_col}`")).alias("source_key"),
         n_words(F.col(f"row.`{text_col}`")).alias("size"), hash_key(F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`")).alias("key"))
-    slim = cut_lineage(keyed.groupBy("source_key", "key").agg(F.sum("size").alias("words")))
+    slim = cut_lineage(keyed.select("source_key", "key", F.col("size").alias("words")))  # no shuffle: the histograms add up in each task first
     goal = cut_lineage(targets(slim.groupBy("source_key").agg(F.sum("words").alias("source_size"))))
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     budget = F.col("target") - times * F.col("source_size")
