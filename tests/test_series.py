@@ -402,3 +402,25 @@ def test_target_quantiles_by_source_and_over_all(spark):
     got = {r.source: (r.n, r.lo, r.mid, r.hi) for r in A.target_quantiles(d, {"lo": 0.0, "mid": 0.5, "hi": 1.0}).collect()}
     assert got == {0: (2, 1.0, 2.0, 3.0), 1: (1, 5.0, 5.0, 5.0), None: (3, 1.0, 3.0, 5.0)}
     assert A.target_quantiles(d.filter("value > 9"), {"lo": 0.0}).count() == 0
+
+
+def test_blocks_grow_before_their_number(spark):
+    """A packed row is copied once a block: 60 000 entities must not take a block for every 256 of them."""
+    many = spark.range(60000).withColumnRenamed("id", "pid")
+    assert pairs.n_blocks(many) == 15 and pairs.n_blocks(many.limit(1000)) == 4 and pairs.n_blocks(many.limit(6000)) == 8
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_slices_of_a_block_give_what_whole_blocks_give(spark, monkeypatch, block):
+    monkeypatch.setattr(pairs.n_blocks, "__defaults__", ("pid", block))
+    known = spark.createDataFrame([(p, k, math.sin(p + k) + p * 0.1 * k) for p in range(11) for k in range(24) if (p + k) % 4], "pid long, key long, v double")
+    targets = spark.createDataFrame([(p, k) for p in (0, 1, 5, 10, 99) for k in (2, 3, 4, 99)], "pid long, key long")
+
+    def rows(size):
+        monkeypatch.setattr(pairs, "SLICE", size)
+        got = {"sums": pairs.pair_sums(known, "v"), "best": pairs.best_pairs(known, 6, 8), "edges": pairs.top_edges(known, 3, 8),
+               "donors": pairs.donor_transfer(known, targets), "effects": pairs.weighted_day_effects(known, targets)}
+        return {name: sorted(tuple(-9.0 if v is None else round(float(v), 7) for v in r) for r in d.collect()) for name, d in got.items()}
+    whole, sliced = rows(1024), rows(2)
+    for name in whole:
+        assert len(whole[name]) == len(sliced[name]) > 0 and all(a == pytest.approx(b, abs=1e-6) for a, b in zip(whole[name], sliced[name])), name
