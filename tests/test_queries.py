@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from phenolake.sources import tables
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["load_sources", "exact_share", "weighted_sample", "quantiles", "source_agreement", "weekly_drivers", "rolling_anomaly", "gdd",
@@ -38,3 +39,13 @@ def test_matches_sql(spark, con, name):
     got = sorted((tuple(r[c] for c in cols) for r in df.collect()), key=key)
     want = sorted((tuple(r[i] for i in idx) for r in cur.fetchall()), key=key)
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["same_source_neighbors", "cycle_features", "raw_source_neighbors", "assemble_sources"])
+def test_tasks_by_entity_grow_with_the_input(spark, monkeypatch, name):
+    """The exchange before an entity's windows has a number of tasks in proportion to the rows, whatever the session's number is."""
+    monkeypatch.setattr(tables, "ROWS", 131)
+    n = tables.Tables(spark, SF).parts
+    assert n == -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 131) > 20
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().toString()
+    assert "RepartitionByExpression" in plan and f", {n}" in plan
