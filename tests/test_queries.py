@@ -49,3 +49,9 @@ def test_tasks_by_entity_grow_with_the_input(spark, monkeypatch, name):
     assert n == -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 131) > 20
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().toString()
     assert "RepartitionByExpression" in plan and f", {n}" in plan
+
+
+def test_norms_are_worked_out_once(spark):
+    plan = lambda name: entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("value_shares").count("l_returnflag#") and "scalar-subquery" not in plan("value_shares")
+    assert "l_suppkey" not in plan("calendar_shift")
