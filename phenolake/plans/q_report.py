@@ -186,7 +186,7 @@ def _(t):
 avg(i) FILTER (z < -2) AS recall_critical, avg((z < -1)::INT) FILTER (i = 1) AS precision, avg((z < -1)::INT) AS base_rate, avg(i) AS share_inside FROM (
 SELECT z, (EXISTS (SELECT 1 FROM {eps} e WHERE e.pid = l.pid AND l.day BETWEEN e.start AND e."end"))::INT AS i FROM {loyo} l WHERE z IS NOT NULL)""")
 def _(t):
-    return R.agreement(inside_episode(loyo_norm(t.season), plan(t).saved_episodes))
+    return R.agreement(inside_episode(loyo_norm(t.season), cut_lineage(plan(t).episodes)))
 
 
 @query("source_independence", "n_seasons:i corr_ours:f5 corr_raw:f5", """SELECT count(*) AS n_seasons, corr(share_days_depressed, s1_share) AS corr_ours, corr(raw, s1_share) AS corr_raw FROM (
@@ -256,9 +256,9 @@ s AS (SELECT bool_or(f) AS f, bool_or(m) AS m, count(*) FILTER (f AND m) AS n_bo
 SELECT count(*) FILTER (f) AS seasons_full, count(*) FILTER (m) AS seasons_masked, count(*) FILTER (f AND m) AS seasons_both, sum(n_both) / sum(n_either) AS day_jaccard FROM s""")
 def _(t):
     """Hides 15 % of the observations, reruns the detector and compares seasons and episode days."""
-    full = plan(t).saved_episodes
+    full = cut_lineage(plan(t).episodes)
     held = sampling.exact_share(t.season, ["pid", "date"], C.GAP_SHARE, "rerun", "hidden").filter("NOT hidden").drop("hidden")
-    part = SeasonPlan(held, t.categories).saved_episodes
+    part = cut_lineage(SeasonPlan(held, t.categories, parts=t.parts).episodes)
     tag = lambda d, c: d.select("pid", "year", F.explode(F.sequence("start", "end")).alias("day")).withColumn(c, F.lit(1))
     days = tag(full, "f").join(tag(part, "m"), ["pid", "year", "day"], "full")
     seasons = days.groupBy("pid", "year").agg(F.max("f").alias("f"), F.max("m").alias("m"), F.count(F.when(F.col("f") + F.col("m") == 2, 1)).alias("both"),
