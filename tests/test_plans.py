@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from phenolake.operators import smooth
 from phenolake.plans import catalog  # noqa: F401  query modules refer to each other's SQL
+from phenolake.plans.q_features import own_blocks
 from phenolake.plans.q_season import plan
 from phenolake.plans.registry import QUERIES
 from phenolake.plans.season import SeasonPlan
@@ -54,3 +55,12 @@ def test_fits_make_no_row_of_a_pair(spark):
     for r in at.collect():
         assert r.a_weight == pytest.approx(weight(r.pid, r.day, 6.0, lambda x: not x[3]), abs=1e-9)
         assert r.b_weight == pytest.approx(weight(r.pid, r.day, 15.0, lambda x: not x[3] and x[1] % 4 == 0), abs=1e-9)
+
+
+def test_own_blocks_are_narrow_and_hold_hidden_rows(spark):
+    t = Tables(spark, SF)
+    blocks = own_blocks(t.marked)
+    names = [c for b in blocks for c in b.columns if c not in ("pid", "day")]
+    assert len(blocks) > 1 and len(names) == len(set(names))
+    keys = sorted(map(tuple, t.targets.select("pid", "day").collect()))
+    assert all(sorted(map(tuple, b.select("pid", "day").collect())) == keys for b in blocks)
