@@ -424,3 +424,40 @@ def test_slices_of_a_block_give_what_whole_blocks_give(spark, monkeypatch, block
     whole, sliced = rows(1024), rows(2)
     for name in whole:
         assert len(whole[name]) == len(sliced[name]) > 0 and all(a == pytest.approx(b, abs=1e-6) for a, b in zip(whole[name], sliced[name])), name
+
+
+def test_copies_of_a_packed_row_do_not_grow(spark):
+    """Pairs, their statistics and day effects: eight copies of a row for 6 000 entities and for 360 000."""
+    many = spark.range(360000).withColumnRenamed("id", "pid")
+    assert [pairs.vast_blocks(many.limit(n)) for n in (1000, 6000, 60000, 360000)] == [4, 8, 8, 8]
+
+
+def test_pairs_are_handed_on_slice_by_slice(spark, monkeypatch):
+    """Six entities in one block, two a slice: six batches of at most four pairs, never all 15 at once."""
+    monkeypatch.setattr(pairs, "SLICE", 2)
+    known = spark.createDataFrame([(p, k, float((p * k) % 7)) for p in range(6) for k in range(10)], "pid long, key long, v double")
+    sizes, real = [], type(known.groupBy("pid")).applyInPandas
+
+    def traced(self, func, schema):
+        packed = self._df.toPandas()
+        sizes.extend(len(d) for d in func(iter([packed.iloc[:2], packed.iloc[2:]])))
+        return real(self, func, schema)
+    monkeypatch.setattr(type(known.groupBy("pid")), "applyInPandas", traced)
+    got = pairs.pair_sums(known, "v")
+    assert sizes == [1, 4, 4, 1, 4, 1] and got.count() == 15
+
+
+def test_day_effects_shuffle_packed_rows_once(spark):
+    """Mean correlation and weights read one exchange of the copies; own residuals are left out of the extremes."""
+    known = spark.createDataFrame([(p, k, math.sin(p * k) - 0.1) for p in range(5) for k in range(12)], "pid long, key long, v double")
+    asked = spark.createDataFrame([(p, k) for p in (0, 3) for k in (1, 2, 99)], "pid long, key long")
+    d = pairs.weighted_day_effects(known, asked)
+    rows = {(r.pid, r.key): r for r in d.collect()}
+    assert len(rows) == 6 and rows[0, 99].lowest is None and rows[0, 99].wsum == 0
+    for p in (0, 3):
+        for k in (1, 2):
+            others = [math.sin(q * k) - 0.1 for q in range(5) if q != p]
+            assert rows[p, k].lowest == min(others) and rows[p, k].low_share == pytest.approx(sum(v < pairs.LOW_RESIDUAL for v in others) / 4)
+    plan = d._jdf.queryExecution().executedPlan()
+    d._jdf.collect()
+    assert "ReusedExchange" in plan.toString()
