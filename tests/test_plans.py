@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from phenolake.operators import smooth
 from phenolake.plans import catalog  # noqa: F401  query modules refer to each other's SQL
 from phenolake.plans.q_features import own_blocks
+from phenolake.plans.q_join import same_source
 from phenolake.plans.q_season import plan
 from phenolake.plans.registry import QUERIES
 from phenolake.plans.season import SeasonPlan
@@ -64,3 +65,9 @@ def test_own_blocks_are_narrow_and_hold_hidden_rows(spark):
     assert len(blocks) > 1 and len(names) == len(set(names))
     keys = sorted(map(tuple, t.targets.select("pid", "day").collect()))
     assert all(sorted(map(tuple, b.select("pid", "day").collect())) == keys for b in blocks)
+
+
+def test_neighbors_of_all_sources_share_their_windows(spark):
+    t = Tables(spark, SF)
+    sorts = lambda d: physical(d).count("Sort [")
+    assert sorts(same_source(t.marked, every=True)) - sorts(t.marked) <= 4  # counts, chains of the source, and the nearest of each source before and after
