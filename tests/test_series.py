@@ -461,3 +461,15 @@ def test_day_effects_shuffle_packed_rows_once(spark):
     plan = d._jdf.queryExecution().executedPlan()
     d._jdf.collect()
     assert "ReusedExchange" in plan.toString()
+
+
+def test_an_episode_with_two_driver_series_has_one_norm_of_both(spark):
+    """Facts are each series' own; norms, dry spells and the number of norm years are the episode's."""
+    first = {y: (np.datetime64(f"{y}-05-01") - np.datetime64(C.EPOCH)).astype(int) for y in range(2001, 2005)}
+    rows = [(region, int(day) + i, amount, 10.0 * region) for y, day in first.items() for i in range(40) for region, amount in ((1, 2.0), (2, 0.5))]
+    grid = D.with_calendar(spark.createDataFrame(rows, "region int, day int, precip double, temp double"))
+    start = int(first[2004]) + 30
+    ep = spark.createDataFrame([(1, 7, 2004, start, start, start + 9), (2, 7, 2004, start, start, start + 9)], "region int, pid int, year int, ep int, start int, end int")
+    got = {r.region: r for r in D.episode_drivers(ep, grid, "region", ["pid", "year", "ep"]).filter("win = 'during'").collect()}
+    assert {k: (r.n_days, r.amount, r.level) for k, r in got.items()} == {1: (10, 20.0, 10.0), 2: (10, 5.0, 20.0)}
+    assert all((r.norm_years, r.amount_norm, r.level_norm, r.max_dry_spell) == (3, 25.0, 15.0, 10) for r in got.values())
