@@ -473,3 +473,13 @@ def test_an_episode_with_two_driver_series_has_one_norm_of_both(spark):
     got = {r.region: r for r in D.episode_drivers(ep, grid, "region", ["pid", "year", "ep"]).filter("win = 'during'").collect()}
     assert {k: (r.n_days, r.amount, r.level) for k, r in got.items()} == {1: (10, 20.0, 10.0), 2: (10, 5.0, 20.0)}
     assert all((r.norm_years, r.amount_norm, r.level_norm, r.max_dry_spell) == (3, 25.0, 15.0, 10) for r in got.values())
+
+
+def test_an_interval_does_not_lose_digits_to_the_days_before_it(spark):
+    """The level of a late week is the plain mean of its days, however much lies before it."""
+    level = lambda i: 1e6 + i / 3 if i < 2000 else 1e-3 * math.sin(i)
+    grid = spark.createDataFrame([(1, i, level(i), level(i)) for i in range(2100)], "region int, day int, precip double, temp double")
+    iv = spark.createDataFrame([(1, 2050, 2056)], "region int, a int, b int")
+    r = D.interval_totals(iv, D.driver_sums(grid, "region", "precip", "temp"), "region").first()
+    want = math.fsum(level(i) for i in range(2050, 2057))
+    assert r.x_level == pytest.approx(want, rel=1e-9) and r.x_amount == pytest.approx(want, rel=1e-9) and r.x_days == 7
