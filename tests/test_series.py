@@ -483,3 +483,19 @@ def test_an_interval_does_not_lose_digits_to_the_days_before_it(spark):
     r = D.interval_totals(iv, D.driver_sums(grid, "region", "precip", "temp"), "region").first()
     want = math.fsum(level(i) for i in range(2050, 2057))
     assert r.x_level == pytest.approx(want, rel=1e-9) and r.x_amount == pytest.approx(want, rel=1e-9) and r.x_days == 7
+
+
+def test_a_filter_on_z_does_not_copy_the_norm(spark):
+    """The norm's array is worked out once a row, whatever is filtered on; a norm of the norm replaces its columns."""
+    rows = [(1, y, doy, math.sin(doy * y)) for y in range(2000, 2005) for doy in range(100, 130, 5)]
+    d = spark.createDataFrame(rows, "pid int, year int, doy int, value double")
+    z = norms.loyo_norm(norms.loyo_norm(d))
+    assert z.columns == ["pid", "year", "doy", "value", "norm_n", "norm_years", "norm_mean", "norm_std", "z"]
+    low = norms.loyo_norm(d).filter((F.col("z") < -1) | (F.col("z") > 1))
+    plan = low._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("SQRT(") == 1 and "array_min" not in plan and "array_sort" not in plan
+    for r in z.collect():
+        others = [v for _, y, doy, v in rows if y != r.year and abs(doy - r.doy) <= C.NORM_WINDOW]
+        assert (r.norm_n, r.norm_years) == (len(others), 4)
+        assert (r.norm_mean, r.norm_std) == pytest.approx((np.mean(others), np.std(others)))
+        assert r.z == pytest.approx((r.value - np.mean(others)) / np.std(others))
