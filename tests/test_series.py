@@ -499,3 +499,21 @@ def test_a_filter_on_z_does_not_copy_the_norm(spark):
         assert (r.norm_n, r.norm_years) == (len(others), 4)
         assert (r.norm_mean, r.norm_std) == pytest.approx((np.mean(others), np.std(others)))
         assert r.z == pytest.approx((r.value - np.mean(others)) / np.std(others))
+
+
+def test_donors_of_wide_blocks_meet_by_slices(spark, monkeypatch):
+    """Slices and blocks decide nothing: the best donors and sums are those of one block, and blocks stay few as entities grow."""
+    rows = [(p, k, round(math.sin(p * k) + (p % 3) * math.cos(k), 1)) for p in range(40) for k in range(60) if (p * 7 + k) % 5]
+    known = spark.createDataFrame(rows, "pid long, key long, v double")
+    targets = spark.createDataFrame([(p, k) for p in range(40) for k in range(60) if (p * 7 + k) % 5 == 0], "pid long, key long")
+    out = []
+    for patched in ({}, {"BLOCK": 2, "WIDE": 4, "VAST": 50, "SLICE": 3, "TARGETS": 5}):
+        for name, size in patched.items():
+            monkeypatch.setattr(pairs, name, size)
+        d = pairs.donor_transfer(known, targets)
+        out.append({(r.pid, r.key): r.asDict() for r in d.collect()})
+    assert "42), 8) as int) AS _b" in d._jdf.queryExecution().optimizedPlan().toString()  # 10 blocks of WIDE entities otherwise
+    assert len(out[0]) == targets.count() and any(r["pred_8"] is not None for r in out[0].values())
+    for k, r in out[0].items():
+        for c, want in r.items():
+            assert out[1][k][c] == (want if want is None else pytest.approx(want, rel=1e-9, abs=1e-9))
