@@ -517,3 +517,23 @@ def test_donors_of_wide_blocks_meet_by_slices(spark, monkeypatch):
     for k, r in out[0].items():
         for c, want in r.items():
             assert out[1][k][c] == (want if want is None else pytest.approx(want, rel=1e-9, abs=1e-9))
+
+
+def test_order_statistics_send_on_wanted_cells_only(spark, monkeypatch):
+    """While every task may know the wanted cells, rows of others leave no task; without that the same values come out."""
+    rows = [(g, float(i * 37 % 101) if i % 3 else 5.0) for g in (1, 2, None) for i in range(400 if g == 1 else 30)] + [(3, None)]
+    d = spark.createDataFrame(rows, "g int, v double")
+    wants = {"low": lambda n: F.lit(1), "mid": lambda n: F.floor(n / 2), "last": lambda n: n, "none": lambda n: n + 1}
+    out = []
+    for goals in (quantiles.GOALS, 0):
+        monkeypatch.setattr(quantiles, "GOALS", goals)
+        got = quantiles.order_statistics(d, ["g"], "v", wants)
+        out.append(got.collect())
+        if goals:
+            assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
+    want = []
+    for g in (1, 2, None):
+        v = sorted(x for h, x in rows if h == g and x is not None)
+        want.append((g, len(v), v[0], v[len(v) // 2 - 1], v[-1], None))
+    for got in out:
+        assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
