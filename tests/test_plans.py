@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from phenolake.operators import season as S
 from phenolake.operators import smooth
 from phenolake.plans import catalog  # noqa: F401  query modules refer to each other's SQL
 from phenolake.plans.q_features import own_blocks
@@ -71,3 +72,13 @@ def test_neighbors_of_all_sources_share_their_windows(spark):
     t = Tables(spark, SF)
     sorts = lambda d: physical(d).count("Sort [")
     assert sorts(same_source(t.marked, every=True)) - sorts(t.marked) <= 4  # counts, chains of the source, and the nearest of each source before and after
+
+
+def test_phenology_reads_the_days_once(spark):
+    """The own curve and the norm are worked out from one reading of z, with the values that two readings give."""
+    p = plan(Tables(spark, SF))
+    assert not set(p.phenology.inputFiles()) & set(p.saved_z.inputFiles())
+    own = S.phenology(p.saved_z, ok=F.col("sure") & F.col("value").isNotNull())
+    norm = S.phenology(p.saved_z, "norm_mean", F.col("norm_mean").isNotNull())
+    rows = lambda d: sorted(map(str, d.collect()))
+    assert rows(p.phenology) == rows(S.phenology_deviation(own, norm)) != []
